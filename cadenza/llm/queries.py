@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash
+from . import decontaminate, sharding, simhash, substrings
 from .common import small_batches, table
 
 
@@ -21,10 +21,16 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substrings.dedup_passages(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_virtual_slots": op5_virtual_slots,
     "op8_positional_index": op8_positional_index,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +46,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op10_recompression": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS g FROM d, range(0, len(w) - 12) r(i)),
+        cut AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE first < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + j + 1 AS p FROM cut, range(0, 13) r(j)),
+        words AS (SELECT d.doc_id, p, w[p] AS word FROM d, range(1, len(w) + 1) r(p)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
