@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash, substrings
+from . import decontaminate, mixing, quality, sharding, simhash, substrings, warc
 from .common import small_batches, table
 
 
@@ -26,8 +26,26 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_passages(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
+def op4_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_warc_chunks": op3_warc_chunks,
+    "op4_nb_svm": op4_nb_svm,
+    "op6_pfair": op6_pfair,
     "op5_virtual_slots": op5_virtual_slots,
     "op8_positional_index": op8_positional_index,
     "op10_recompression": op10_recompression,
