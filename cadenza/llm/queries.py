@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash, substrings, warc
+from . import decontaminate, forest, mixing, pii, quality, sharding, simhash, substrings, tokens, warc
 from .common import small_batches, table
 
 
@@ -32,6 +32,11 @@ def op4_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -41,13 +46,26 @@ def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_linear_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_disclosure": op2_disclosure,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_nb_svm": op4_nb_svm,
-    "op6_pfair": op6_pfair,
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_pfair": op6_pfair,
+    "op7_linear_match": op7_linear_match,
     "op8_positional_index": op8_positional_index,
+    "op9_prefix_forest": op9_prefix_forest,
     "op10_recompression": op10_recompression,
 }
 
