@@ -46,107 +46,126 @@ class _Names(dict):
         return name
 
 
-def _words(text: bytes, names: _Names) -> np.ndarray:
-    words = text.split()
-    return np.fromiter((names[w] for w in words), np.uint64, len(words))
-
-
-def windows(names: np.ndarray, size: int) -> np.ndarray:
-    """Name of each ``size`` consecutive words."""
-    n = len(names) - size + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    for j in range(size if n > 0 else 0):
-        total = total * _P + names[j : j + n]
-    return _mix(total + _A * np.uint64(size))
-
-
-def recompress(names: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, start, end, whether it is a run) of the symbols that cover a document's words after ``rounds`` rounds.
+class Words:
+    """The words of several texts by name, in one array, a barrier after each text."""
+
+    def __init__(self, texts: list[bytes], names: _Names) -> None:
+        flat: list[bytes] = []
+        sizes = []
+        for t in texts:
+            words = t.split()
+            flat += words
+            flat.append(b" ")
+            sizes.append(len(words))
+        self.sizes = np.array(sizes, np.int64)
+        self.names = np.fromiter(map(names.__getitem__, flat), np.uint64, len(flat))
+        self.text = np.repeat(np.arange(len(sizes)), self.sizes + 1)
+        self.barriers = np.cumsum(self.sizes + 1) - 1
+        self.place = np.arange(len(flat)) - np.repeat(self.barriers - self.sizes, self.sizes + 1)
+
+    def window_starts(self, size: int) -> np.ndarray:
+        """Where windows of ``size`` words of one text start."""
+        return np.flatnonzero(self.place <= (self.sizes - size)[self.text])
+
+    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Names of the windows at ``starts``."""
+        total = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            total = total * _P + self.names[starts + j]
+        return _mix(total + _A * np.uint64(size))
+
+
+def recompress(names: np.ndarray, barriers: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, start, whether it joins no pair) of the symbols that cover the words after ``rounds`` rounds.
 
     First, each maximal run of RUN or more equal words becomes one symbol named by the word. Then each round deals
     all symbols to a left and a right side by a bit of their names, and every left symbol followed by a right one becomes
-    one symbol named by the two. After two rounds a symbol that is no run has four words at most, and what becomes of a
-    word depends on no more than six words on either side of it.
+    one symbol named by the two. Runs and barriers join no pair. After two rounds any other symbol has four words at most, and
+    what becomes of a word depends on no more than six words on either side of it.
     """
     n = len(names)
-    change = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if n else np.zeros(0, np.int64)
-    length = np.diff(np.r_[change, n])
-    long = length >= RUN
-    if long.any():
-        keep = np.ones(n, bool)
-        for a, k in zip(change[long].tolist(), length[long].tolist(), strict=True):
-            keep[a + 1 : a + k] = False
-        start = np.flatnonzero(keep)
-        run = np.zeros(n, bool)
-        run[change[long]] = True
-        run = run[start]
-        symbol = np.where(run, _mix(names[start] ^ _A), names[start])
-    else:
-        start, symbol, run = np.arange(n), names, np.zeros(n, bool)
+    first = np.r_[True, names[1:] != names[:-1]] if n else np.zeros(0, bool)
+    first[barriers] = True
+    first[barriers[barriers + 1 < n] + 1] = True
+    change = np.flatnonzero(first)
+    long = np.diff(np.r_[change, n]) >= RUN
+    alone = np.zeros(n, bool)
+    alone[change[long]] = True
+    alone[barriers] = True
+    keep = first | ~np.repeat(long, np.diff(np.r_[change, n]))
+    start = np.flatnonzero(keep)
+    alone = alone[start]
+    symbol = np.where(alone, _mix(names[start] ^ _A), names[start])
     for r in range(1, rounds + 1):
         right = (_mix(symbol + _A * np.uint64(r)) >> np.uint64(63)).astype(bool)
-        first = np.flatnonzero(~right[:-1] & right[1:] & ~run[:-1] & ~run[1:])
-        if len(first):
-            symbol = symbol.copy()
-            symbol[first] = _mix(symbol[first] * _P + symbol[first + 1] + _C * np.uint64(r))
-            keep = np.ones(len(symbol), bool)
-            keep[first + 1] = False
-            symbol, start, run = symbol[keep], start[keep], run[keep]
-    return symbol, start, np.r_[start[1:], n][: len(start)], run
+        at = np.flatnonzero(~right[:-1] & right[1:] & ~alone[:-1] & ~alone[1:])
+        symbol[at] = _mix(symbol[at] * _P + symbol[at + 1] + _C * np.uint64(r))
+        keep = np.ones(len(symbol), bool)
+        keep[at + 1] = False
+        symbol, start, alone = symbol[keep], start[keep], alone[keep]
+    return symbol, start, alone
 
 
-def anchors(names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each anchor, anchor of each window of ``size`` words).
+def anchors(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text) of each anchor, and the anchor of each window of ``size`` words at ``starts``.
 
     A window's anchor is the symbol that covers its middle word. For windows of 13 words or more it depends on the window's
     words alone: a symbol of at most four words, seen with three words on either side, lies within. The key
     of an anchor covers those margins too, so that it says more than a single frequent word; a run's key is its word's.
     """
-    symbol, start, end, run = recompress(names)
-    n = len(names) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    of = np.searchsorted(start, np.arange(n) + size // 2, side="right") - 1
-    used = np.unique(of)
-    a, b = start[used], end[used]
-    key = symbol[used]
+    symbol, start, alone = recompress(words.names, words.barriers)
+    of_word = np.zeros(len(words.names), np.int64)
+    of_word[start] = 1
+    of_word = np.cumsum(of_word) - 1
+    middle = of_word[starts + size // 2]
+    mark = np.zeros(len(symbol), bool)
+    mark[middle] = True
+    used = np.flatnonzero(mark)
+    key, run = symbol[used], alone[used]
+    a, b = start[used], np.r_[start, len(words.names)][used + 1]
+    last = len(words.names) - 1
     for j in range(1, MARGIN + 1):
-        left, right = names[np.maximum(a - j, 0)], names[np.minimum(b + j - 1, len(names) - 1)]
-        key = np.where(run[used], key, _mix(key * _P + left) * _P + right)
-    return _mix(key), np.searchsorted(used, of)
+        left, right = words.names[np.maximum(a - j, 0)], words.names[np.minimum(b + j - 1, last)]
+        key = np.where(run, key, _mix(key * _P + left) * _P + right)
+    place = np.cumsum(mark) - 1
+    return _mix(key), words.text[a], place[middle]
 
 
 # --- packed rows ---
 
 
-def _pack(bucket: np.ndarray, row: np.ndarray, ids: np.ndarray, ks: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: the documents in it, and for each entry the place of its document among them and its values."""
+def _pack(bucket: np.ndarray, row: np.ndarray, docs: dict[str, np.ndarray], entries: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket: the values of its documents, how many entries each has, and the values of the entries.
+
+    ``row`` is the document of each entry, ascending within a bucket; ``docs`` have a value for each document.
+    """
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
     bucket, row = bucket[order], row[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    out: dict[str, list] = {k: [] for k in ("bucket", "ids", "ks", "row", *columns)}
-    sorted_columns = {k: v[order] for k, v in columns.items()}
-    for a, z in zip(starts.tolist(), np.r_[starts[1:], len(bucket)].tolist(), strict=True):
-        docs, at = np.unique(row[a:z], return_inverse=True)
-        out["bucket"].append(int(bucket[a]))
-        out["ids"].append(ids[docs].tobytes())
-        out["ks"].append(ks[docs].tobytes())
-        out["row"].append(at.astype(np.uint32).tobytes())
-        for k, v in sorted_columns.items():
+    begin = np.r_[True, bucket[1:] != bucket[:-1]]
+    doc_begin = np.flatnonzero(begin | np.r_[True, row[1:] != row[:-1]])
+    counts = np.diff(np.r_[doc_begin, len(row)]).astype(np.uint16 if len(row) < 65536 else np.uint32)
+    wide = np.dtype(counts.dtype).itemsize
+    starts = np.flatnonzero(begin)
+    doc_starts = np.searchsorted(doc_begin, np.r_[starts, len(row)])
+    named = {k: v[row[doc_begin]] for k, v in docs.items()}
+    valued = {k: v[order] for k, v in entries.items()}
+    out: dict[str, list] = {"bucket": bucket[starts].astype(np.int32), "wide": np.full(len(starts), wide, np.int32)} | {k: [] for k in ("counts", *docs, *entries)}
+    for i, (a, z) in enumerate(zip(starts.tolist(), np.r_[starts[1:], len(row)].tolist(), strict=True)):
+        p, q = doc_starts[i], doc_starts[i + 1]
+        out["counts"].append(counts[p:q].tobytes())
+        for k, v in named.items():
+            out[k].append(v[p:q].tobytes())
+        for k, v in valued.items():
             out[k].append(v[a:z].tobytes())
-    kinds = {"bucket": pa.int32()}
-    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
+    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("bucket", "wide") else pa.binary()) for k, v in out.items()], list(out))
 
 
-def _unpack(rows: list[dict], columns: dict[str, type]) -> tuple[np.ndarray, ...]:
-    """(ids, ks, document of each entry, values...) of several packed rows."""
-    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-    ks = np.concatenate([np.frombuffer(r["ks"], np.int64) for r in rows])
-    base = np.cumsum([0, *(len(r["ids"]) // 8 for r in rows)])
-    row = np.concatenate([np.frombuffer(r["row"], np.uint32).astype(np.int64) + base[i] for i, r in enumerate(rows)])
-    return ids, ks, row, *(np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in columns.items())
+def _unpack(rows: list[dict], docs: dict[str, type], entries: dict[str, type]) -> tuple[np.ndarray, ...]:
+    """(document of each entry, documents' values..., entries' values...) of several packed rows."""
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint16 if r["wide"] == 2 else np.uint32).astype(np.int64) for r in rows])
+    return np.repeat(np.arange(len(counts)), counts), *(np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (docs | entries).items())
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -162,17 +181,6 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _by_document(ids: np.ndarray, ks: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """The entries of each document."""
-    if not len(row):
-        return {}
-    docs, of = np.unique(np.stack([ids, ks], 1), axis=0, return_inverse=True)
-    of = of.reshape(-1)[row]
-    order = np.argsort(of, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-    return {tuple(docs[of[order[a]]].tolist()): order[a:z] for a, z in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True)}
-
-
 def _table(work: Callable, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(n).cast(schema.field(n).type) for n in schema.names], schema=schema) for b in work(left, right)], schema)
@@ -184,6 +192,11 @@ def _texts(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+
+def _forty(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
 def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None, texts: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text.
 
@@ -192,101 +205,102 @@ def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None,
 
     Steps, one shuffle each: (1) anchors of all documents meet by key, and those of two documents or more go back to their
     documents; (2) documents name the windows of those anchors, which meet by name; (3) windows with a smaller
-    document go back, and the words under them are cut. Rows of the shuffles are packed by bucket; ``buckets`` (by default four
-    for each shuffle partition) should grow with the corpus, as partitions do. A name that very many documents hold
-    costs some bytes for each in one bucket.
+    document go back, and the words under them are cut. Rows of the shuffles are packed by bucket; ``buckets`` (by default
+    as many as shuffle partitions) should grow with the corpus, as partitions do. A name that very many documents hold
+    costs some bytes for each in one bucket. Anchors and documents meet by 40 bits of hash in step 1, where an accident only
+    adds a candidate; windows have 64 bits.
 
     Null and empty texts have no words. Rows without a doc_id count as later than all others, and rows of one doc_id do
     not remove each other's words. Repeated rows get equal results; an empty table gives none; other columns are not read.
     """
     if size < 13:
         raise ValueError("an anchor is sure to lie within windows of 13 words or more only")
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "bucket int, ids binary, ks binary, row binary"
-    rows = docs.select(id_or_last().alias("id"), text_key().alias("k"), "text")
+    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low_bits, forty = np.uint64(2**32 - 1), np.uint64(2**40 - 1)
+    rows = docs.select(id_or_last().alias("id"), F.xxhash64(id_or_last(), text_key()).bitwiseAND(F.lit(2**40 - 1)).alias("x"), "text")
+    split = lambda x, name: {f"{name}low": (x & low_bits).astype(np.uint32), f"{name}high": ((x >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)}
+    of_doc, of_key = {"xlow": np.uint32, "xhigh": np.uint8}, {"klow": np.uint32, "khigh": np.uint8}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
         for b in batches:
-            ids, ks = (b.column(c).to_numpy() for c in ("id", "k"))
-            found = [np.unique(anchors(_words(t, names), size)[0]) for t in _texts(b)]
-            key = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield from _pack((key % np.uint64(n)).astype(np.int32), row, ids, ks, {"low": key.astype(np.uint32), "high": (key >> np.uint64(32)).astype(np.uint8)})
+            words = Words(_texts(b), names)
+            key, text, _ = anchors(words, words.window_starts(size), size)
+            yield from _pack((key % np.uint64(n)).astype(np.int32), text, split(b.column("x").to_numpy().view(np.uint64), "x"), split(key, "k"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _buckets(batches):
-            ids, ks, row, low, high = _unpack(held, {"low": np.uint32, "high": np.uint8})
-            key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-            _, of = np.unique(key, return_inverse=True)
-            least, most = np.full(of.max() + 1, NO_ID), np.full(of.max() + 1, -(2**63))
-            np.minimum.at(least, of, ids[row])
-            np.maximum.at(most, of, ids[row])
-            met = np.flatnonzero(least[of] != most[of])
-            row, key = row[met], key[met]
-            yield from _pack(np.mod(ids ^ ks, n).astype(np.int32)[row], row, ids, ks, {"low": low[met], "high": high[met]})
+            row, xlow, xhigh, klow, khigh = _unpack(held, of_doc, of_key)
+            key, x = _forty(klow, khigh), _forty(xlow, xhigh)
+            order = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            of = x[row[order]]
+            several = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+            met = np.sort(order[np.repeat(several, np.diff(np.r_[begin, len(order)]))])
+            yield from _pack((x % np.uint64(n)).astype(np.int32)[row[met]], row[met], {"xlow": xlow, "xhigh": xhigh}, {"klow": klow[met], "khigh": khigh[met]})
 
     def named(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         if not right.num_rows or not left.num_rows:
             return
-        ids, ks, row, low, high = _unpack(right.to_pylist(), {"low": np.uint32, "high": np.uint8})
-        key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        at = _by_document(ids, ks, row)
-        names, window, of, pos = _Names(), [], [], []
-        own_ids, own_ks = left.column("id").to_numpy(), left.column("k").to_numpy()
-        for i, text in enumerate(_texts(left)):
-            entries = at.get((int(own_ids[i]), int(own_ks[i])))
-            if entries is None:
-                continue
-            words = _words(text, names)
-            mine, anchor = anchors(words, size)
-            hit = np.flatnonzero(np.isin(mine & np.uint64(2**40 - 1), key[entries])[anchor])
-            window.append(windows(words, size)[hit])
-            of.append(np.full(len(hit), i))
-            pos.append(hit)
-        if window:
-            w = np.concatenate(window)
-            yield from _pack((w % np.uint64(n)).astype(np.int32), np.concatenate(of), own_ids, own_ks, {"window": w, "pos": np.concatenate(pos).astype(np.uint32)})
+        row, xlow, xhigh, klow, khigh = _unpack(right.to_pylist(), of_doc, of_key)
+        asked, key = _forty(xlow, xhigh)[row], _forty(klow, khigh)
+        order = np.argsort(asked, kind="stable")
+        asked, key = asked[order], key[order]
+        own = left.column("x").to_numpy().view(np.uint64)
+        begin, end = np.searchsorted(asked, own, "left"), np.searchsorted(asked, own, "right")
+        wanted = np.flatnonzero(end > begin)
+        ids, names = left.column("id").to_numpy(), _Names()
+        for at in range(0, len(wanted), 500):
+            part = wanted[at : at + 500]
+            words = Words(_texts(left.take(part)), names)
+            starts = words.window_starts(size)
+            mine, text, anchor = anchors(words, starts, size)
+            met = np.concatenate([key[begin[i] : end[i]] | np.uint64(j << 40) for j, i in enumerate(part.tolist())])
+            hit = starts[np.isin((mine & forty) | (text.astype(np.uint64) << np.uint64(40)), met)[anchor]]
+            w, of = words.windows(hit, size), words.text[hit]
+            yield from _pack((w % np.uint64(n)).astype(np.int32), of, {"id": ids[part], **split(own[part], "x")}, {"window": w, "pos": words.place[hit].astype(np.uint32)})
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _buckets(batches):
-            ids, ks, row, window, pos = _unpack(held, {"window": np.uint64, "pos": np.uint32})
-            _, of = np.unique(window, return_inverse=True)
-            least = np.full(of.max() + 1, NO_ID)
-            np.minimum.at(least, of, ids[row])
-            cut = np.flatnonzero(ids[row] > least[of])
-            row = row[cut]
-            yield from _pack(np.mod(ids ^ ks, n).astype(np.int32)[row], row, ids, ks, {"pos": pos[cut]})
+            row, ids, xlow, xhigh, window, pos = _unpack(held, {"id": np.int64, **of_doc}, {"window": np.uint64, "pos": np.uint32})
+            order = np.argsort(window, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(window[order]) != 0])
+            of = ids[row[order]]
+            least = np.repeat(np.minimum.reduceat(of, begin), np.diff(np.r_[begin, len(order)]))
+            cut = np.sort(order[of > least])
+            yield from _pack((_forty(xlow, xhigh) % np.uint64(n)).astype(np.int32)[row[cut]], row[cut], {"id": ids, "xlow": xlow, "xhigh": xhigh}, {"pos": pos[cut]})
 
     def kept(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        at, pos = {}, np.zeros(0, np.uint32)
+        cuts: dict[tuple[int, int], list[np.ndarray]] = {}
         if right.num_rows:
-            ids, ks, row, pos = _unpack(right.to_pylist(), {"pos": np.uint32})
-            at = _by_document(ids, ks, row)
-        own_ids, own_ks = left.column("id").to_numpy(), left.column("k").to_numpy()
-        for begin in range(0, left.num_rows, 256):
+            row, ids, xlow, xhigh, pos = _unpack(right.to_pylist(), {"id": np.int64, **of_doc}, {"pos": np.uint32})
+            begin = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
+            for i, doc in enumerate(zip(ids.tolist(), _forty(xlow, xhigh).tolist(), strict=True)):
+                cuts.setdefault(doc, []).append(pos[begin[i] : begin[i + 1]])
+        own_ids, own = left.column("id").to_pylist(), left.column("x").to_pylist()
+        for at in range(0, left.num_rows, 256):
             out: list[tuple] = []
-            for i, text in enumerate(_texts(left.slice(begin, 256)), begin):
+            for i, text in enumerate(_texts(left.slice(at, 256)), at):
                 words = text.split()
-                stays, entries = words, at.get((int(own_ids[i]), int(own_ks[i])))
-                if entries is not None:
+                stays = words
+                if (found := cuts.get((own_ids[i], own[i]))) is not None:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    starts = np.unique(pos[entries]).astype(np.int64)
+                    starts = np.unique(np.concatenate(found)).astype(np.int64)
                     edges[starts] += 1
                     edges[starts + size] -= 1
-                    covered = np.cumsum(edges[:-1]) > 0
-                    stays = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    stays = [words[j] for j in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 text = b" ".join(stays)
-                doc = int(own_ids[i])
-                out.append((None if doc == NO_ID else doc, len(words), len(words) - len(stays), hashlib.sha256(text).hexdigest(), text if texts else None))
+                out.append((None if own_ids[i] == NO_ID else own_ids[i], len(words), len(words) - len(stays), hashlib.sha256(text).hexdigest(), text if texts else None))
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    packed = lambda *names: pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "ks", "row", *names))])
+    packed = lambda *names: pa.schema([("bucket", pa.int32()), ("wide", pa.int32()), ("counts", pa.binary()), *((c, pa.binary()) for c in names)])
+    kind = lambda *names: ", ".join(["bucket int, wide int, counts binary", *(f"{c} binary" for c in names)])
+    candidate, window, cut = ("xlow", "xhigh", "klow", "khigh"), ("id", "xlow", "xhigh", "window", "pos"), ("id", "xlow", "xhigh", "pos")
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    placed = rows.withColumn("bucket", F.pmod(F.col("id").bitwiseXOR(F.col("k")), F.lit(n)).cast("int")).groupBy("bucket")
-    found = rows.mapInArrow(keys, f"{kinds}, low binary, high binary").repartition("bucket").sortWithinPartitions("bucket")
-    back = found.mapInArrow(shared, f"{kinds}, low binary, high binary").groupBy("bucket")
-    of_windows = placed.cogroup(back).applyInArrow(_table(named, packed("window", "pos")), f"{kinds}, window binary, pos binary")
-    cuts = of_windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, f"{kinds}, pos binary").groupBy("bucket")
+    placed = rows.withColumn("bucket", F.pmod("x", F.lit(n)).cast("int")).groupBy("bucket")
+    found = rows.select("x", "text").mapInArrow(keys, kind(*candidate)).repartition("bucket").sortWithinPartitions("bucket")
+    back = found.mapInArrow(shared, kind(*candidate)).groupBy("bucket")
+    of_windows = placed.cogroup(back).applyInArrow(_table(named, packed(*window)), kind(*window))
+    cuts = of_windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, kind(*cut)).groupBy("bucket")
     return placed.cogroup(cuts).applyInArrow(_table(kept, result), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
