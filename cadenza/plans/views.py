@@ -92,7 +92,11 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
                 need(every[name])
 
     need(sql)
-    return "WITH " + ",\n".join(f"{n} AS ({every[n]})" for n in every if n in used) + "\n" + sql if used else sql
+    if not used:
+        return sql
+    rest = sql.strip()
+    joined = ",\n" + rest[5:] if rest.startswith("WITH ") else "\n" + rest
+    return "WITH " + ",\n".join(f"{n} AS ({every[n]})" for n in every if n in used) + joined
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
