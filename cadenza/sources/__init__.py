@@ -1,0 +1 @@
+"""Files in and out."""

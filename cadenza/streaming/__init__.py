@@ -1,0 +1 @@
+"""Play events as Structured Streaming."""
