@@ -164,8 +164,8 @@ def resolve_albums(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(track -> album, albums, album artists) of tracks (id, album, album_artist, compilation, credits: array of names).
 
     A track joins the first album of its normalised title that lists its album artist, in whatever role, or any such album if it
-    has none; else it makes one. Order is that of track ids, and nothing leaves a title, so each title is folded on its own,
-    over its distinct (artist, credits) only. Titles with a single one need no fold.
+    has none; else it makes one. Order is that of track ids; an (artist, credits) that comes again goes where it went first. Nothing
+    leaves a title, so each title is folded on its own, over its distinct (artist, credits) only, however many tracks it has.
     """
     rows = tracks.where(F.col("album").isNotNull() & ~F.col("album").isin("", S.UNKNOWN_ALBUM)).withColumn("first_artist", F.get("credits", 0))
     artist = album_artist_of(rows)
