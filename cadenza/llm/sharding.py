@@ -43,12 +43,18 @@ def first_map(spark: SparkSession, slots: int = SLOTS, shards: int = 16) -> Data
 def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int = 16) -> DataFrame:
     """The next version of the map for ``shards`` shards: (version, virtual_slot, shard, bytes, rows, moved).
 
-    A shard keeps its largest slots up to the mean load; the slots beyond it, and those of shards that no longer
+    A shard keeps its largest slots up to the level that all can reach; the slots beyond it, and those of shards that no longer
     exist, go one by one, largest first, to the shard with the least load. The work is on the map alone, whose
     rows are as many as the slots, whatever the corpus.
     """
     full = slot_map.join(F.broadcast(stats), "virtual_slot", "left").fillna(0, ["bytes", "rows"])
-    full = full.withColumn("mean", F.sum("bytes").over(Window.partitionBy("version")) / shards)
+    # The level that shards can reach: the mean of what is left when the largest slots, where they exceed it, have shards of their own.
+    order = Window.partitionBy("version").orderBy(F.desc("bytes"), "virtual_slot")
+    larger = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("bytes").over(Window.partitionBy("version")) - larger
+    alone = F.row_number().over(order) - 1
+    full = full.withColumn("left", F.when(alone < shards, rest / (shards - alone)))
+    full = full.withColumn("mean", F.min("left").over(Window.partitionBy("version"))).drop("left")
     running = Window.partitionBy("version", "shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     full = full.withColumn("stays", (F.sum("bytes").over(running) <= F.col("mean")) & (F.col("shard") < shards))
     fold = full.groupBy("version").agg(
