@@ -74,7 +74,8 @@ def find_passages(index: DataFrame, terms: DataFrame, window: int = 10, slack: i
     A window is ``window`` consecutive words of a passage (all of a shorter one). Its rarest term, by the index's
     counts, opens the search: postings minus the term's place in the passage give the places where the passage could lie,
     and only there are the lists of the other terms intersected, again by adjusted position. With ``slack`` above 0,
-    terms may stand up to that many words off their place by the opening term (proximity); 0 asks for the exact phrase.
+    terms may stand up to that many words off their place by the opening term, which may then be any (proximity): a place where
+    all but one of a window's words have a match is returned. 0 asks for the exact phrase.
     """
     span = Window.partitionBy("passage").orderBy("at")
     size = F.least(F.col("n"), F.lit(window))
@@ -87,7 +88,7 @@ def find_passages(index: DataFrame, terms: DataFrame, window: int = 10, slack: i
     small = placed.count() <= BROADCAST_TERMS
     hits = index.join(F.broadcast(placed) if small else placed, "term").select("id", "k", "passage", "n", (F.col("pos") - F.col("at")).alias("offset"), "pos", "at", "anchor")
     place = ["id", "k", "passage", "offset"]
-    opened = hits.where("anchor").select(place).distinct()
+    opened = (hits if slack else hits.where("anchor")).select(place).distinct()
     if slack:
         hits = hits.withColumn("offset", F.explode(F.sequence(F.col("offset") - slack, F.col("offset") + slack)))
     alike = hits.join(opened, place, "left_semi")

@@ -30,6 +30,10 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 _P = np.uint64(0x100000001B3)
 
 
+def _times(constant: np.uint64, n: int) -> np.uint64:
+    return np.uint64((int(constant) * n) & (2**64 - 1))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
@@ -72,7 +76,7 @@ class Words:
         total = np.zeros(len(starts), np.uint64)
         for j in range(size):
             total = total * _P + self.names[starts + j]
-        return _mix(total + _A * np.uint64(size))
+        return _mix(total + _times(_A, size))
 
 
 def recompress(names: np.ndarray, barriers: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +101,9 @@ def recompress(names: np.ndarray, barriers: np.ndarray, rounds: int = 2) -> tupl
     alone = alone[start]
     symbol = np.where(alone, _mix(names[start] ^ _A), names[start])
     for r in range(1, rounds + 1):
-        right = (_mix(symbol + _A * np.uint64(r)) >> np.uint64(63)).astype(bool)
+        right = (_mix(symbol + _times(_A, r)) >> np.uint64(63)).astype(bool)
         at = np.flatnonzero(~right[:-1] & right[1:] & ~alone[:-1] & ~alone[1:])
-        symbol[at] = _mix(symbol[at] * _P + symbol[at + 1] + _C * np.uint64(r))
+        symbol[at] = _mix(symbol[at] * _P + symbol[at + 1] + _times(_C, r))
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
         symbol, start, alone = symbol[keep], start[keep], alone[keep]
