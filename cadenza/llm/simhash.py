@@ -255,12 +255,12 @@ def _similar(shard: pa.Table, radius: int, similarity: float) -> list[tuple[int,
     return [(int(names[i]), int(names[j])) for i in range(n) if (j := groups.find(i)) != i]
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 6) -> DataFrame:
     """(id, k, root_id, root_k, n_rows) of each distinct document of ``docs`` (doc_id, text): its group's smallest document.
 
     Two documents link if their sets of ``shingle_words``-word shingles have Jaccard similarity ``similarity`` or more.
     A similarity of 0.8 turns over about eight of 64 bits, too many for shards by bit blocks; so a document goes to a
-    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one with probability 0.998). In a shard a
+    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one with probability 0.99994). In a shard a
     BK-tree follows edges within ``radius`` bits, and the shingle sets of what it finds are compared exactly. A shard
     of over CHUNK texts is cut, and each two of its chunks meet in one task. Equal texts are one document before that.
 
