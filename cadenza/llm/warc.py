@@ -87,9 +87,12 @@ def write_warc(roles: DataFrame, path: str, level: int = 1) -> DataFrame:
                         out.write(packed.compress(piece))
                     out.write(packed.flush())
                     records += 1
-            size = out.tell()
         if records:
-            fs.move(made, name)
+            if fs.get_file_info(name).type == pafs.FileType.NotFound:
+                fs.move(made, name)
+            else:  # an attempt before this one has come to its end
+                fs.delete_file(made)
+            size = fs.get_file_info(name).size
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}.warc.gz"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
         else:
             fs.delete_file(made)
