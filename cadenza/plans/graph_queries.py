@@ -63,6 +63,15 @@ def _(v):
     return files.m3u_texts(v("v_playlist_tracks"), v("v_tracks"))
 
 
+@R.query("s5_relation_json", "SELECT source_mbid AS id, count(*) AS releases FROM v_edges WHERE relation = 'appears on' AND source_mbid LIKE '%25' GROUP BY ALL")
+def _(v):
+    docs = recordings(v).where("seq like '%25' and get_json_object(json, '$.releases') is not null")
+    folder = scratch(spark_of(docs), "recordings")
+    docs.write.partitionBy("seq").text(folder)
+    found = files.read_relation_json(spark_of(docs), f"{folder}/*", "recording")
+    return found.where("document is not null").select(F.col("document.id").alias("id"), F.size("document.releases").cast("long").alias("releases"))
+
+
 @R.query("s6_known_artists", "SELECT name FROM v_artists")
 def _(v):
     a = v("v_artists").select("name")
