@@ -144,9 +144,11 @@ def similar_tracks(fps: DataFrame, anchors: DataFrame, limit: int = LIMIT, cutof
         raise ValueError(f"more than {MOST_ANCHORS} anchors: use similar_tracks_all")
     asked = F.broadcast(rows.join(anchors, "id", "left_semi").select(F.struct(*rows.columns).alias("l")))
     found = asked.crossJoin(packed.withColumnRenamed("x", "r")).where("l.id <> r.id").select(F.col("l.id").alias("anchor"), F.col("r").alias("c"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
-    # How many are strictly closer to each candidate: candidates are few beside all tracks, and meet them by chunks of those.
-    candidates = found.groupBy("c.id").agg(F.first("c").alias("l"), F.max("distance").alias("reach"))
-    closer = candidates.join(packed.withColumnRenamed("x", "r"), F.col("l.id") != F.col("r.id")).withColumn("d", track_distance("l", "r")).where("d < reach").select("id", "d")
+    # How many are strictly closer to each candidate: candidates are few beside all tracks, and meet them chunk by chunk.
+    n = max(1, -(-rows.count() // 4096))
+    candidates = found.groupBy("c.id").agg(F.first("c").alias("l"), F.max("distance").alias("reach")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    chunks = packed.select(F.pmod(F.xxhash64("x.id"), F.lit(n)).cast("int").alias("chunk"), F.col("x").alias("r"))
+    closer = candidates.join(chunks, "chunk").where("l.id <> r.id").select("id", "reach", track_distance("l", "r").alias("d")).where("d < reach").select("id", "d")
     ranks = found.join(closer, (F.col("c.id") == F.col("id")) & (F.col("d") < F.col("distance")), "left").groupBy("anchor", "c.id", "distance").agg(F.count("d").alias("closer"))
     kept = ranks.where(F.col("closer") < mutual_k).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("distance", "id"))).where(F.col("place") <= limit)
     status = anchors.select(F.col("id").alias("anchor")).join(rows.select(F.col("id").alias("anchor"), F.lit("analysed").alias("status")), "anchor", "left").fillna("not analysed", ["status"])
