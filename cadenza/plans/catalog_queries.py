@@ -298,7 +298,11 @@ def _(v):
     return C.sort_tracks(v("v_tracks"), "track_number").select("id", "track_number").limit(100)
 
 
-@R.query("t3_discover", "SELECT count(*) AS n, CAST(sum(play_count) AS BIGINT) AS plays FROM (SELECT play_count FROM v_tracks WHERE NOT is_duplicate AND play_count = 0 LIMIT 50) d")
+@R.query("t3_discover", """
+    WITH f AS (SELECT id, play_count FROM v_tracks WHERE NOT is_duplicate AND play_count = 0 AND id NOT IN (1, 2, 3) LIMIT 50),
+    p AS (SELECT play_count, row_number() OVER (ORDER BY coalesce(last_played, -4611686018427387904), play_count, id) AS r FROM v_tracks WHERE NOT is_duplicate AND play_count > 0 AND id NOT IN (1, 2, 3)),
+    u AS (SELECT play_count FROM f UNION ALL SELECT play_count FROM p WHERE r <= 50 - (SELECT count(*) FROM f))
+    SELECT count(*) AS n, CAST(sum(play_count) AS BIGINT) AS plays FROM u""")
 def _(v):
     return C.discover(v("v_tracks"), 50, exclude=(1, 2, 3), seed=7).agg(F.count("*").alias("n"), F.sum("play_count").alias("plays"))
 
