@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -116,6 +117,17 @@ def _split_known(credits: DataFrame, known_artists: DataFrame, placeholder: str)
     return both.withColumn("names", F.when(whole, F.array(F.trim("credit"))).otherwise(_distinct_names(greedy("segments", "known"), placeholder))).select("credit", "names")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` for repeated use: a table in the folder spark.checkpoint.dir names, or cached where none is named."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def album_artist_of(tracks: DataFrame) -> Column:
     """Album artist tag, else "Various Artists" for compilations, else the first parsed artist (column first_artist), else null."""
     return F.coalesce(S.empty_to_null(F.col("album_artist")), F.when(F.col("compilation"), S.VARIOUS), F.when(F.col("first_artist") != S.UNKNOWN_ARTIST, F.col("first_artist")))
@@ -181,7 +193,7 @@ def resolve_albums(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return pd.DataFrame(out, columns=["title_key", "artist_key", "credit_keys", "at", "title", "member", "role", "position"])
 
     schema = "title_key string, artist_key string, credit_keys array<string>, at int, title string, member string, role string, position int"
-    folded = distinct.groupBy("title_key").applyInPandas(fold, schema).withColumn("album_id", F.xxhash64("title_key", "at"))
+    folded = _kept(distinct.groupBy("title_key").applyInPandas(fold, schema).withColumn("album_id", F.xxhash64("title_key", "at")), "albums")
     where = folded.where("member is null").select("title_key", "artist_key", "credit_keys", "album_id")
     same = keyed.alias("t").join(where.alias("w"), (F.col("t.title_key") == F.col("w.title_key")) & F.col("t.artist_key").eqNullSafe(F.col("w.artist_key")) & (F.col("t.credit_keys") == F.col("w.credit_keys")))
     links = same.select("t.id", "w.album_id")
@@ -336,7 +348,7 @@ def enrichment_backlog(artists: DataFrame, track_artists: DataFrame, now: int) -
 def rebuild_associations(tracks: DataFrame, known_artists: DataFrame | None = None, aliases: DataFrame | None = None) -> dict[str, DataFrame]:
     """Artists, links, albums and statistics of all tracks that are no duplicates, from the tags alone."""
     shown = S.hide_duplicates(tracks)
-    parts = split_credits(shown, "artist", known_artists)
+    parts = _kept(split_credits(shown, "artist", known_artists), "credits")
     credits = shown.join(parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda x: x["artist"]).alias("credits")), "id")
     links, albums, members = resolve_albums(credits)
     owner = credits.withColumn("first_artist", F.get("credits", 0))
@@ -344,8 +356,8 @@ def rebuild_associations(tracks: DataFrame, known_artists: DataFrame | None = No
     seen = stage(owner.where(album_artist_of(owner).isNotNull()), 0, album_artist_of(owner), F.lit(0)).union(stage(parts, 1, F.col("artist"), F.col("position")))
     for n, role in ((2, "composer"), (3, "album_artist")):
         seen = seen.union(stage(split_credits(shown.where(F.coalesce(role, F.lit("")) != ""), role, known_artists), n, F.col("artist"), F.col("position")))
-    artists = build_artists(seen, aliases)
-    track_artists = build_track_artists(shown, artists, known_artists)
+    artists = _kept(build_artists(seen, aliases), "artists")
+    track_artists = _kept(build_track_artists(shown, artists, known_artists), "track-artists")
     album_artists = members.join(artists.select("artist_id", "normalized_name"), "normalized_name").select("album_id", "artist_id", "role", "position")
     linked = shown.drop("album_id").join(links, "id", "left")
     by_artist, by_album = entity_stats(linked, artists, albums, track_artists, album_artists)
