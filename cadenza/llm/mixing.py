@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, text_key
 
 #: A mix of more sources than this must name its weights.
 MOST_SOURCES = 10_000
@@ -118,9 +118,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
 def order_by_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16) -> DataFrame:
     """``docs``, all rows and columns, sorted by the position that mix_sources() gives them.
 
-    Repeated rows of one doc_id and source take the first of their positions.
+    Repeated rows of one doc_id and source take the first of their positions, in order of their text.
     """
     order = save(mix_sources(docs, weights, block).groupBy("doc_id", "source").agg(F.min("position").alias("†position")), "mix")
     order = order.withColumnsRenamed({"doc_id": "†id", "source": "†source"})
     marked = docs.withColumns({"†doc": F.col("doc_id").cast("long"), "†from": _source()})
-    return marked.join(order, F.col("†doc").eqNullSafe(F.col("†id")) & (F.col("†from") == F.col("†source"))).orderBy("†position").drop("†id", "†source", "†doc", "†from", "†position")
+    return marked.join(order, F.col("†doc").eqNullSafe(F.col("†id")) & (F.col("†from") == F.col("†source"))).orderBy("†position", *([text_key(), "text"] if "text" in docs.columns else [])).drop("†id", "†source", "†doc", "†from", "†position")

@@ -6,16 +6,21 @@ which shard holds each slot. Rebalancing edits the map: what fits stays, the res
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import save
 
 SLOTS = 4096
+#: Rows of a stored table are numbered by runs of so many in one file.
+RUN_BITS = 16
 
 
-def with_virtual_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of each row.
+def with_virtual_slot(docs: DataFrame, slots: int = SLOTS, more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot) of each row, and the columns ``more``.
 
     The slot depends on doc_id alone, so equal texts, however many, spread over all slots; rows without a doc_id
     spread by their text. Size is the text's UTF-8 bytes (null: none) plus 1.
@@ -26,7 +31,7 @@ def with_virtual_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"), *more,
     )
 
 
@@ -73,7 +78,36 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int = 16) -> DataFr
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def with_stored_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with part, file and row, which ascend in the order in which its rows are stored.
+
+    Spark reads the files of a table in any order, but writes a sorted one so that its part numbers and the rows in
+    each file ascend. A table in memory has its partitions and the rows in them.
+    """
+    try:
+        name = F.col("_metadata.file_name")
+        part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+        return docs.withColumns({"part": part, "file": name, "row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return docs.withColumns({"part": F.shiftright(at, 33), "file": F.lit(""), "row": at.bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _slots_as_stored(placed: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """``placed`` with shard, version and slot, which follows part, file and row in each shard.
+
+    Counts of the (shard, file, run of rows) cells give the first slot of a cell, so a shard of any size is numbered in many tasks.
+    """
+    cell = ["shard", "part", "file", "run"]
+    dealt = placed.withColumn("run", F.shiftright("row", RUN_BITS)).join(F.broadcast(slot_map.select("virtual_slot", "shard", "version")), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("part", "file", "run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = save(dealt.groupBy(cell).agg(F.count("*").alias("n")), "shard-cells")
+    starts = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy(cell).orderBy("row"))
+    return dealt.withColumn("place", place).join(starts, cell)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, as_stored: bool = False) -> DataFrame:
     """Every row of ``docs`` with its shard, under the law ``bytes``: shard sizes are near equal.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's gapless place in its shard, from 0), grown_shard
@@ -81,13 +115,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
     to them has one row per slot. Equal shards are out of reach where one row is larger than the mean shard.
     Null texts have size 1; rows with one doc_id share a virtual slot and are told apart by text_crc32, then size;
     equal rows get neighbouring places. An empty table gives an empty result; other columns are not read.
+
+    With ``as_stored`` the slots of a shard follow the order in which ``docs`` is stored (with_stored_place()), else
+    virtual slot and doc_id.
     """
-    placed = save(with_virtual_slot(docs, slots), "placed")
+    placed = save(with_virtual_slot(with_stored_place(docs), slots, ["part", "file", "row"]) if as_stored else with_virtual_slot(docs, slots), "placed")
     slot_map = save(rebalance(first_map(docs.sparkSession, slots, shards), slot_bytes(placed), shards), "slot-map")
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size"))
-    return placed.withColumn("place", place).join(F.broadcast(starts), "virtual_slot").select(
+    if as_stored:
+        numbered = _slots_as_stored(placed, slot_map)
+    else:
+        before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+        starts = slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+        place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size"))
+        numbered = placed.withColumn("place", place).join(F.broadcast(starts), "virtual_slot")
+    return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )

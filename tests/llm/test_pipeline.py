@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from cadenza.llm import quality
+from cadenza.llm import mixing, quality
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,22 @@ def test_stages(spark, planted):
     assert sorted(map(tuple, ran)) == sorted(map(tuple, out))
 
 
+def test_mix_reaches_the_shards(spark, planted, monkeypatch):
+    path, _, _ = planted
+    stages = corpus_pipeline.STAGES
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in stages[:3]:
+        now = stage(spark, now, path)
+    position = {r.doc_id: r.position for r in mixing.mix_sources(now).collect()}
+    ran = corpus_pipeline.run(spark, path).collect()
+    for k in {r.shard for r in ran}:
+        rows = sorted((r for r in ran if r.shard == k), key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=position.get)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[:3] + stages[4:])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, path).collect())) != sorted(map(tuple, ran))
+
+
 def test_model_ignores_held_out_labels(spark, planted):
     path, docs, _ = planted
     table, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
