@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, id_or_last, save, text_key
@@ -20,6 +20,10 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 TREE_LIMIT = 4096
 #: Documents of a chunk where shards are cut in chunks, each pair of which is compared in one task.
 CHUNK = 1024
+#: Buckets of shingle hashes that are counted to tell common shingles from rare ones.
+ORDER_BUCKETS = 1 << 16
+#: Halves of shingle hashes are broadcast only up to this many; beyond it the join shuffles.
+BROADCAST_HALVES = 1_000_000
 
 
 class BKTree:
@@ -222,8 +226,8 @@ def _sketches(docs: DataFrame, shingle_words: int, shards: int) -> DataFrame:
     return docs.select(id_or_last().alias("id"), text_key().alias("k"), "text").mapInArrow(work, "id long, k long, fp long, shards array<long>")
 
 
-def _similar(shard: pa.Table, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Edges (k, k) that connect the documents of a shard as all pairs within ``radius`` bits whose shingle sets have Jaccard ``similarity`` do."""
+def _similar(shard: pa.Table, radius: int | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges (k, k) that connect the documents of a shard as all pairs within ``radius`` bits (None: all pairs) whose shingle sets have Jaccard ``similarity`` do."""
     names = shard.column("k").to_numpy()
     _, first = np.unique(names, return_index=True)
     names, n = names[first], len(first)
@@ -236,7 +240,7 @@ def _similar(shard: pa.Table, radius: int, similarity: float) -> list[tuple[int,
     starts = np.r_[0, np.cumsum(size)[:-1]]
     mark, tree, groups, at = np.zeros(len(every), np.int64), BKTree(), Groups(n), []
     for i in range(n):
-        found = [j for _, node in sorted(tree.within(prints[i], radius)) for j in at[node]]
+        found = [j for _, node in sorted(tree.within(prints[i], radius)) for j in at[node]] if radius is not None else range(i)
         own = groups.find(i)
         if any(groups.find(j) != own for j in found):
             mine = local[starts[i] : starts[i] + size[i]]
@@ -248,6 +252,8 @@ def _similar(shard: pa.Table, radius: int, similarity: float) -> list[tuple[int,
             for j in found:
                 if close[j]:
                     groups.join(i, j)
+        if radius is None:
+            continue
         node = tree.add(prints[i])
         if node == len(at):
             at.append([])
@@ -255,23 +261,70 @@ def _similar(shard: pa.Table, radius: int, similarity: float) -> list[tuple[int,
     return [(int(names[i]), int(names[j])) for i in range(n) if (j := groups.find(i)) != i]
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 6) -> DataFrame:
-    """(id, k, root_id, root_k, n_rows) of each distinct document of ``docs`` (doc_id, text): its group's smallest document.
+def _commonness(docs: DataFrame, shingle_words: int) -> np.ndarray:
+    """In how many rows the shingles of each of ORDER_BUCKETS buckets of hashes are: only an order, by which common shingles come last."""
 
-    Two documents link if their sets of ``shingle_words``-word shingles have Jaccard similarity ``similarity`` or more.
-    A similarity of 0.8 turns over about eight of 64 bits, too many for shards by bit blocks; so a document goes to a
-    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one with probability 0.99994). In a shard a
-    BK-tree follows edges within ``radius`` bits, and the shingle sets of what it finds are compared exactly. A shard
-    of over CHUNK texts is cut, and each two of its chunks meet in one task. Equal texts are one document before that.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ORDER_BUCKETS, np.int64)
+        for b in batches:
+            for t in _texts(b):
+                n += np.bincount((np.unique(shingle_hashes(t, shingle_words)) % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS) if t else 0
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
 
-    id is doc_id, or NO_ID where that is null; k is the text's key; n_rows counts equal rows. Null texts are empty,
-    and texts without words are copies of each other only if equal. An empty table gives none; other columns are not read.
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    for r in docs.select("text").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _prefixes(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(k, keys) of each row: the first shingles of its set, in one order for all, of which any two sets of ``similarity`` share one.
+
+    Such sets share at least ``similarity`` of either one's n shingles, so the first that they share is in each among
+    the first n - ceil(similarity n) + 1. That holds in any order; the rarest come first, so that few sets meet.
     """
-    marked = save(_sketches(docs, shingle_words, shards), "sketches")
-    texts = save(marked.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "texts")
-    spread = texts.select("k", F.explode(F.array_distinct("shards")).alias("shard"))
-    counts = save(spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shared-shards")
-    met = spread.join(counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "shard")
+    common = _commonness(docs, shingle_words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for t in _texts(b):
+                h = np.unique(shingle_hashes(t, shingle_words))
+                first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                keys.append(h[np.lexsort((h, common[(h % np.uint64(ORDER_BUCKETS)).astype(np.int64)]))[:first]].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([b.column("k"), lists], ["k", "keys"])
+
+    return docs.select(text_key().alias("k"), "text").mapInArrow(work, "k long, keys array<long>")
+
+
+def _open_halves(rooted: DataFrame) -> DataFrame:
+    """(half) of the keys of ``rooted`` (k, root, keys) by upper 32 bits, where texts of different groups have them.
+
+    A key's half and 32 bits of its root travel as one number, once per batch.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("keys")
+            root = np.repeat(b.column("root").to_numpy(), np.diff(keys.offsets.to_numpy())).view(np.uint64)
+            half = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32) << np.uint64(32)
+            mixed = (root ^ (root >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(half | mixed).view(np.int64))], ["packed"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).to_numpy() for b in batches]
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *parts])) >> 32
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(every[1:][every[1:] == every[:-1]]))], ["half"])
+
+    packed = rooted.select("root", "keys").mapInArrow(pack, "packed long")
+    return packed.repartition(F.shiftright("packed", 32)).mapInArrow(work, "half long")
+
+
+def _linked(docs: DataFrame, texts: DataFrame, met: DataFrame, shingle_words: int, similarity: float, radius: int | None) -> DataFrame:
+    """Edges (a, b) of the texts that meet in a shard of ``met`` (k, shard, n: texts of the shard), compared by _similar()."""
+    met = met.withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     chunk = F.pmod(F.xxhash64("k", F.lit(1)), F.col("chunks"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("shard", F.least(j, chunk), F.greatest(j, chunk)))
     wanted = save(met.select("k", F.explode(cells).alias("cell")).groupBy("k").agg(F.collect_set("cell").alias("cells")).join(texts.select("k", "id", "fp"), "k"), "wanted")
@@ -288,7 +341,44 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
 
     texted = docs.select(id_or_last().alias("id"), text_key().alias("k"), "text").join(wanted, ["id", "k"]).select("k", "fp", "cells", "text")
     cut = texted.mapInArrow(sets, "k long, fp long, cells array<long>, shingles binary").select("k", "fp", "shingles", F.explode("cells").alias("cell"))
-    edges = save(cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long"), "near-edges")
+    return save(cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long"), "near-edges")
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 6) -> DataFrame:
+    """(id, k, root_id, root_k, n_rows) of each distinct document of ``docs`` (doc_id, text): its group's smallest document.
+
+    Two documents link if their sets of ``shingle_words``-word shingles have Jaccard similarity ``similarity`` or more.
+    A similarity of 0.8 turns over about eight of 64 bits, too many for shards by bit blocks; so a document goes to a
+    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one with probability 0.99994). In a shard a
+    BK-tree follows edges within ``radius`` bits, and the shingle sets of what it finds are compared exactly. That finds most
+    links; the rest are found exactly: all texts of different groups that share a shingle of their prefixes (_prefixes()),
+    as any two that are similar do, are compared whatever their bits. A shard
+    of over CHUNK texts is cut, and each two of its chunks meet in one task. Equal texts are one document before that.
+
+    id is doc_id, or NO_ID where that is null; k is the text's key; n_rows counts equal rows. Null texts are empty,
+    and texts without words are copies of each other only if equal. An empty table gives none; other columns are not read.
+    """
+    marked = save(_sketches(docs, shingle_words, shards), "sketches")
+    texts = save(marked.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "texts")
+    spread = texts.select("k", F.explode(F.array_distinct("shards")).alias("shard"))
+    counts = save(spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shared-shards")
+    first = _linked(docs, texts, spread.join(counts, "shard"), shingle_words, similarity, radius)
+    linked = save(connected_components(first).withColumnRenamed("node", "k"), "near-first")
+    # What the shards or the radius have missed: texts that share a shingle of their prefixes and are not yet in one group.
+    prefixes = _prefixes(docs, shingle_words, similarity).groupBy("k").agg(F.first("keys").alias("keys"))
+    rooted = save(prefixes.join(linked, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "keys"), "prefixes")
+    # Most shingles are in one group only: those go first, by half of their bits, before anything wide is shuffled.
+    halves = save(_open_halves(rooted), "open-halves")
+    small = halves.count() <= BROADCAST_HALVES
+    keyed = rooted.select("k", "root", F.explode("keys").alias("key")).withColumn("half", F.shiftright("key", 32))
+    keyed = save(keyed.join(F.broadcast(halves) if small else halves, "half", "left_semi").select("k", "root", "key"), "open-keys")
+    mark = F.xxhash64("k", F.lit(2))
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("k").alias("least"), F.max("k").alias("most"), F.bit_xor("k").alias("all"), F.bit_xor(mark).alias("mark")).where("low <> high")
+    # Shingles that the same texts share are one shard.
+    same = Window.partitionBy("n", "least", "most", "all", "mark")
+    mixed = save(mixed.withColumn("shard", F.min("key").over(same)).where("key = shard").select("key", "n"), "open-shards")
+    second = _linked(docs, texts, keyed.join(mixed, "key").select("k", F.col("key").alias("shard"), "n"), shingle_words, similarity, None)
+    edges = first.union(second)
     roots = save(connected_components(edges).withColumnRenamed("node", "k"), "near-roots")
     grouped = save(texts.select("k", "id").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "near-groups")
     best = save(grouped.groupBy("root").agg(F.min(F.struct("id", "k")).alias("best")), "near-best")

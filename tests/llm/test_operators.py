@@ -146,6 +146,25 @@ def test_near_copies(spark, monkeypatch, chunk):
     assert simhash.drop_near_copies(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_whose_bits_are_far(spark, monkeypatch):
+    rng, rows = random.Random(31), []
+    word = lambda: str(rng.randrange(10**6))
+    prints = lambda t: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5))
+    while len(rows) < 8:
+        base, line = [word() for _ in range(120)], [word() for _ in range(7)]
+        a, b = (" ".join(base + line * n) for n in (2, 40))
+        if (prints(a) ^ prints(b)).bit_count() > 20:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    # Eight of nine words, of which four shingles of five are shared, and texts that share no more than a line.
+    rows += [(8, "a b c d e f g h"), (9, "a b c d e f g h i")] + [(10 + i, " ".join([word() for _ in range(60)] + line)) for i in range(6)]
+    kept = [0, 2, 4, 6, 8, *range(10, 16)]
+    assert [r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).orderBy("doc_id").collect()] == kept
+    # The exact way finds all pairs by itself, also where shards are cut.
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    out = simhash.drop_near_copies(frame(spark, rows), radius=-1)
+    assert [r.doc_id for r in out.orderBy("doc_id").collect()] == kept
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     from cadenza.llm.graph import connected_components
 
