@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+import math
+import uuid
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_key
+from .common import save, shared_dir, text_key
 
-#: A mix of more sources than this must name its weights.
-MOST_SOURCES = 10_000
+#: Plans of more places than this are written in pieces of so many and joined by shuffle.
+BROADCAST_PLACES = 100_000
 
 
 def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -29,7 +33,12 @@ def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return whole
 
 
-def pfair_period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+def whole_period(weights: Mapping[str, float], period: int) -> int:
+    """The least multiple of ``period`` in which the smallest weight has a place of its own."""
+    return period * max(1, math.ceil(sum(weights.values()) / min(weights.values()) / period - 1e-9))
+
+
+def pfair_places(weights: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, place) of the blocks of one period, whose places are as many as the weights' sum.
 
     Block k (from 0) of a source with w of Q places is released at floor(k Q / w) and due by ceil((k + 1) Q / w); each
@@ -41,17 +50,30 @@ def pfair_period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, i
     window = lambda s, k: (k * period // weights[s], -(-(k + 1) * period // weights[s]))
     waiting = [(0, s, 0) for s in sorted(weights)]
     ready: list[tuple[int, int, str, int]] = []
-    out = []
     for place in range(period):
         while waiting and waiting[0][0] <= place:
             _, s, k = heapq.heappop(waiting)
             due = window(s, k)[1]
             heapq.heappush(ready, (due, -(due * weights[s] % period != 0), s, k))
         due, _, s, k = heapq.heappop(ready)
-        out.append((s, k, window(s, k)[0], due, place))
+        yield s, k, window(s, k)[0], due, place
         if k + 1 < weights[s]:
             heapq.heappush(waiting, (window(s, k + 1)[0], s, k + 1))
-    return out
+
+
+def pfair_period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    return list(pfair_places(weights))
+
+
+def _plan(spark: SparkSession, shares: Mapping[str, int]) -> DataFrame:
+    """pfair_places() as a table; a long period is written piece by piece, so the driver never holds more than one."""
+    places, path = pfair_places(shares), f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    piece = lambda rows: spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["source", "turn", "release", "deadline", "place"]))
+    if sum(shares.values()) <= BROADCAST_PLACES:
+        return piece(places)
+    while rows := list(itertools.islice(places, BROADCAST_PLACES)):
+        piece(rows).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _source() -> Column:
@@ -60,10 +82,7 @@ def _source() -> Column:
 
 def source_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
     """Target weights from the corpus: each source's count of documents to ``power`` (1: as they are, 0: all alike)."""
-    counts = docs.groupBy(_source().alias("s")).count().limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: name their weights")
-    return {r["s"]: r["count"] ** power for r in counts}
+    return {r["s"]: r["count"] ** power for r in docs.groupBy(_source().alias("s")).count().collect()}
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, period: int = 1000, buckets: int = 1024) -> DataFrame:
@@ -76,8 +95,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     name. Without ``weights`` they are source_weights().
 
     Rows are numbered in their source by bucket of doc_id, then doc_id: counts of the (source, bucket) cells give the first number of a
-    cell, so a source of any size is numbered in many tasks. The schedule of one period (at most a few thousand blocks) is
-    the only thing the driver makes. A null source is the empty one; rows without a doc_id come last in a cell of their
+    cell, so a source of any size is numbered in many tasks. The schedule of one period is the only thing the driver makes; it has
+    a multiple of ``period`` places, so many that the smallest weight has one by right. A null source is the empty one; rows without a doc_id come last in a cell of their
     own; repeated rows have positions of their own. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
@@ -92,11 +111,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     asked = dict(weights) if weights is not None else source_weights(docs)
     if not asked:
         asked = {"": 1.0}
-    shares = whole_weights(asked, max(period, len(asked)))
-    rows = [(s, k, r, d, p, shares[s]) for s, k, r, d, p in pfair_period(shares)]
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, turn long, release long, deadline long, place long, share long"))
+    shares = whole_weights(asked, whole_period(asked, period))
     whole = sum(shares.values())
-    share = F.broadcast(spark.createDataFrame(list(shares.items()), "source string, of long"))
+    sent = F.broadcast if whole <= BROADCAST_PLACES else lambda df: df
+    plan = sent(_plan(spark, shares))
+    share = sent(spark.createDataFrame(list(shares.items()), "source string, of long"))
     mixed = numbered.join(share, "source").withColumn("cycle", F.floor(F.col("block") / F.col("of"))).withColumn("turn", F.col("block") % F.col("of"))
     shift = F.col("cycle") * whole
     out = mixed.join(plan, ["source", "turn"]).select(

@@ -317,6 +317,31 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_weights_hold_with_many_sources(spark):
+    for n in (950, 1200):
+        weights = {"hot": 1000.0, **{f"s{i}": 10.0 for i in range(n - 1)}}
+        shares = mixing.whole_weights(weights, mixing.whole_period(weights, 1000))
+        whole = sum(shares.values())
+        assert all(abs(shares[s] / whole - w / sum(weights.values())) <= 1 / whole for s, w in weights.items())
+    assert mixing.whole_period({"a": 999, "b": 1}, 1000) == 1000
+    # From documents: 1,600 rows of one source and one each of 12,000 others, whose weights are 40 and 1.
+    docs = spark.range(13600).selectExpr("id as doc_id", "case when id < 1600 then 'hot' else concat('s', id) end as source")
+    out = mixing.mix_sources(docs).collect()
+    assert len({r.position for r in out}) == len(out) == 13600
+    assert all(r.release <= r.place < r.deadline for r in out)
+    blocks = {r.block: r.place for r in out if r.source == "hot"}
+    share = 40 / (40 + 12000)
+    # Whole weights differ from exact ones by less than a place in each period.
+    assert len(blocks) == 100 and all(abs(k - share * place) < 1 + (place + 1) / 13000 for k, place in blocks.items())
+
+
+def test_long_plan_is_written_in_pieces(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 7) as source")
+    whole = collect(mixing.mix_sources(docs), "doc_id", "block", "position", "release", "deadline")
+    monkeypatch.setattr(mixing, "BROADCAST_PLACES", 300)
+    assert collect(mixing.mix_sources(docs), "doc_id", "block", "position", "release", "deadline") == whole
+
+
 @pytest.mark.parametrize("weights", [{"a": 900, **{f"s{i}": 10 for i in range(10)}}, {"a": 1}, {"x": 7, "y": 5, "z": 1}, {"a": 333, "b": 333, "c": 334}])
 def test_schedule_keeps_windows(weights):
     period = sum(weights.values())
