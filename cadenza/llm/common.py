@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null document id wherever ids are compared: it sorts behind every real one.
 NO_ID = 2**63 - 1
+#: Bits of maybe_in()'s filter (1 MB), and of the bitmaps that Spark makes of it.
+FILTER_BITS = 1 << 23
+BITMAP_BITS = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +56,26 @@ def id_or_last(name: str = "doc_id") -> Column:
 def text_key(name: str = "text") -> Column:
     """64-bit key of a text; a null text is the empty one."""
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
+
+
+def maybe_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every key of ``keys`` (one column of 64-bit hashes), and for few others while they are not many millions.
+
+    Rows that fail it need no join with the table. The filter has the same size whatever the keys: it is only a way to shuffle
+    less, and lets the more rows through the more keys there are.
+    """
+    spark = keys.sparkSession
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
+    maps = keys.select(bit.alias("bit")).groupBy(F.expr(f"bit div {BITMAP_BITS}").alias("map")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BITMAP_BITS))).alias("bits"))
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps.collect():  # at most FILTER_BITS / BITMAP_BITS rows
+        part = np.frombuffer(r["bits"], np.uint8)
+        held[r["map"] * BITMAP_BITS // 8 :][: len(part)] = part
+    shared = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        at = np.mod(h.to_numpy(), FILTER_BITS)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_last, save, text_key
+from .common import NO_ID, id_or_last, maybe_in, save, text_key
 from .graph import connected_components
 
 SEED = 42
@@ -231,33 +232,41 @@ def _similar(shard: pa.Table, radius: int | None, similarity: float) -> list[tup
     names = shard.column("k").to_numpy()
     _, first = np.unique(names, return_index=True)
     names, n = names[first], len(first)
-    prints = shard.column("fp").to_numpy().view(np.uint64)[first].tolist()
-    sets = [np.frombuffer(s, np.uint32) for s in shard.column("shingles").take(first).to_pylist()]
-    size = np.array([len(s) for s in sets])
     if n < 2:
         return []
+    sets = [np.frombuffer(s, np.uint64) for s in shard.column("shingles").take(first).to_pylist()]
+    size = np.array([len(s) for s in sets])
     every, local = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.r_[0, np.cumsum(size)[:-1]]
-    mark, tree, groups, at = np.zeros(len(every), np.int64), BKTree(), Groups(n), []
-    for i in range(n):
-        found = [j for _, node in sorted(tree.within(prints[i], radius)) for j in at[node]] if radius is not None else range(i)
+    mark, groups = np.zeros(len(every), np.int64), Groups(n)
+
+    def join_close(i: int, found: np.ndarray) -> None:
+        """Joins i to those of ``found``, all below i, to which it is similar."""
+        least = np.minimum(size[found], size[i])
+        found = found[(size[found] > 0) & (least >= similarity * (size[found] + size[i] - least) - 1e-9)]
         own = groups.find(i)
-        if any(groups.find(j) != own for j in found):
-            mine = local[starts[i] : starts[i] + size[i]]
-            mark[mine] = 1
-            last = starts[i]
-            both = np.add.reduceat(mark[local[:last]], starts[:i])
-            mark[mine] = 0
-            close = both >= similarity * (size[:i] + size[i] - both) - 1e-9
-            for j in found:
-                if close[j]:
-                    groups.join(i, j)
-        if radius is None:
-            continue
-        node = tree.add(prints[i])
-        if node == len(at):
-            at.append([])
-        at[node].append(i)
+        found = found[[groups.find(j) != own for j in found.tolist()]] if len(found) else found
+        if not len(found) or not size[i]:
+            return
+        mine = local[starts[i] : starts[i] + size[i]]
+        mark[mine] = 1
+        theirs = np.concatenate([local[starts[j] : starts[j] + size[j]] for j in found.tolist()])
+        both = np.add.reduceat(mark[theirs], np.r_[0, np.cumsum(size[found])[:-1]])
+        mark[mine] = 0
+        for j in found[both >= similarity * (size[found] + size[i] - both) - 1e-9].tolist():
+            groups.join(i, j)
+
+    if radius is None:
+        for i in range(1, n):
+            join_close(i, np.arange(i))
+    else:
+        prints, tree, at = shard.column("fp").to_numpy().view(np.uint64)[first].tolist(), BKTree(), []
+        for i in range(n):
+            join_close(i, np.array([j for _, node in tree.within(prints[i], radius) for j in at[node]], np.int64))
+            node = tree.add(prints[i])
+            if node == len(at):
+                at.append([])
+            at[node].append(i)
     return [(int(names[i]), int(names[j])) for i in range(n) if (j := groups.find(i)) != i]
 
 
@@ -279,7 +288,7 @@ def _commonness(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(k, keys) of each row: the first shingles of its set, in one order for all, of which any two sets of ``similarity`` share one.
+    """(k, size, keys) of each row: the first shingles of its set of ``size``, in one order for all, of which any two sets of ``similarity`` share one.
 
     Such sets share at least ``similarity`` of either one's n shingles, so the first that they share is in each among
     the first n - ceil(similarity n) + 1. That holds in any order; the rarest come first, so that few sets meet.
@@ -288,15 +297,16 @@ def _prefixes(docs: DataFrame, shingle_words: int, similarity: float) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
+            keys, size = [], []
             for t in _texts(b):
                 h = np.unique(shingle_hashes(t, shingle_words))
+                size.append(len(h))
                 first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
                 keys.append(h[np.lexsort((h, common[(h % np.uint64(ORDER_BUCKETS)).astype(np.int64)]))[:first]].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column("k"), lists], ["k", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(size, pa.int64()), lists], ["k", "size", "keys"])
 
-    return docs.select(text_key().alias("k"), "text").mapInArrow(work, "k long, keys array<long>")
+    return docs.select(text_key().alias("k"), "text").mapInArrow(work, "k long, size long, keys array<long>")
 
 
 def _open_halves(rooted: DataFrame) -> DataFrame:
@@ -323,61 +333,82 @@ def _open_halves(rooted: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, texts: DataFrame, met: DataFrame, shingle_words: int, similarity: float, radius: int | None) -> DataFrame:
-    """Edges (a, b) of the texts that meet in a shard of ``met`` (k, shard, n: texts of the shard), compared by _similar()."""
-    met = met.withColumn("chunks", F.ceil(F.col("n") / CHUNK))
-    chunk = F.pmod(F.xxhash64("k", F.lit(1)), F.col("chunks"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("shard", F.least(j, chunk), F.greatest(j, chunk)))
-    wanted = save(met.select("k", F.explode(cells).alias("cell")).groupBy("k").agg(F.collect_set("cell").alias("cells")).join(texts.select("k", "id", "fp"), "k"), "wanted")
+    """Edges (a, b) of the texts that meet in a cell of ``met`` (k, cell), compared by _similar(); ``docs`` has id, k and text.
+
+    The shingle set of a text is made where the text is read, and only sets of texts that meet others are shuffled.
+    """
+    wanted = save(met.groupBy("k").agg(F.collect_set("cell").alias("cells")).join(texts.select("k", "id", "fp"), "k"), "wanted")
+    asked = maybe_in(wanted.select(F.xxhash64("id", "k")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle_words).astype(np.uint32)).tobytes() for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("fp"), b.column("cells"), pa.array(found, pa.binary())], ["k", "fp", "cells", "shingles"])
+            found = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in _texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(found, pa.binary())], ["id", "k", "shingles"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _runs(batches, ["cell"]):
             if edges := _similar(shard, radius, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    texted = docs.select(id_or_last().alias("id"), text_key().alias("k"), "text").join(wanted, ["id", "k"]).select("k", "fp", "cells", "text")
-    cut = texted.mapInArrow(sets, "k long, fp long, cells array<long>, shingles binary").select("k", "fp", "shingles", F.explode("cells").alias("cell"))
+    made = docs.where(asked(F.xxhash64("id", "k"))).mapInArrow(sets, "id long, k long, shingles binary")
+    cut = made.join(wanted, ["id", "k"]).dropDuplicates(["id", "k"]).select("k", "fp", "shingles", F.explode("cells").alias("cell"))
     return save(cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long"), "near-edges")
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 6) -> DataFrame:
+def _chunk(n: str) -> Column:
+    """Which of the chunks of a shard of ``n`` texts a text k belongs to."""
+    return F.pmod(F.xxhash64("k", F.lit(1)), F.ceil(F.col(n) / CHUNK))
+
+
+def _chunks(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CHUNK) - 1)
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, shards: int = 3) -> DataFrame:
     """(id, k, root_id, root_k, n_rows) of each distinct document of ``docs`` (doc_id, text): its group's smallest document.
 
     Two documents link if their sets of ``shingle_words``-word shingles have Jaccard similarity ``similarity`` or more.
     A similarity of 0.8 turns over about eight of 64 bits, too many for shards by bit blocks; so a document goes to a
-    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one with probability 0.99994). In a shard a
-    BK-tree follows edges within ``radius`` bits, and the shingle sets of what it finds are compared exactly. That finds most
-    links; the rest are found exactly: all texts of different groups that share a shingle of their prefixes (_prefixes()),
-    as any two that are similar do, are compared whatever their bits. A shard
-    of over CHUNK texts is cut, and each two of its chunks meet in one task. Equal texts are one document before that.
+    shard for each of its ``shards`` smallest shingle hashes (a pair at 0.8 shares one of three with probability 0.99). In a
+    shard a BK-tree follows edges within ``radius`` bits, and the shingle sets of what it finds are compared exactly; a shard of over CHUNK
+    texts is cut into chunks, each with the shard's smallest text. That finds most
+    links; the rest are found exactly: all texts of different groups that share a shingle of their prefixes (_prefixes())
+    and are of a size, as any two that are similar do and are, are compared whatever their bits. Of over CHUNK such texts, each two
+    chunks meet in one task. Equal texts are one document before that.
 
     id is doc_id, or NO_ID where that is null; k is the text's key; n_rows counts equal rows. Null texts are empty,
     and texts without words are copies of each other only if equal. An empty table gives none; other columns are not read.
     """
+    read = docs.select(id_or_last().alias("id"), text_key().alias("k"), "text")
     marked = save(_sketches(docs, shingle_words, shards), "sketches")
     texts = save(marked.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "texts")
     spread = texts.select("k", F.explode(F.array_distinct("shards")).alias("shard"))
-    counts = save(spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shared-shards")
-    first = _linked(docs, texts, spread.join(counts, "shard"), shingle_words, similarity, radius)
+    counts = save(spread.groupBy("shard").agg(F.count("*").alias("n"), F.min("k").alias("least")).where("n > 1"), "shared-shards")
+    # A shard's smallest text is in all its chunks; what chunks keep apart otherwise is left to the second way.
+    met = spread.join(counts, "shard").withColumn("chunk", F.explode(F.when(F.col("k") == F.col("least"), _chunks("n")).otherwise(F.array(_chunk("n")))))
+    first = _linked(read, texts, met.select("k", F.xxhash64("shard", "chunk").alias("cell")), shingle_words, similarity, radius)
     linked = save(connected_components(first).withColumnRenamed("node", "k"), "near-first")
     # What the shards or the radius have missed: texts that share a shingle of their prefixes and are not yet in one group.
-    prefixes = _prefixes(docs, shingle_words, similarity).groupBy("k").agg(F.first("keys").alias("keys"))
-    rooted = save(prefixes.join(linked, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "keys"), "prefixes")
+    prefixes = _prefixes(docs, shingle_words, similarity).groupBy("k").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rooted = save(prefixes.join(linked, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "size", "keys"), "prefixes")
     # Most shingles are in one group only: those go first, by half of their bits, before anything wide is shuffled.
     halves = save(_open_halves(rooted), "open-halves")
     small = halves.count() <= BROADCAST_HALVES
-    keyed = rooted.select("k", "root", F.explode("keys").alias("key")).withColumn("half", F.shiftright("key", 32))
-    keyed = save(keyed.join(F.broadcast(halves) if small else halves, "half", "left_semi").select("k", "root", "key"), "open-keys")
+    keyed = rooted.select("k", "root", "size", F.explode("keys").alias("key")).withColumn("half", F.shiftright("key", 32))
+    keyed = keyed.join(F.broadcast(halves) if small else halves, "half", "left_semi")
+    # Sizes of similar sets differ by less than a step of 1 / similarity: they are in one step or in two neighbouring ones.
+    step = F.floor(F.log("size") / (-math.log(similarity) * (1 + 1e-9))).cast("int")
+    keyed = keyed.select("k", "root", "key", F.posexplode(F.array(step, step + 1)).alias("lower", "step"))
+    keyed = save(keyed.select("k", "root", "lower", F.xxhash64("key", "step").alias("shard")), "open-keys")
     mark = F.xxhash64("k", F.lit(2))
-    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("k").alias("least"), F.max("k").alias("most"), F.bit_xor("k").alias("all"), F.bit_xor(mark).alias("mark")).where("low <> high")
-    # Shingles that the same texts share are one shard.
-    same = Window.partitionBy("n", "least", "most", "all", "mark")
-    mixed = save(mixed.withColumn("shard", F.min("key").over(same)).where("key = shard").select("key", "n"), "open-shards")
-    second = _linked(docs, texts, keyed.join(mixed, "key").select("k", F.col("key").alias("shard"), "n"), shingle_words, similarity, None)
+    mixed = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("lower").alias("lower"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("k").alias("least"), F.max("k").alias("most"), F.bit_xor("k").alias("all"), F.bit_xor(mark).alias("mark"))
+    # A shard with texts of the lower step alone is one that they have already; shards of the same texts are one.
+    mixed = mixed.where("low <> high and lower = 0")
+    same = mixed.groupBy("n", "least", "most", "all", "mark").agg(F.min("shard").alias("shard"))
+    mixed = save(same.select("shard", "n"), "open-shards")
+    met = keyed.select("k", "shard").distinct().join(mixed, "shard").withColumn("chunk", _chunk("n"))
+    pairs = F.transform(_chunks("n"), lambda j: F.xxhash64("shard", F.least(j, "chunk"), F.greatest(j, "chunk")))
+    second = _linked(read, texts, met.select("k", F.explode(pairs).alias("cell")), shingle_words, similarity, None)
     edges = first.union(second)
     roots = save(connected_components(edges).withColumnRenamed("node", "k"), "near-roots")
     grouped = save(texts.select("k", "id").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "near-groups")
@@ -393,8 +424,15 @@ def drop_near_copies(docs: DataFrame, **how: object) -> DataFrame:
     Keeps all columns as they are; helper columns are named so that they cannot clash with them. Of equal rows one stays.
     """
     of = near_copies(docs, **how)
-    kept = save(of.where((F.col("id") == F.col("root_id")) & (F.col("k") == F.col("root_k"))).select(F.col("id").alias("†id"), F.col("k").alias("†k"), "n_rows"), "kept")
-    out = docs.withColumns({"†id": id_or_last(), "†k": text_key()}).join(kept.drop("n_rows"), ["†id", "†k"], "left_semi")
-    if not kept.where("n_rows > 1").isEmpty():
-        out = out.dropDuplicates(["†id", "†k"])
-    return out.drop("†id", "†k")
+    keys = ["†id", "†k"]
+    of = save(of.select(F.col("id").alias("†id"), F.col("k").alias("†k"), ((F.col("id") == F.col("root_id")) & (F.col("k") == F.col("root_k"))).alias("†stays"), "n_rows"), "near-copies")
+    # Rows that are neither dropped nor repeated, most of them, pass without a join.
+    held = of.where("not `†stays` or n_rows > 1")
+    asked = maybe_in(held.select(F.xxhash64(*keys)))
+    marked = docs.withColumns({"†id": id_or_last(), "†k": text_key()}).withColumn("†asked", asked(F.xxhash64(*keys)))
+    dropped, repeated = (save(held.where(c).select(keys), name) for c, name in (("not `†stays`", "dropped"), ("`†stays`", "repeated")))
+    joined = marked.where("`†asked`").join(dropped, keys, "left_anti")
+    if not repeated.isEmpty():
+        again = joined.join(repeated, keys, "left_semi").dropDuplicates(keys)
+        joined = joined.join(repeated, keys, "left_anti").unionByName(again)
+    return marked.where("not `†asked`").unionByName(joined).drop(*keys, "†asked")
