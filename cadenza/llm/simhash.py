@@ -227,14 +227,29 @@ def _sketches(docs: DataFrame, shingle_words: int, shards: int) -> DataFrame:
     return docs.select(id_or_last().alias("id"), text_key().alias("k"), "text").mapInArrow(work, "id long, k long, fp long, shards array<long>")
 
 
+def _pack(hashes: np.ndarray) -> bytes:
+    """A set of hashes by their upper 40 bits, in order, equal bytes of neighbours side by side."""
+    return np.unique(hashes).view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(5, -1).T
+    return wide.view(np.uint64).ravel()
+
+
 def _similar(shard: pa.Table, radius: int | None, similarity: float) -> list[tuple[int, int]]:
-    """Edges (k, k) that connect the documents of a shard as all pairs within ``radius`` bits (None: all pairs) whose shingle sets have Jaccard ``similarity`` do."""
+    """Edges (k, k) that connect the documents of a shard as all pairs within ``radius`` bits (None: all pairs) whose shingle sets have Jaccard ``similarity`` do.
+
+    Sets have their true sizes, and hashes that agree in 40 bits count as shared: no link is lost, and of pairs that lack one shared
+    shingle about one in 2^40 / (size size) would be taken for a link.
+    """
     names = shard.column("k").to_numpy()
     _, first = np.unique(names, return_index=True)
     names, n = names[first], len(first)
     if n < 2:
         return []
-    sets = [np.frombuffer(s, np.uint64) for s in shard.column("shingles").take(first).to_pylist()]
+    sets = [_unpack(s) for s in shard.column("shingles").take(first).to_pylist()]
     size = np.array([len(s) for s in sets])
     every, local = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.r_[0, np.cumsum(size)[:-1]]
@@ -342,7 +357,7 @@ def _linked(docs: DataFrame, texts: DataFrame, met: DataFrame, shingle_words: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in _texts(b)]
+            found = [_pack(shingle_hashes(t, shingle_words)) for t in _texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(found, pa.binary())], ["id", "k", "shingles"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,11 +419,15 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     mixed = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("lower").alias("lower"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("k").alias("least"), F.max("k").alias("most"), F.bit_xor("k").alias("all"), F.bit_xor(mark).alias("mark"))
     # A shard with texts of the lower step alone is one that they have already; shards of the same texts are one.
     mixed = mixed.where("low <> high and lower = 0")
-    same = mixed.groupBy("n", "least", "most", "all", "mark").agg(F.min("shard").alias("shard"))
-    mixed = save(same.select("shard", "n"), "open-shards")
-    met = keyed.select("k", "shard").distinct().join(mixed, "shard").withColumn("chunk", _chunk("n"))
+    same = mixed.groupBy("n", "least", "most", "all", "mark").agg(F.min("shard").alias("shard"), F.min("low").alias("low"))
+    met = save(keyed.select("k", "shard").distinct().join(same.select("shard", "n", "low"), "shard"), "open-shards")
+    # Shards whose smallest groups are one meet in one cell, so that a text goes there once; where those are too many, each shard has cells of its own.
+    homes = met.select("k", "low").distinct()
+    sizes = save(homes.groupBy("low").agg((F.count("*") <= CHUNK).alias("together")), "homes")
+    apart = met.join(sizes.where("not together"), "low").withColumn("chunk", _chunk("n"))
     pairs = F.transform(_chunks("n"), lambda j: F.xxhash64("shard", F.least(j, "chunk"), F.greatest(j, "chunk")))
-    second = _linked(read, texts, met.select("k", F.explode(pairs).alias("cell")), shingle_words, similarity, None)
+    cells = homes.join(sizes.where("together"), "low").select("k", F.xxhash64("low").alias("cell")).union(apart.select("k", F.explode(pairs).alias("cell")))
+    second = _linked(read, texts, cells, shingle_words, similarity, None)
     edges = first.union(second)
     roots = save(connected_components(edges).withColumnRenamed("node", "k"), "near-roots")
     grouped = save(texts.select("k", "id").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "near-groups")
