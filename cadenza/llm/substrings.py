@@ -18,16 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_last, text_key
+from .common import NO_ID, id_or_last, maybe_in, save
 
-#: A run of this many equal words, or more, is one symbol that joins no pair.
-RUN = 4
-#: Words on each side of a symbol that its key covers too.
-MARGIN = 3
+#: Words beyond what decides a symbol that its key covers too, on each side.
+MARGIN = 1
 WORDS_KEPT = 500_000
+#: Bytes of text whose names one bucket holds, about; the number of buckets grows with the corpus.
+BUCKET_BYTES = 32 << 20
+#: Names that a task gathers before it packs and sends them.
+GATHER = 1_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_P = np.uint64(0x100000001B3)
+_P, _Q = np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93)
+_LAST = np.uint64(2**64 - 1)
 
 
 def _times(constant: np.uint64, n: int) -> np.uint64:
@@ -78,233 +81,276 @@ class Words:
             total = total * _P + self.names[starts + j]
         return _mix(total + _times(_A, size))
 
+    def checks(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Second names, of 32 bits, of the windows at ``starts``."""
+        total = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            total = (total ^ self.names[starts + j]) * _Q
+        return (_mix(total) >> np.uint64(32)).astype(np.uint32)
 
-def recompress(names: np.ndarray, barriers: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, start, whether it joins no pair) of the symbols that cover the words after ``rounds`` rounds.
 
-    First, each maximal run of RUN or more equal words becomes one symbol named by the word. Then each round deals
+def recompress(names: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, low, high) of the symbols that cover the words after ``rounds`` rounds, in order.
+
+    First, each maximal run of equal words becomes one symbol, named by the word and the length. Then each round deals
     all symbols to a left and a right side by a bit of their names, and every left symbol followed by a right one becomes
-    one symbol named by the two. Runs and barriers join no pair. After two rounds any other symbol has four words at most, and
-    what becomes of a word depends on no more than six words on either side of it.
+    one symbol named by the two. The words from low to before high decide a symbol: wherever they stand, they are parsed to it,
+    with the same low and high beside it. A low below 0, or a high beyond the last word, says that the end of the array decides too.
     """
     n = len(names)
-    first = np.r_[True, names[1:] != names[:-1]] if n else np.zeros(0, bool)
-    first[barriers] = True
-    first[barriers[barriers + 1 < n] + 1] = True
-    change = np.flatnonzero(first)
-    long = np.diff(np.r_[change, n]) >= RUN
-    alone = np.zeros(n, bool)
-    alone[change[long]] = True
-    alone[barriers] = True
-    keep = first | ~np.repeat(long, np.diff(np.r_[change, n]))
-    start = np.flatnonzero(keep)
-    alone = alone[start]
-    symbol = np.where(alone, _mix(names[start] ^ _A), names[start])
+    start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if n else np.zeros(0, np.int64)
+    end = np.r_[start[1:], n]
+    symbol = np.where(end - start > 1, _mix(names[start] * _P + (end - start).astype(np.uint64)), names[start])
+    low, high = start - 1, end + 1
     for r in range(1, rounds + 1):
         right = (_mix(symbol + _times(_A, r)) >> np.uint64(63)).astype(bool)
-        at = np.flatnonzero(~right[:-1] & right[1:] & ~alone[:-1] & ~alone[1:])
+        at = np.flatnonzero(~right[:-1] & right[1:])
+        # A symbol that stays alone does so by its neighbour on the side where it could have joined.
+        before, after = np.r_[np.full(min(len(symbol), 1), -1), low[:-1]], np.r_[high[1:], np.full(min(len(symbol), 1), n + 1)]
+        alone_low, alone_high = np.where(right, np.minimum(low, before), low), np.where(right, high, np.maximum(high, after))
+        alone_low[at], alone_high[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
         symbol[at] = _mix(symbol[at] * _P + symbol[at + 1] + _times(_C, r))
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
-        symbol, start, alone = symbol[keep], start[keep], alone[keep]
-    return symbol, start, alone
+        symbol, low, high = symbol[keep], alone_low[keep], alone_high[keep]
+    return symbol, low, high
 
 
-def anchors(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text) of each anchor, and the anchor of each window of ``size`` words at ``starts``.
+def anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of ``size`` words start, and the key of each window's anchor.
 
-    A window's anchor is the symbol that covers its middle word. For windows of 13 words or more it depends on the window's
-    words alone: a symbol of at most four words, seen with three words on either side, lies within. The key
-    of an anchor covers those margins too, so that it says more than a single frequent word; a run's key is its word's.
+    The anchor is the symbol of smallest key among those that the window's own words decide, with MARGIN words on either side;
+    its key is the name of all these words. So windows of equal words have equal anchors wherever they stand, and neighbouring windows
+    mostly share theirs. A window that decides no symbol is its own anchor.
     """
-    symbol, start, alone = recompress(words.names, words.barriers)
-    of_word = np.zeros(len(words.names), np.int64)
-    of_word[start] = 1
-    of_word = np.cumsum(of_word) - 1
-    middle = of_word[starts + size // 2]
-    mark = np.zeros(len(symbol), bool)
-    mark[middle] = True
-    used = np.flatnonzero(mark)
-    key, run = symbol[used], alone[used]
-    a, b = start[used], np.r_[start, len(words.names)][used + 1]
-    last = len(words.names) - 1
-    for j in range(1, MARGIN + 1):
-        left, right = words.names[np.maximum(a - j, 0)], words.names[np.minimum(b + j - 1, last)]
-        key = np.where(run, key, _mix(key * _P + left) * _P + right)
-    place = np.cumsum(mark) - 1
-    return _mix(key), words.text[a], place[middle]
+    names = words.names
+    _, low, high = recompress(names)
+    low, high = low - MARGIN, high + MARGIN
+    inside = (low >= 0) & (high <= len(names)) & (high - low <= size)
+    low, high = low[inside], high[inside]
+    key = np.zeros(len(low), np.uint64)
+    for j in range(int((high - low).max()) if len(low) else 0):
+        more = low + j < high
+        key[more] = key[more] * _P + names[low[more] + j]
+    key = _mix(key + (high - low).astype(np.uint64) * _A) >> np.uint64(1)
+    order = np.argsort(key)[::-1]  # where two begin at one word, the smaller key is written last
+    low, high, key = low[order], high[order], key[order]
+    best = np.full(len(names), _LAST)
+    for j in range(size):
+        fits = (low >= j) & (high - low + j <= size)
+        here = np.full(len(names), _LAST)
+        here[low[fits] - j] = key[fits]
+        best = np.minimum(best, here)
+    starts = words.window_starts(size)
+    best = best[starts]
+    own = np.flatnonzero(best == _LAST)
+    best[own] = words.windows(starts[own], size) | np.uint64(1 << 63)
+    return starts, best
 
 
 # --- packed rows ---
 
 
-def _pack(bucket: np.ndarray, row: np.ndarray, docs: dict[str, np.ndarray], entries: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: the values of its documents, how many entries each has, and the values of the entries.
+def _planes(values: np.ndarray) -> bytes:
+    """Values byte by byte, equal bytes of all side by side: what is alike packs well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def _stretches(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values begins."""
+    if not len(sorted_by[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([v[1:] != v[:-1] for v in sorted_by])])
+
 
-    ``row`` is the document of each entry, ascending within a bucket; ``docs`` have a value for each document.
+def _packed(bucket: np.ndarray, known: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket, of entries that are ``known`` to repeat and of others."""
+    order = np.lexsort((columns["id"], known, bucket))
+    bucket, known = bucket[order], known[order]
+    begin = _stretches(bucket, known)
+    parts = list(zip(begin.tolist(), np.r_[begin[1:], len(bucket)].tolist(), strict=True))
+    arrays = [pa.array([_planes(v[a:z]) for a, z in parts], pa.binary()) for v in (v[order] for v in columns.values())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array(known[begin], pa.bool_()), *arrays], ["bucket", "known", *columns])
+
+
+def _by_id(ids: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each id, with the values of its entries."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    begin = _stretches(ids)
+    ends = np.r_[begin, len(ids)]
+
+    def cut(values: np.ndarray) -> pa.Array:
+        flat = np.ascontiguousarray(values[order])
+        return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), *(cut(v) for v in columns.values())], ["id", *columns])
+
+
+def _met(made: Iterator[dict[str, np.ndarray]], name: tuple[str, ...], buckets: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Packed rows of entries that share a ``name`` with others, gathered over batches.
+
+    Of equal names that a task has gathered, only those of the smallest id go to their bucket, so a name that very many documents
+    hold is not one bucket's work; the others are known to repeat: with ``cut`` those after the smallest id, else all.
     """
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    bucket, row = bucket[order], row[order]
-    begin = np.r_[True, bucket[1:] != bucket[:-1]]
-    doc_begin = np.flatnonzero(begin | np.r_[True, row[1:] != row[:-1]])
-    counts = np.diff(np.r_[doc_begin, len(row)]).astype(np.uint16 if len(row) < 65536 else np.uint32)
-    wide = np.dtype(counts.dtype).itemsize
-    starts = np.flatnonzero(begin)
-    doc_starts = np.searchsorted(doc_begin, np.r_[starts, len(row)])
-    named = {k: v[row[doc_begin]] for k, v in docs.items()}
-    valued = {k: v[order] for k, v in entries.items()}
-    out: dict[str, list] = {"bucket": bucket[starts].astype(np.int32), "wide": np.full(len(starts), wide, np.int32)} | {k: [] for k in ("counts", *docs, *entries)}
-    for i, (a, z) in enumerate(zip(starts.tolist(), np.r_[starts[1:], len(row)].tolist(), strict=True)):
-        p, q = doc_starts[i], doc_starts[i + 1]
-        out["counts"].append(counts[p:q].tobytes())
-        for k, v in named.items():
-            out[k].append(v[p:q].tobytes())
-        for k, v in valued.items():
-            out[k].append(v[a:z].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("bucket", "wide") else pa.binary()) for k, v in out.items()], list(out))
-
-
-def _unpack(rows: list[dict], docs: dict[str, type], entries: dict[str, type]) -> tuple[np.ndarray, ...]:
-    """(document of each entry, documents' values..., entries' values...) of several packed rows."""
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint16 if r["wide"] == 2 else np.uint32).astype(np.int64) for r in rows])
-    return np.repeat(np.arange(len(counts)), counts), *(np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (docs | entries).items())
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The packed rows of each bucket, of batches sorted by bucket."""
+
+    def pack(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        order = np.lexsort((e["id"], *(e[c] for c in reversed(name))))
+        e = {c: v[order] for c, v in e.items()}
+        if not cut:
+            once = _stretches(e["id"], *(e[c] for c in name))
+            e = {c: v[once] for c, v in e.items()}
+        begin = _stretches(*(e[c] for c in name))
+        sizes = np.diff(np.r_[begin, len(e["id"])])
+        later = e["id"] > np.repeat(e["id"][begin], sizes)
+        several = later if cut or not len(begin) else np.repeat(np.maximum.reduceat(later, begin), sizes)
+        sent, told = np.flatnonzero(~later), np.flatnonzero(several)
+        to = np.r_[e[name[0]][sent], _mix(e["id"][told].view(np.uint64) + _A)]
+        known = np.arange(len(to)) >= len(sent)
+        return _packed((to % np.uint64(buckets)).astype(np.int32), known, {c: v[np.r_[sent, told]] for c, v in e.items()})
+
+    held, n = [], 0
+    for e in made:
+        held.append(e)
+        n += len(e["id"])
+        if n >= GATHER:
+            yield pack(held)
+            held, n = [], 0
+    if n:
+        yield pack(held)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], name: tuple[str, ...], kinds: dict[str, type], back: tuple[str, ...], cut: bool) -> Iterator[pa.RecordBatch]:
+    """(id, values of ``back``) of the entries whose name another document has (``cut``: one of smaller id), of rows sorted by bucket."""
+
+    def unpack(rows: list[dict]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([_values(r[c], kind) for r in rows]) for c, kind in kinds.items()}
+
+    def compare(rows: list[dict]) -> pa.RecordBatch:
+        e = unpack(rows)
+        order = np.lexsort((e["id"], *(e[c] for c in reversed(name))))
+        e = {c: v[order] for c, v in e.items()}
+        begin = _stretches(*(e[c] for c in name))
+        sizes = np.diff(np.r_[begin, len(order)])
+        later = e["id"] > np.repeat(e["id"][begin], sizes)
+        found = later if cut else np.repeat(np.maximum.reduceat(later, begin), sizes)
+        return _by_id(e["id"][found], {c: e[c][found] for c in back})
+
     held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
+            if r["known"]:
+                e = unpack([r])
+                yield _by_id(e["id"], {c: e[c] for c in back})
+                continue
             if held and held[0]["bucket"] != r["bucket"]:
-                yield held
+                yield compare(held)
                 held = []
             held.append(r)
     if held:
-        yield held
-
-
-def _table(work: Callable, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(n).cast(schema.field(n).type) for n in schema.names], schema=schema) for b in work(left, right)], schema)
-
-    return whole
+        yield compare(held)
 
 
-def _texts(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-
-def _forty(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-
-
 def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None, texts: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Each word covered by a window of ``size`` (13 or more) consecutive words that also starts in a document of smaller doc_id
     is removed; windows are judged on the input. kept_text is what stays, one space between words (null without ``texts``).
 
-    Steps, one shuffle each: (1) anchors of all documents meet by key, and those of two documents or more go back to their
-    documents; (2) documents name the windows of those anchors, which meet by name; (3) windows with a smaller
-    document go back, and the words under them are cut. Rows of the shuffles are packed by bucket; ``buckets`` (by default
-    as many as shuffle partitions) should grow with the corpus, as partitions do. A name that very many documents hold
-    costs some bytes for each in one bucket. Anchors and documents meet by 40 bits of hash in step 1, where an accident only
-    adds a candidate; windows have 64 bits.
+    Steps: (1) anchors of all documents meet by key, and those of two documents or more go back to their
+    documents; (2) documents name the windows of those anchors, in 96 bits, which meet by name; (3) windows with a smaller
+    document go back, are compared with the words by a second name, and the words under them are cut. Rows of the shuffles are packed by
+    bucket; a task holds the names of one bucket at a time, and the number of buckets grows with the bytes of the corpus. Documents meet
+    their anchors and windows by doc_id in joins, and only those that have some are shuffled.
 
     Null and empty texts have no words. Rows without a doc_id count as later than all others, and rows of one doc_id do
     not remove each other's words. Repeated rows get equal results; an empty table gives none; other columns are not read.
     """
     if size < 13:
-        raise ValueError("an anchor is sure to lie within windows of 13 words or more only")
-    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low_bits, forty = np.uint64(2**32 - 1), np.uint64(2**40 - 1)
-    rows = docs.select(id_or_last().alias("id"), F.xxhash64(id_or_last(), text_key()).bitwiseAND(F.lit(2**40 - 1)).alias("x"), "text")
-    split = lambda x, name: {f"{name}low": (x & low_bits).astype(np.uint32), f"{name}high": ((x >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)}
-    of_doc, of_key = {"xlow": np.uint32, "xhigh": np.uint8}, {"klow": np.uint32, "khigh": np.uint8}
+        raise ValueError("an anchor is sure to be shared by many windows of 13 words or more only")
+    if buckets is None:
+        held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+    rows = docs.select(id_or_last().alias("id"), "text")
+    key_kinds = {"id": np.int64, "key": np.uint64}
+    window_kinds = {"id": np.int64, "window": np.uint64, "check": np.uint32, "pos": np.uint32}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
+
+        def made() -> Iterator[dict[str, np.ndarray]]:
+            for b in batches:
+                words, ids = Words(_texts(b), names), b.column("id").to_numpy()
+                starts, key = anchors(words, size)
+                text = words.text[starts]
+                change = _stretches(text, key)
+                yield {"id": ids[text[change]], "key": key[change]}
+
+        yield from _met(made(), ("key",), buckets, cut=False)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _Names()
+
+        def made() -> Iterator[dict[str, np.ndarray]]:
+            for b in batches:
+                words, ids = Words(_texts(b), names), b.column("id").to_numpy()
+                starts, key = anchors(words, size)
+                asked = [np.frombuffer(b"".join(k), np.uint64) for k in b.column("keys").to_pylist()]
+                # A key is asked for by its document: both in one number.
+                of = _mix(np.repeat(np.arange(len(asked)), list(map(len, asked))).astype(np.uint64) + _A)
+                hit = starts[np.isin(key ^ _mix(words.text[starts].astype(np.uint64) + _A), np.concatenate([np.zeros(0, np.uint64), *asked]) ^ of)]
+                yield {"id": ids[words.text[hit]], "window": words.windows(hit, size), "check": words.checks(hit, size), "pos": words.place[hit].astype(np.uint32)}
+
+        yield from _met(made(), ("window", "check"), buckets, cut=True)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _Names()
         for b in batches:
-            words = Words(_texts(b), names)
-            key, text, _ = anchors(words, words.window_starts(size), size)
-            yield from _pack((key % np.uint64(n)).astype(np.int32), text, split(b.column("x").to_numpy().view(np.uint64), "x"), split(key, "k"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _buckets(batches):
-            row, xlow, xhigh, klow, khigh = _unpack(held, of_doc, of_key)
-            key, x = _forty(klow, khigh), _forty(xlow, xhigh)
-            order = np.argsort(key, kind="stable")
-            begin = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            of = x[row[order]]
-            several = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
-            met = np.sort(order[np.repeat(several, np.diff(np.r_[begin, len(order)]))])
-            yield from _pack((x % np.uint64(n)).astype(np.int32)[row[met]], row[met], {"xlow": xlow, "xhigh": xhigh}, {"klow": klow[met], "khigh": khigh[met]})
-
-    def named(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not right.num_rows or not left.num_rows:
-            return
-        row, xlow, xhigh, klow, khigh = _unpack(right.to_pylist(), of_doc, of_key)
-        asked, key = _forty(xlow, xhigh)[row], _forty(klow, khigh)
-        order = np.argsort(asked, kind="stable")
-        asked, key = asked[order], key[order]
-        own = left.column("x").to_numpy().view(np.uint64)
-        begin, end = np.searchsorted(asked, own, "left"), np.searchsorted(asked, own, "right")
-        wanted = np.flatnonzero(end > begin)
-        ids, names = left.column("id").to_numpy(), _Names()
-        for at in range(0, len(wanted), 500):
-            part = wanted[at : at + 500]
-            words = Words(_texts(left.take(part)), names)
-            starts = words.window_starts(size)
-            mine, text, anchor = anchors(words, starts, size)
-            met = np.concatenate([key[begin[i] : end[i]] | np.uint64(j << 40) for j, i in enumerate(part.tolist())])
-            hit = starts[np.isin((mine & forty) | (text.astype(np.uint64) << np.uint64(40)), met)[anchor]]
-            w, of = words.windows(hit, size), words.text[hit]
-            yield from _pack((w % np.uint64(n)).astype(np.int32), of, {"id": ids[part], **split(own[part], "x")}, {"window": w, "pos": words.place[hit].astype(np.uint32)})
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _buckets(batches):
-            row, ids, xlow, xhigh, window, pos = _unpack(held, {"id": np.int64, **of_doc}, {"window": np.uint64, "pos": np.uint32})
-            order = np.argsort(window, kind="stable")
-            begin = np.flatnonzero(np.r_[True, np.diff(window[order]) != 0])
-            of = ids[row[order]]
-            least = np.repeat(np.minimum.reduceat(of, begin), np.diff(np.r_[begin, len(order)]))
-            cut = np.sort(order[of > least])
-            yield from _pack((_forty(xlow, xhigh) % np.uint64(n)).astype(np.int32)[row[cut]], row[cut], {"id": ids, "xlow": xlow, "xhigh": xhigh}, {"pos": pos[cut]})
-
-    def kept(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        cuts: dict[tuple[int, int], list[np.ndarray]] = {}
-        if right.num_rows:
-            row, ids, xlow, xhigh, pos = _unpack(right.to_pylist(), {"id": np.int64, **of_doc}, {"pos": np.uint32})
-            begin = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
-            for i, doc in enumerate(zip(ids.tolist(), _forty(xlow, xhigh).tolist(), strict=True)):
-                cuts.setdefault(doc, []).append(pos[begin[i] : begin[i + 1]])
-        own_ids, own = left.column("id").to_pylist(), left.column("x").to_pylist()
-        for at in range(0, left.num_rows, 256):
-            out: list[tuple] = []
-            for i, text in enumerate(_texts(left.slice(at, 256)), at):
-                words = text.split()
-                stays = words
-                if (found := cuts.get((own_ids[i], own[i]))) is not None:
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    starts = np.unique(np.concatenate(found)).astype(np.int64)
-                    edges[starts] += 1
-                    edges[starts + size] -= 1
-                    stays = [words[j] for j in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
+            found, out = b.column("cuts").to_pylist(), []
+            some = [i for i, c in enumerate(found) if c]
+            every = _texts(b)
+            words = Words([every[i] for i in some], names)
+            first = words.barriers - words.sizes
+            for i, text in enumerate(every):
+                split = stays = text.split()
+                if found[i]:
+                    j = some.index(i) if len(some) < 8 else int(np.searchsorted(some, i))
+                    at = np.concatenate([np.frombuffer(c["pos"], np.uint32) for c in found[i]]).astype(np.int64)
+                    check = np.concatenate([np.frombuffer(c["check"], np.uint32) for c in found[i]])
+                    fits = at <= len(split) - size
+                    at, check = at[fits], check[fits]
+                    at = np.unique(at[words.checks(first[j] + at, size) == check])
+                    edges = np.zeros(len(split) + 1, np.int64)
+                    edges[at] += 1
+                    edges[at + size] -= 1
+                    stays = [split[j] for j in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 text = b" ".join(stays)
-                out.append((None if own_ids[i] == NO_ID else own_ids[i], len(words), len(words) - len(stays), hashlib.sha256(text).hexdigest(), text if texts else None))
-            c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    packed = lambda *names: pa.schema([("bucket", pa.int32()), ("wide", pa.int32()), ("counts", pa.binary()), *((c, pa.binary()) for c in names)])
-    kind = lambda *names: ", ".join(["bucket int, wide int, counts binary", *(f"{c} binary" for c in names)])
-    candidate, window, cut = ("xlow", "xhigh", "klow", "khigh"), ("id", "xlow", "xhigh", "window", "pos"), ("id", "xlow", "xhigh", "pos")
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    placed = rows.withColumn("bucket", F.pmod("x", F.lit(n)).cast("int")).groupBy("bucket")
-    found = rows.select("x", "text").mapInArrow(keys, kind(*candidate)).repartition("bucket").sortWithinPartitions("bucket")
-    back = found.mapInArrow(shared, kind(*candidate)).groupBy("bucket")
-    of_windows = placed.cogroup(back).applyInArrow(_table(named, packed(*window)), kind(*window))
-    cuts = of_windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, kind(*cut)).groupBy("bucket")
-    return placed.cogroup(cuts).applyInArrow(_table(kept, result), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+                out.append((len(split), len(split) - len(stays), hashlib.sha256(text).hexdigest(), text if texts else None))
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    def repeats(*how: object) -> Callable:
+        return lambda batches: _repeats(batches, *how)
+
+    sent = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    found = sent(rows.mapInArrow(keys, "bucket int, known boolean, id binary, key binary"))
+    back = found.mapInArrow(repeats(("key",), key_kinds, ("key",), False), "id long, key binary")
+    met = save(back.groupBy("id").agg(F.collect_list("key").alias("keys")), "met-anchors")
+    test = maybe_in(met.select(F.xxhash64("id")))(F.xxhash64("id"))
+    held = rows.where(test)  # one shuffle by id serves both joins
+    found = sent(held.join(met, "id").mapInArrow(windows, "bucket int, known boolean, id binary, window binary, check binary, pos binary"))
+    back = found.mapInArrow(repeats(("window", "check"), window_kinds, ("pos", "check"), True), "id long, pos binary, check binary")
+    cuts = back.groupBy("id").agg(F.collect_list(F.struct("pos", "check")).alias("cuts"))
+    whole = rows.where(~test).withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))
+    parts = held.join(cuts, "id", "left")
+    return whole.union(parts).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "cuts").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
