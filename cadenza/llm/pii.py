@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = regex.compile(r"\p{L}{3,}")
 
 #: Words on each side of a protected value that count as its company.
 COMPANY = 10
@@ -70,44 +71,52 @@ def _value(text: str, span: tuple[int, int, int]) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{said}") - 2**63
 
 
-def _company(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(value, term, start, end) of the terms beside each span, those within spans left out."""
-    found, taken = [], bytearray(len(text))
+def _company(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int]]]:
+    """(value, term) of the terms within COMPANY terms of each span, however long they are, and (term, start, end) of all occurrences of such terms in the text.
+
+    Terms within spans are none.
+    """
+    taken = bytearray(len(text))
     for _, a, z in spans:
         taken[a:z] = b"\1" * (z - a)
-    reach = 16 * COMPANY + 64
+    terms = [(text[i:j], i, j) for i, j in (m.span() for m in _TERM.finditer(text)) if not any(taken[i:j])]
+    starts, near = [t[1] for t in terms], set()
     for span in spans:
         value, (_, a, z) = _value(text, span), span
-        low, high = max(0, a - reach), min(len(text), z + reach)
-        before = [m.span() for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-COMPANY:]
-        after = [m.span() for m in _TERM.finditer(text, z, high) if m.end() < high or high == len(text)][:COMPANY]
-        found += [(value, text[i:j], i, j) for i, j in before + after if not any(taken[i:j])]
-    return found
+        before, after = bisect.bisect_left(starts, a), bisect.bisect_left(starts, z)
+        near |= {(value, t[0]) for t in terms[max(0, before - COMPANY) : before] + terms[after : after + COMPANY]}
+    asked = {t.lower() for _, t in near}
+    return sorted(near), [t for t in terms if t[0].lower() in asked]
 
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-_NEAR = "array<struct<value:long,term:string,start:int,end:int>>"
+_NEAR = "array<struct<value:long,term:string>>"
+_PLACES = "array<struct<term:string,start:int,end:int>>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, k, base, near) of each row: base spans, and the terms beside them with the values that they stand by."""
+    """(doc_id, id, k, base, near, places) of each row: base spans, the terms beside them with the values that they stand by, and where in the text those terms are."""
+    place = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([
         ("doc_id", pa.int64()), ("id", pa.int64()), ("k", pa.int64()),
         ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
-        ("near", pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
+        ("near", pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string())]))), ("places", place),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, near = [], []
+            base, near, places = [], [], []
             for text in b.column("text").to_pylist():
                 spans = base_spans(text or "")
                 base.append([{"kind": k, "start": a, "end": z} for k, a, z in spans])
-                near.append([{"value": v, "term": t, "start": a, "end": z} for v, t, a, z in _company(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("k"), pa.array(base, schema.field("base").type), pa.array(near, schema.field("near").type)], schema=schema)
+                company, at = _company(text, spans) if spans else ([], [])
+                near.append([{"value": v, "term": t} for v, t in company])
+                places.append([{"term": t, "start": a, "end": z} for t, a, z in at])
+            found = [pa.array(v, schema.field(n).type) for n, v in (("base", base), ("near", near), ("places", places))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("k"), *found], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last().alias("id"), text_key().alias("k"), "text")
-    return save(rows.mapInArrow(work, f"doc_id long, id long, k long, base {_SPAN}, near {_NEAR}"), "detected")
+    return save(rows.mapInArrow(work, f"doc_id long, id long, k long, base {_SPAN}, near {_NEAR}, places {_PLACES}"), "detected")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -130,7 +139,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     pairs = save(counted.join(around, "term").where(strength >= disclosure).drop("of_term"), "pairs")
     asked = save(pairs.select("term").distinct(), "asked-terms")
     small = asked.count() <= BROADCAST_TERMS
-    texts = docs.select(text_key().alias("k"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    texts = docs.select(text_key().alias("k"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("term")).withColumn("term", F.lower("term"))
     held = texts.join(F.broadcast(asked) if small else asked, "term", "left_semi").distinct()
     terms = save(held.groupBy("term").agg(F.count("*").alias("of_term")), "term-counts")
     joined = pairs.join(terms, "term", "left").withColumn("of_term", F.coalesce("of_term", "both"))
@@ -138,10 +147,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
 
 def _added(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, k, added) of the documents in which telling terms stand beside their values."""
-    near = found.where(F.size("near") > 0).select("id", "k", F.explode("near").alias("x")).select("id", "k", F.col("x.value").alias("value"), F.lower("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    spans = near.join(terms.select("value", "term"), ["value", "term"]).select("id", "k", F.struct(F.lit(4).alias("kind"), "start", "end").alias("span")).distinct()
-    return save(spans.groupBy("id", "k").agg(F.array_sort(F.collect_list("span")).alias("added")), "added")
+    """(id, k, added) of the documents with telling terms beside their values: every occurrence of such a term in the document."""
+    term = F.lower("x.term").alias("term")
+    near = found.where(F.size("near") > 0).select("id", "k", F.explode("near").alias("x")).select("id", "k", F.col("x.value").alias("value"), term)
+    telling = near.join(terms.select("value", "term"), ["value", "term"]).select("id", "k", "term").distinct()
+    places = found.where(F.size("near") > 0).select("id", "k", F.explode("places").alias("x")).select("id", "k", term, F.struct(F.lit(4).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("span"))
+    return save(places.join(telling, ["id", "k", "term"]).groupBy("id", "k").agg(F.array_sort(F.collect_set("span")).alias("added")), "added")
 
 
 def _said(spans: Column) -> Column:
@@ -152,8 +163,8 @@ def _said(spans: Column) -> Column:
 def personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
-    Base spans are those of base_spans(); to them the method adds a ``term`` span for each word within COMPANY words of a
-    protected value that disclosing_terms() says gives that value away. spans has all of them as kind:start:end,
+    Base spans are those of base_spans(); to them the method adds a ``term`` span for each word that stands within COMPANY words of a
+    protected value which, as disclosing_terms() says, it gives away, and for that word wherever else it stands in the same document. spans has all of them as kind:start:end,
     comma-joined, in order of kind (email, ip, card, phone, term) and start; base_sha256 is taken of the base ones alone.
 
     Null and empty texts have no spans. Rows without a doc_id keep null; rows of equal doc_id and text share their

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import save, shared_dir
 
 CHUNK_BYTES = 1 << 16
+#: Bytes of payloads that a worker is handed at once, about; one larger payload comes alone.
+BATCH_BYTES = 8 << 20
 _BREAKS = re.compile(r"[\x00-\x1f\x7f]")
 CHUNKS = "file string, record_id string, page_id long, record_type string, refers_to long, target_uri string, header_digest string, chunk_no int, chunk_bytes long, bytes_so_far long, digest_so_far string, is_last boolean, data binary"
 
@@ -45,7 +47,12 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _record(page_id: int | None, url: str | None, html: bytes, refers_to: int | None, digest: str, now: str) -> Iterator[bytes]:
+def _slices(html: memoryview) -> Iterator[memoryview]:
+    for at in range(0, len(html), CHUNK_BYTES):
+        yield html[at : at + CHUNK_BYTES]
+
+
+def _record(page_id: int | None, url: str | None, html: memoryview, refers_to: int | None, digest: str, now: str) -> Iterator[bytes | memoryview]:
     """The bytes of a record, the payload in slices."""
     name = lambda x: f"<urn:page:{'none' if x is None else x}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -58,8 +65,7 @@ def _record(page_id: int | None, url: str | None, html: bytes, refers_to: int |
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name(refers_to)}
     yield b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + http
     if refers_to is None:
-        for at in range(0, len(html), CHUNK_BYTES):
-            yield html[at : at + CHUNK_BYTES]
+        yield from _slices(html)
     yield b"\r\n\r\n"
 
 
@@ -67,8 +73,10 @@ def write_warc(roles: DataFrame, path: str, level: int = 1) -> DataFrame:
     """Write record_roles() rows as ``.warc.gz`` files under ``path``, one for each task, each record a gzip member of its own.
 
     Returns (file, records, bytes). A task writes under a name of its own attempt and renames at its end, so a task that is
-    lost or run twice leaves one whole file. Payloads are compressed and digested in slices.
+    lost or run twice leaves one whole file. Payloads are digested and compressed slice by slice from the buffer in which Spark hands
+    them over, BATCH_BYTES at a time.
     """
+    roles.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +89,11 @@ def write_warc(roles: DataFrame, path: str, level: int = 1) -> DataFrame:
         with fs.open_output_stream(made, compression=None) as out:
             for b in batches:
                 for i in range(b.num_rows):
-                    page_id, url, html, refers_to = (b.column(c)[i].as_py() for c in ("page_id", "url", "html", "refers_to"))
-                    digest, packed = base32_sha1(hashlib.sha1(html)), zlib.compressobj(level, wbits=31)
-                    for piece in _record(page_id, url, html, refers_to, digest, now):
+                    page_id, url, refers_to = (b.column(c)[i].as_py() for c in ("page_id", "url", "refers_to"))
+                    html, sha, packed = memoryview(b.column("html")[i].as_buffer()), hashlib.sha1(), zlib.compressobj(level, wbits=31)
+                    for piece in _slices(html):
+                        sha.update(piece)
+                    for piece in _record(page_id, url, html, refers_to, base32_sha1(sha), now):
                         out.write(packed.compress(piece))
                     out.write(packed.flush())
                     records += 1
@@ -198,7 +208,8 @@ def read_warc(spark: SparkSession, path: str, files: DataFrame, data: bool = Tru
                     if held:
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
 
-    return files.select("file").repartition("file").mapInArrow(work, CHUNKS)
+    # With a number of its own, adaptive execution leaves the partitions as they are: about one for each file.
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(work, CHUNKS)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:

@@ -219,6 +219,50 @@ def test_terms_that_give_a_value_away(spark):
     assert "Zorblax" not in clean[0] and "@" not in clean[0] and "[email]" in clean[0] and clean[10] == text[10]
 
 
+def plain_terms(rows):
+    """The term spans by brute force: company, support, strength and all occurrences, over distinct texts."""
+    import math
+
+    texts, words, near = {t or "" for _, t in rows}, {}, {}
+    for t in texts:
+        spans = plain_spans(t)
+        free = [m for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < z for _, a, z in spans)]
+        words[t] = free
+        near[t] = set()
+        for kind, a, z in spans:
+            value = (kind, t[a:z].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:z]))
+            before, after = [m for m in free if m.start() < a][-10:], [m for m in free if m.start() >= z][:10]
+            near[t] |= {(value, m[0].lower()) for m in before + after}
+    n, telling = len(texts), set()
+    for value, term in set().union(*near.values()):
+        both = sum((value, term) in x for x in near.values())
+        of_value = sum(any(v == value for v, _ in x) for x in near.values())
+        of_term = sum(any(w.lower() == term for w in re.findall(r"[^\W\d_]+", t)) for t in texts)
+        if both >= 3 and of_value < n and math.log(n * both / (of_value * of_term)) / math.log(n / of_value) >= 0.9 - 1e-12:
+            telling.add((value, term))
+    return {t: [(m.start(), m.end()) for m in words[t] if any((v, m[0].lower()) in telling for v, x in near[t] if x == m[0].lower())] for t in texts}
+
+
+def test_terms_against_brute_force(spark):
+    rng, rows = random.Random(61), []
+    names = ["".join(rng.choice("abcdefg") for _ in range(40)) for _ in range(12)]
+    for i in range(150):
+        person = rng.randrange(4)
+        body = " ".join(rng.choice(["the", "of", "wrote", "und", "Straße", *names[6:]]) for _ in range(rng.randint(0, 30)))
+        value = [f"p{person}@corp.example", "10.0.0.7", "+49 30 1234567", "4111 1111 1111 1111"][person] if i % 3 else ""
+        name = names[person if value else person + 6]
+        who = name.upper() if i % 2 else name
+        # Eight long words stand between a value and a name; the name stands again at the head.
+        rows.append((i, f"{name if i % 5 else ''} {body} {value} " + " ".join("w" * 40 + "abcdefgh"[j] for j in range(8)) + f" {who} {body}"))
+    rows += [(None, rows[1][1]), (1, rows[1][1]), (900, None), (901, "")]
+    terms = plain_terms(rows)
+    expected = sorted([(i, ",".join(f"term:{a}:{z}" for a, z in terms[t or ""])) for i, t in rows], key=str)
+    found = [(r.doc_id, ",".join(x for x in r.spans.split(",") if x.startswith("term"))) for r in pii.personal_data(frame(spark, rows)).collect()]
+    assert sorted(found, key=str) == expected and any(x for _, x in expected)
+    assert pii.sanitise(frame(spark, rows).limit(0)).count() == 0
+    assert {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}[900] is None
+
+
 def test_warc_round_trip(spark):
     big = "é\r\n\r\nWARC/1.1\r\n" * 30000
     html = ["<p>a</p>", "<p>a</p>", "", None, big, "b", big, "<p>a</p>"]
