@@ -7,6 +7,7 @@ import itertools
 import math
 import uuid
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,28 +19,19 @@ from .common import save, shared_dir, text_key
 BROADCAST_PLACES = 100_000
 
 
-def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Weights as whole numbers of at least 1 whose sum is ``period``: largest remainders are rounded up, ties by name."""
-    total = sum(weights.values())
-    if min(weights.values()) <= 0 or len(weights) > period:
-        raise ValueError("weights must be above 0, and no more than the period has places")
-    exact = {s: period * w / total for s, w in weights.items()}
-    whole = {s: max(1, int(x)) for s, x in exact.items()}
-    while (left := period - sum(whole.values())) != 0:
-        step = 1 if left > 0 else -1
-        able = [s for s in whole if step > 0 or whole[s] > 1]
-        for s in sorted(able, key=lambda s: (step * (whole[s] - exact[s]), s))[: abs(left)]:
-            whole[s] += step
-    return whole
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in exactly the proportion that they are written in (0.1 is a tenth), with no common divisor."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if min(exact.values()) <= 0:
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
 
 
-def whole_period(weights: Mapping[str, float], period: int) -> int:
-    """The least multiple of ``period`` in which the smallest weight has a place of its own."""
-    return period * max(1, math.ceil(sum(weights.values()) / min(weights.values()) / period - 1e-9))
-
-
-def pfair_places(weights: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, place) of the blocks of one period, whose places are as many as the weights' sum.
+def pfair_places(weights: Mapping[str, int], places: int | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, place) of the blocks of one period, whose places are as many as the weights' sum, or of its first ``places``.
 
     Block k (from 0) of a source with w of Q places is released at floor(k Q / w) and due by ceil((k + 1) Q / w); each
     place goes to the released block that is due first (ties: the one whose window is followed by an overlapping one, then
@@ -50,7 +42,7 @@ def pfair_places(weights: Mapping[str, int]) -> Iterator[tuple[str, int, int, in
     window = lambda s, k: (k * period // weights[s], -(-(k + 1) * period // weights[s]))
     waiting = [(0, s, 0) for s in sorted(weights)]
     ready: list[tuple[int, int, str, int]] = []
-    for place in range(period):
+    for place in range(period if places is None else min(period, places)):
         while waiting and waiting[0][0] <= place:
             _, s, k = heapq.heappop(waiting)
             due = window(s, k)[1]
@@ -61,15 +53,11 @@ def pfair_places(weights: Mapping[str, int]) -> Iterator[tuple[str, int, int, in
             heapq.heappush(waiting, (window(s, k + 1)[0], s, k + 1))
 
 
-def pfair_period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    return list(pfair_places(weights))
-
-
-def _plan(spark: SparkSession, shares: Mapping[str, int]) -> DataFrame:
-    """pfair_places() as a table; a long period is written piece by piece, so the driver never holds more than one."""
-    places, path = pfair_places(shares), f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+def _plan(spark: SparkSession, shares: Mapping[str, int], wanted: int) -> DataFrame:
+    """The first ``wanted`` of pfair_places() as a table; a long plan is written piece by piece, so the driver never holds more than one."""
+    places, path = pfair_places(shares, wanted), f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
     piece = lambda rows: spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["source", "turn", "release", "deadline", "place"]))
-    if sum(shares.values()) <= BROADCAST_PLACES:
+    if wanted <= BROADCAST_PLACES:
         return piece(places)
     while rows := list(itertools.islice(places, BROADCAST_PLACES)):
         piece(rows).write.mode("append").parquet(path)
@@ -80,12 +68,12 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit(""))
 
 
-def source_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
-    """Target weights from the corpus: each source's count of documents to ``power`` (1: as they are, 0: all alike)."""
-    return {r["s"]: r["count"] ** power for r in docs.groupBy(_source().alias("s")).count().collect()}
+def source_weights(docs: DataFrame, power: float = 0.5) -> dict[str, int]:
+    """Target weights from the corpus: the whole part of each source's count of documents to ``power`` (1: as they are, 0: all alike)."""
+    return {r["s"]: int(r["count"] ** power) for r in docs.groupBy(_source().alias("s")).count().collect()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, period: int = 1000, buckets: int = 1024) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, buckets: int = 1024) -> DataFrame:
     """Order for the rows of ``docs`` (doc_id, source) in which sources follow ``weights`` throughout.
 
     Returns doc_id, source, block (of ``block`` rows, by source), release, deadline, place (of the block, in blocks) and
@@ -95,9 +83,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     name. Without ``weights`` they are source_weights().
 
     Rows are numbered in their source by bucket of doc_id, then doc_id: counts of the (source, bucket) cells give the first number of a
-    cell, so a source of any size is numbered in many tasks. The schedule of one period is the only thing the driver makes; it has
-    a multiple of ``period`` places, so many that the smallest weight has one by right. A null source is the empty one; rows without a doc_id come last in a cell of their
-    own; repeated rows have positions of their own. An empty table gives none; other columns are not read.
+    cell, so a source of any size is numbered in many tasks. Weights are kept exactly, as whole numbers, whose schedule repeats after as
+    many places as their sum; the driver makes one period of it, or as much of one as the corpus needs. A null source is the empty one;
+    rows without a doc_id come last in a cell of their own; repeated rows have positions of their own. An empty table gives none; other
+    columns are not read.
     """
     spark = docs.sparkSession
     cell = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(buckets)), F.lit(buckets)).cast("int")
@@ -111,10 +100,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     asked = dict(weights) if weights is not None else source_weights(docs)
     if not asked:
         asked = {"": 1.0}
-    shares = whole_weights(asked, whole_period(asked, period))
+    shares = whole_weights(asked)
     whole = sum(shares.values())
-    sent = F.broadcast if whole <= BROADCAST_PLACES else lambda df: df
-    plan = sent(_plan(spark, shares))
+    # The last block of each source that has a weight is due within so many places.
+    longest = {r["source"]: -(-r["rows"] // block) for r in counts.groupBy("source").agg(F.sum("n").alias("rows")).collect()}
+    wanted = min(whole, max((-(-n * whole // shares[s]) for s, n in longest.items() if s in shares), default=1))
+    sent = F.broadcast if wanted <= BROADCAST_PLACES else lambda df: df
+    plan = sent(_plan(spark, shares, wanted))
     share = sent(spark.createDataFrame(list(shares.items()), "source string, of long"))
     mixed = numbered.join(share, "source").withColumn("cycle", F.floor(F.col("block") / F.col("of"))).withColumn("turn", F.col("block") % F.col("of"))
     shift = F.col("cycle") * whole

@@ -93,21 +93,20 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_pfair": """
         WITH RECURSIVE c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-        w0 AS (SELECT s, 1000 * sqrt(n) / sum(sqrt(n)) OVER () AS x FROM c),
-        w1 AS (SELECT s, x, greatest(1, CAST(floor(x) AS BIGINT)) AS base FROM w0),
-        w2 AS (SELECT s, base + CASE WHEN row_number() OVER (ORDER BY base - x, s) <= 1000 - (SELECT sum(base) FROM w1) THEN 1 ELSE 0 END AS w FROM w1),
+        w2 AS (SELECT s, CAST(floor(sqrt(n)) AS BIGINT) AS w FROM c),
+        q AS (SELECT CAST(sum(w) AS BIGINT) AS q FROM w2),
         l AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws FROM w2),
         e(place, done, pick) AS (
             SELECT -1, list_transform(ws, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM l
             UNION ALL SELECT place + 1, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p FROM (
-                SELECT place, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d < ws[i] AND (d * 1000) // ws[i] <= place + 1 THEN
-                    {'due': ((d + 1) * 1000 + ws[i] - 1) // ws[i], 'alone': CASE WHEN ((d + 1) * 1000) % ws[i] <> 0 THEN -1 ELSE 0 END, 'i': CAST(i AS BIGINT)} END), lambda x: x IS NOT NULL)).i AS p
-                FROM e, l WHERE place < 999) q),
+                SELECT place, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d < ws[i] AND (d * q) // ws[i] <= place + 1 THEN
+                    {'due': ((d + 1) * q + ws[i] - 1) // ws[i], 'alone': CASE WHEN ((d + 1) * q) % ws[i] <> 0 THEN -1 ELSE 0 END, 'i': CAST(i AS BIGINT)} END), lambda x: x IS NOT NULL)).i AS p
+                FROM e, l, q WHERE place < q - 1) x),
         plan AS (SELECT names[pick] AS source, ws[pick] AS w, row_number() OVER (PARTITION BY pick ORDER BY place) - 1 AS turn, place FROM e, l WHERE place >= 0),
         d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id % 1024, doc_id) - 1 AS number FROM documents)
-        SELECT doc_id, x.source AS source, number // 16 AS block, CAST((turn * 1000) // w + cycle * 1000 AS BIGINT) AS release, CAST(((turn + 1) * 1000 + w - 1) // w + cycle * 1000 AS BIGINT) AS deadline,
-            CAST(place + cycle * 1000 AS BIGINT) AS place, CAST((place + cycle * 1000) * 16 + number % 16 AS BIGINT) AS position
-        FROM (SELECT d.*, number // 16 // w AS cycle, number // 16 % w AS t FROM d JOIN w2 ON source = s) x JOIN plan p ON p.source = x.source AND p.turn = x.t""",
+        SELECT doc_id, x.source AS source, number // 16 AS block, CAST((turn * q) // w + cycle * q AS BIGINT) AS release, CAST(((turn + 1) * q + w - 1) // w + cycle * q AS BIGINT) AS deadline,
+            CAST(place + cycle * q AS BIGINT) AS place, CAST((place + cycle * q) * 16 + number % 16 AS BIGINT) AS position
+        FROM (SELECT d.*, number // 16 // w AS cycle, number // 16 % w AS t FROM d JOIN w2 ON source = s) x JOIN plan p ON p.source = x.source AND p.turn = x.t, q""",
     "op3_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
         SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,

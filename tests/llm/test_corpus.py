@@ -345,7 +345,7 @@ def test_mixing(spark):
     rows = [(i, rng.choice(["a"] * 6 + ["b"] * 3 + ["c", None])) for i in range(3000)] + [(None, "a"), (7, "a"), (8, "zzz")]
     docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1 as position", "'t' as text")
     weights = {"a": 0.5, "b": 0.3, "c": 0.1, "": 0.1}
-    out = sorted(mixing.mix_sources(docs, weights, block=4, period=20).collect(), key=lambda r: r.position)
+    out = sorted(mixing.mix_sources(docs, weights, block=4).collect(), key=lambda r: r.position)
     assert len(out) == len(rows) and len({r.position for r in out}) == len(rows) and out[-1].source == "zzz"
     blocks = sorted({(r.place, r.source, r.block, r.release, r.deadline) for r in out if r.place is not None})
     assert all(release <= place < deadline for place, _, _, release, deadline in blocks)
@@ -361,35 +361,41 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_weights_hold_exactly(spark):
+    assert mixing.whole_weights({"a": 0.1, "b": 0.35, "c": 1}) == {"a": 2, "b": 7, "c": 20}
+    # Weights off any round period, over many periods, and a period that is longer than the corpus.
+    for weights in ({"a": 0.6180339, "b": 0.2718281, "c": 0.11}, {"a": 387, "b": 141, "c": 14}):
+        docs = spark.range(9000).selectExpr("id as doc_id", "case when id < 6000 then 'a' when id < 8800 then 'b' else 'c' end as source")
+        out = sorted({(r.place, r.source) for r in mixing.mix_sources(docs, weights, block=2).collect()})
+        total, had, last = sum(weights.values()), dict.fromkeys(weights, 0), {s: max(p for p, x in out if x == s) for s in weights}
+        for place, s in out:
+            if place > min(last.values()):
+                break
+            had[s] += 1
+            assert all(abs(had[x] - w / total * (place + 1)) < 1 for x, w in weights.items())
+
+
 def test_weights_hold_with_many_sources(spark):
-    for n in (950, 1200):
-        weights = {"hot": 1000.0, **{f"s{i}": 10.0 for i in range(n - 1)}}
-        shares = mixing.whole_weights(weights, mixing.whole_period(weights, 1000))
-        whole = sum(shares.values())
-        assert all(abs(shares[s] / whole - w / sum(weights.values())) <= 1 / whole for s, w in weights.items())
-    assert mixing.whole_period({"a": 999, "b": 1}, 1000) == 1000
-    # From documents: 1,600 rows of one source and one each of 12,000 others, whose weights are 40 and 1.
+    # 1,600 rows of one source and one each of 12,000 others, whose weights are 40 and 1.
     docs = spark.range(13600).selectExpr("id as doc_id", "case when id < 1600 then 'hot' else concat('s', id) end as source")
     out = mixing.mix_sources(docs).collect()
     assert len({r.position for r in out}) == len(out) == 13600
     assert all(r.release <= r.place < r.deadline for r in out)
     blocks = {r.block: r.place for r in out if r.source == "hot"}
-    share = 40 / (40 + 12000)
-    # Whole weights differ from exact ones by less than a place in each period.
-    assert len(blocks) == 100 and all(abs(k - share * place) < 1 + (place + 1) / 13000 for k, place in blocks.items())
+    assert len(blocks) == 100 and all(abs(k - 40 / 12040 * place) < 1 for k, place in blocks.items())
 
 
 def test_long_plan_is_written_in_pieces(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 7) as source")
     whole = collect(mixing.mix_sources(docs), "doc_id", "block", "position", "release", "deadline")
-    monkeypatch.setattr(mixing, "BROADCAST_PLACES", 300)
+    monkeypatch.setattr(mixing, "BROADCAST_PLACES", 3)
     assert collect(mixing.mix_sources(docs), "doc_id", "block", "position", "release", "deadline") == whole
 
 
 @pytest.mark.parametrize("weights", [{"a": 900, **{f"s{i}": 10 for i in range(10)}}, {"a": 1}, {"x": 7, "y": 5, "z": 1}, {"a": 333, "b": 333, "c": 334}])
 def test_schedule_keeps_windows(weights):
     period = sum(weights.values())
-    plan = mixing.pfair_period(weights)
+    plan = list(mixing.pfair_places(weights))
     assert [p[4] for p in plan] == list(range(period)) and all(r <= place < d for _, _, r, d, place in plan)
 
 
