@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -15,10 +16,12 @@ from .common import NO_ID, id_or_last, maybe_in, save, text_key
 from .graph import connected_components
 
 SEED = 42
-#: Bit ranges (first bit, width) of a fingerprint: two that differ in at most two bits agree on one of the three.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: A shard's tree holds no more fingerprints than this; larger shards go the exact way beside it.
+#: Parts into which a shard's free bits are cut: two fingerprints that differ in at most PARTS - 1 bits agree on one of them.
+PARTS = 3
+#: A shard of more fingerprints than this is cut again by its free bits.
 TREE_LIMIT = 4096
+#: Cuts of a shard, at most: the last leaves 20 bits free, and so no more than a million fingerprints to a tree.
+CUTS = 3
 #: Documents of a chunk where shards are cut in chunks, each pair of which is compared in one task.
 CHUNK = 1024
 #: Buckets of shingle hashes that are counted to tell common shingles from rare ones.
@@ -139,57 +142,84 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
         yield rest
 
 
-def _block(k: int) -> Column:
-    """Key of the shard in which a fingerprint meets those that have its bits of block ``k``."""
-    low, width = BLOCKS[k]
-    return F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << width) - 1)))
+def _cut(fixed: int) -> list[int]:
+    """The bits that are not ``fixed``, in PARTS parts of about equal width."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    return [sum(1 << b for b in free[len(free) * j // PARTS : len(free) * (j + 1) // PARTS]) for j in range(PARTS)]
 
 
-def _close(prints: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within ``radius`` (at most 2) bits of each other."""
-    if radius > 2:
-        raise ValueError("shards by bit blocks find pairs that differ in two bits at most")
-    spread = prints.select("fp", F.explode(F.array(*[_block(k) for k in range(len(BLOCKS))])).alias("shard"))
-    large = save(spread.groupBy("shard").count().where(F.col("count") > TREE_LIMIT).select("shard"), "large-shards")
-    rest = spread.join(large, "shard", "left_anti") if (any_large := not large.isEmpty()) else spread
+def _long(bits: int) -> int:
+    return bits - 2**64 if bits >= 2**63 else bits
+
+
+def _close(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, links) of distinct fingerprints: edges (a, b) connect all within ``radius`` (at most 2) bits of each other, links (fp, n) count for each how many those are.
+
+    A shard holds the fingerprints that agree on a part of the bits; where they are more than TREE_LIMIT, it is cut by parts of the
+    bits that it leaves free, CUTS times at most. A pair may meet in several shards and is counted in the first.
+    """
+    if radius >= PARTS:
+        raise ValueError("shards by parts of the bits find pairs that differ in two bits at most")
+    # A way is the parts by which a shard was cut: (all its bits, the parts before each, on which a pair of this way differs).
+    ways: list[tuple[int, list[int]]] = [(0, [])]
+    todo, leaves, first = prints.select("fp", F.lit(0).alias("way")), [], 0
+    for cut in range(1, CUTS + 1):
+        last, branches = len(ways), []
+        for way in range(first, last):
+            fixed, earlier = ways[way]
+            parts = _cut(fixed)
+            for j in range(PARTS):
+                ways.append((fixed | parts[j], earlier + parts[:j]))
+            branches.append([F.struct(F.lit(last + PARTS * (way - first) + j).alias("way"), F.lit(_long(fixed | parts[j])).alias("bits")) for j in range(PARTS)])
+        choice = F.element_at(F.array(*[F.array(*b) for b in branches]), F.col("way") - first + 1)
+        spread = todo.select("fp", F.explode(choice).alias("to")).select("fp", "to.way", F.xxhash64("to.way", F.col("fp").bitwiseAND(F.col("to.bits"))).alias("shard"))
+        large = None if cut == CUTS else save(spread.groupBy("shard").count().where(F.col("count") > TREE_LIMIT).select("shard"), "large-shards")
+        if large is None or large.isEmpty():
+            leaves.append(spread)
+            break
+        leaves.append(spread.join(large, "shard", "left_anti").select("fp", "way", "shard"))
+        todo = save(spread.join(large, "shard", "left_semi").select("fp", "way"), "cut-shards")
+        first = last
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        a, b, n = [], [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(n, pa.int64())], ["a", "b", "n"])
+
         for shard in _runs(batches, ["shard"]):
             fps = np.sort(shard.column("fp").to_numpy().view(np.uint64)).tolist()
-            tree, groups = BKTree(), Groups(len(fps))
+            earlier = ways[shard.column("way")[0].as_py()][1]
+            tree, groups, links = BKTree(), Groups(len(fps)), [0] * len(fps)
             for i, fp in enumerate(fps):
                 for _, j in tree.within(fp, radius):
                     groups.join(i, j)
+                    if all((fp ^ fps[j]) & part for part in earlier):
+                        links[i] += 1
+                        links[j] += 1
                 tree.add(fp)
             for i, fp in enumerate(fps):
-                if (j := groups.find(i)) != i:
+                if (j := groups.find(i)) != i or links[i]:
                     a.append(fp)
                     b.append(fps[j])
+                    n.append(links[i])
             if len(a) > 10000:
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
+                yield made()
+                a, b, n = [], [], []
+        yield made()
 
-    edges = rest.repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, "a long, b long")
-    if any_large:
-        # Two fingerprints are within two bits just if they share a point one bit from either: no more than 65 meet at a point.
-        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-        near = spread.join(large, "shard", "left_semi").select("fp").distinct()
-        points = near.select("fp", F.explode(flips if radius == 2 else F.array("fp")).alias("point"))
-        least = save(points.groupBy("point").agg(F.min("fp").alias("b")), "points")
-        edges = edges.union(points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b"))
-    return edges
+    spread = functools.reduce(DataFrame.union, leaves)
+    found = save(spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, "a long, b long, n long"), "links")
+    return found.where("a <> b").select("a", "b"), found.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) of each row of ``docs`` (doc_id, text).
 
     Fingerprints within ``radius`` bits link; component_id is the smallest doc_id that links reach. Distinct
-    fingerprints are dealt to shards by three bit blocks, one of which two linked fingerprints share; each
-    shard's BK-tree is built where the shard's rows are, so no tree of the corpus is broadcast. A shard too
-    large for a tree (TREE_LIMIT) is linked exactly through shared one-bit neighbours. n_links counts
-    the other distinct fingerprints that a tree or such a point tied to this one directly.
+    fingerprints are dealt to shards by three parts of their bits, one of which two linked fingerprints share; each
+    shard's BK-tree is built where the shard's rows are, so no tree of the corpus is broadcast. Shards too
+    large for a tree (TREE_LIMIT) are cut further. n_links counts the other distinct fingerprints within the radius.
 
     Null and empty texts have fingerprint zero and are linked like others. Rows without a doc_id keep null, take
     part in links, and their component_id is null only where no linked row has an id. Repeated rows
@@ -197,12 +227,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
     """
     marked = save(fingerprints(docs, shingle_words), "fingerprints")
     prints = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    edges = save(_close(prints.select("fp"), radius), "links")
+    edges, links = _close(prints.select("fp"), radius)
     roots = save(connected_components(edges), "roots")
-    links = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = save(known.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    known = save(save(known, "known").join(ids, "root").join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+    known = save(save(known, "known").join(ids, "root").join(links, "fp", "left").select("fp", "component_id", F.coalesce("n", F.lit(0)).alias("n_links")), "components")
     return marked.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 

@@ -89,28 +89,19 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_simhash_large_shards_go_the_exact_way(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TREE_LIMIT", 3)
+@pytest.mark.parametrize(("limit", "radius"), [(4096, 2), (4096, 1), (3, 2), (3, 1), (20, 2)])
+def test_shards_are_cut_until_trees_are_small(spark, monkeypatch, limit, radius):
+    monkeypatch.setattr(simhash, "TREE_LIMIT", limit)
     rng = random.Random(1)
-    fps = [7 ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(40)] + [7, 7 ^ 1 << 63, rng.getrandbits(64)]
-    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    prints = spark.createDataFrame([(f,) for f in set(signed)], "fp long")
-    edges = [(r.a, r.b) for r in simhash._close(prints, 2).collect()]
-    up = {f: f for f in signed}
-
-    def find(f):
-        while up[f] != f:
-            f = up[f]
-        return f
-
-    for a, b in edges:
-        assert ((a ^ b) & (2**64 - 1)).bit_count() <= 4  # linked through a shared neighbour, whose own fingerprints are within two
-        x, y = find(a), find(b)
-        up[max(x, y)] = min(x, y)
-    names = list(set(signed))
-    of = components(names, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
-    assert len({find(f) for f in names}) == len(set(of))
-    assert all(find(names[i]) == find(names[j]) for i, c in enumerate(of) for j, d in enumerate(of) if c == d)
+    fps = [7 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 2))) for _ in range(40)] + [7, 7 ^ 1 << 63, rng.getrandbits(64)]
+    names = sorted({f - 2**64 if f >= 2**63 else f for f in fps})
+    close = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= radius
+    edges, links = simhash._close(spark.createDataFrame([(f,) for f in names], "fp long"), radius)
+    edges = {(r.a, r.b) for r in edges.collect()}
+    of = components(names, close)
+    assert components(names, lambda a, b: (a, b) in edges or (b, a) in edges) == of
+    counted = {r.fp: r.n for r in links.collect()}
+    assert all(counted.get(f, 0) == sum(close(f, g) for g in names) - 1 for f in names)
 
 
 def test_bk_tree():
