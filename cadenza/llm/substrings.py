@@ -10,7 +10,7 @@ Between the rounds and the comparison, Spark shuffles packed rows (a bucket, man
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -211,9 +211,9 @@ def _met(made: Iterator[dict[str, np.ndarray]], name: tuple[str, ...], buckets:
         later = e["id"] > np.repeat(e["id"][begin], sizes)
         several = later if cut or not len(begin) else np.repeat(np.maximum.reduceat(later, begin), sizes)
         sent, told = np.flatnonzero(~later), np.flatnonzero(several)
-        to = np.r_[e[name[0]][sent], _mix(e["id"][told].view(np.uint64) + _A)]
+        to = np.r_[(e[name[0]][sent] % np.uint64(buckets)).astype(np.int32), _id_bucket(e["id"][told], buckets)]
         known = np.arange(len(to)) >= len(sent)
-        return _packed((to % np.uint64(buckets)).astype(np.int32), known, {c: v[np.r_[sent, told]] for c, v in e.items()})
+        return _packed(to, known, {c: v[np.r_[sent, told]] for c, v in e.items()})
 
     held, n = [], 0
     for e in made:
@@ -226,35 +226,61 @@ def _met(made: Iterator[dict[str, np.ndarray]], name: tuple[str, ...], buckets:
         yield pack(held)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch], name: tuple[str, ...], kinds: dict[str, type], back: tuple[str, ...], cut: bool) -> Iterator[pa.RecordBatch]:
-    """(id, values of ``back``) of the entries whose name another document has (``cut``: one of smaller id), of rows sorted by bucket."""
+def _unpack(rows: list[dict], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([_values(r[c], kind) for r in rows]) for c, kind in kinds.items()}
 
-    def unpack(rows: list[dict]) -> dict[str, np.ndarray]:
-        return {c: np.concatenate([_values(r[c], kind) for r in rows]) for c, kind in kinds.items()}
-
-    def compare(rows: list[dict]) -> pa.RecordBatch:
-        e = unpack(rows)
-        order = np.lexsort((e["id"], *(e[c] for c in reversed(name))))
-        e = {c: v[order] for c, v in e.items()}
-        begin = _stretches(*(e[c] for c in name))
-        sizes = np.diff(np.r_[begin, len(order)])
-        later = e["id"] > np.repeat(e["id"][begin], sizes)
-        found = later if cut else np.repeat(np.maximum.reduceat(later, begin), sizes)
-        return _by_id(e["id"][found], {c: e[c][found] for c in back})
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The packed rows of each bucket, of batches sorted by bucket."""
     held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if r["known"]:
-                e = unpack([r])
-                yield _by_id(e["id"], {c: e[c] for c in back})
-                continue
             if held and held[0]["bucket"] != r["bucket"]:
-                yield compare(held)
+                yield held
                 held = []
             held.append(r)
     if held:
-        yield compare(held)
+        yield held
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], name: tuple[str, ...], kinds: dict[str, type], back: tuple[str, ...], buckets: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Packed rows, by bucket of id, of the entries whose name another document has (``cut``: one of smaller id)."""
+    held, n = [], 0
+    for rows in _buckets(batches):
+        known = [r for r in rows if r["known"]]
+        found = [_unpack(known, kinds)] if known else []
+        if others := [r for r in rows if not r["known"]]:
+            e = _unpack(others, kinds)
+            order = np.lexsort((e["id"], *(e[c] for c in reversed(name))))
+            e = {c: v[order] for c, v in e.items()}
+            begin = _stretches(*(e[c] for c in name))
+            sizes = np.diff(np.r_[begin, len(order)])
+            later = e["id"] > np.repeat(e["id"][begin], sizes)
+            hit = later if cut else np.repeat(np.maximum.reduceat(later, begin), sizes)
+            found.append({c: v[hit] for c, v in e.items()})
+        held += [{c: e[c] for c in ("id", *back)} for e in found]
+        n += sum(len(e["id"]) for e in found)
+        if n >= GATHER:
+            yield _to_ids(held, buckets)
+            held, n = [], 0
+    if n:
+        yield _to_ids(held, buckets)
+
+
+def _to_ids(held: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    e = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+    return _packed(_id_bucket(e["id"], buckets), np.ones(len(e["id"]), bool), e)
+
+
+def _id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(ids.view(np.uint64) + _A) % np.uint64(buckets)).astype(np.int32)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[pa.RecordBatch]:
+    """One row for each id, with the values of all its entries, of packed rows sorted by bucket of id."""
+    for rows in _buckets(batches):
+        e = _unpack(rows, kinds)
+        yield _by_id(e.pop("id"), e)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -305,7 +331,7 @@ def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None,
             for b in batches:
                 words, ids = Words(_texts(b), names), b.column("id").to_numpy()
                 starts, key = anchors(words, size)
-                asked = [np.frombuffer(b"".join(k), np.uint64) for k in b.column("keys").to_pylist()]
+                asked = [np.frombuffer(k, np.uint64) for k in b.column("key").to_pylist()]
                 # A key is asked for by its document: both in one number.
                 of = _mix(np.repeat(np.arange(len(asked)), list(map(len, asked))).astype(np.uint64) + _A)
                 hit = starts[np.isin(key ^ _mix(words.text[starts].astype(np.uint64) + _A), np.concatenate([np.zeros(0, np.uint64), *asked]) ^ of)]
@@ -316,7 +342,7 @@ def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None,
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
         for b in batches:
-            found, out = b.column("cuts").to_pylist(), []
+            found, checks, out = b.column("pos").to_pylist(), b.column("check").to_pylist(), []
             some = [i for i, c in enumerate(found) if c]
             every = _texts(b)
             words = Words([every[i] for i in some], names)
@@ -325,8 +351,7 @@ def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None,
                 split = stays = text.split()
                 if found[i]:
                     j = some.index(i) if len(some) < 8 else int(np.searchsorted(some, i))
-                    at = np.concatenate([np.frombuffer(c["pos"], np.uint32) for c in found[i]]).astype(np.int64)
-                    check = np.concatenate([np.frombuffer(c["check"], np.uint32) for c in found[i]])
+                    at, check = np.frombuffer(found[i], np.uint32).astype(np.int64), np.frombuffer(checks[i], np.uint32)
                     fits = at <= len(split) - size
                     at, check = at[fits], check[fits]
                     at = np.unique(at[words.checks(first[j] + at, size) == check])
@@ -339,18 +364,20 @@ def dedup_passages(docs: DataFrame, size: int = 13, buckets: int | None = None,
             c = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    def repeats(*how: object) -> Callable:
-        return lambda batches: _repeats(batches, *how)
+    def repeats(found: DataFrame, name: tuple[str, ...], kinds: dict[str, type], back: tuple[str, ...], cut: bool) -> DataFrame:
+        """(id, values of ``back``): a row for each document with entries that repeat."""
+        sent = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+        columns = ", ".join(f"{c} binary" for c in back)
+        told = sent(found).mapInArrow(lambda b: _repeats(b, name, kinds, back, buckets, cut), f"bucket int, known boolean, id binary, {columns}")
+        return sent(told).mapInArrow(lambda b: _gathered(b, {"id": np.int64} | {c: kinds[c] for c in back}), f"id long, {columns}")
 
-    sent = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    found = sent(rows.mapInArrow(keys, "bucket int, known boolean, id binary, key binary"))
-    back = found.mapInArrow(repeats(("key",), key_kinds, ("key",), False), "id long, key binary")
-    met = save(back.groupBy("id").agg(F.collect_list("key").alias("keys")), "met-anchors")
+    found = rows.mapInArrow(keys, "bucket int, known boolean, id binary, key binary")
+    met = save(repeats(found, ("key",), key_kinds, ("key",), False), "met-anchors")
     test = maybe_in(met.select(F.xxhash64("id")))(F.xxhash64("id"))
     held = rows.where(test)  # one shuffle by id serves both joins
-    found = sent(held.join(met, "id").mapInArrow(windows, "bucket int, known boolean, id binary, window binary, check binary, pos binary"))
-    back = found.mapInArrow(repeats(("window", "check"), window_kinds, ("pos", "check"), True), "id long, pos binary, check binary")
-    cuts = back.groupBy("id").agg(F.collect_list(F.struct("pos", "check")).alias("cuts"))
-    whole = rows.where(~test).withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))
+    found = held.join(met, "id").mapInArrow(windows, "bucket int, known boolean, id binary, window binary, check binary, pos binary")
+    cuts = repeats(found, ("window", "check"), window_kinds, ("pos", "check"), True)
+    none = F.lit(None).cast("binary")
+    whole = rows.where(~test).withColumns({"pos": none, "check": none})
     parts = held.join(cuts, "id", "left")
-    return whole.union(parts).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "cuts").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return whole.union(parts).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "pos", "check").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
