@@ -22,11 +22,11 @@ from .common import NO_ID, id_or_last, maybe_in, save
 
 #: Words beyond what decides a symbol that its key covers too, on each side.
 MARGIN = 1
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: Bytes of text whose names one bucket holds, about; the number of buckets grows with the corpus.
 BUCKET_BYTES = 32 << 20
 #: Names that a task gathers before it packs and sends them.
-GATHER = 1_000_000
+GATHER = 500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _P, _Q = np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93)
