@@ -63,6 +63,11 @@ def nocase(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind, line breaks included, at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -171,7 +176,7 @@ def quality_score(tracks: DataFrame) -> Column:
 
 def duplicate_key(title: Column, artist: Column, album: Column, year: Column, duration: Column) -> Column:
     even = (F.round(sanitize_duration(duration) / 2) * 2).cast("long").cast("string")
-    return F.concat_ws("|", *[F.lower(F.trim(c)) for c in (title, artist, album)], F.trim(year), even)
+    return F.concat_ws("|", *[F.lower(strip(c)) for c in (title, artist, album)], strip(year), even)
 
 
 def mix_class(version: Column) -> Column:

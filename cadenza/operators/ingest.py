@@ -27,7 +27,7 @@ def _split_all(c: Column, separators: tuple[str, ...]) -> Column:
 
 def _distinct_names(parts: Column, placeholder: str) -> Column:
     """Trimmed names in order of appearance, each normalised name once in its longest spelling; none left: the placeholder."""
-    named = F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: (p != "") & (p != placeholder)), lambda p: F.struct(S.normalize_artist_name(p).alias("key"), p.alias("name")))
+    named = F.transform(F.filter(F.transform(parts, S.strip), lambda p: (p != "") & (p != placeholder)), lambda p: F.struct(S.normalize_artist_name(p).alias("key"), p.alias("name")))
 
     def put(kept: Column, x: Column) -> Column:
         known = F.exists(kept, lambda k: k["key"] == x["key"])
@@ -39,6 +39,13 @@ def _distinct_names(parts: Column, placeholder: str) -> Column:
     return F.when(F.size(names) == 0, F.array(F.lit(placeholder))).otherwise(names)
 
 
+def credit_names(credits: DataFrame, known_artists: DataFrame | None = None, placeholder: str = S.UNKNOWN_ARTIST) -> DataFrame:
+    """(credit, names: array) of distinct credits (credit); see split_credits."""
+    if known_artists is not None:
+        return _split_known(credits, known_artists, placeholder)
+    return credits.withColumn("names", _distinct_names(_split_all(F.coalesce("credit", F.lit("")), SURE + tuple(s for s in UNSURE if s not in UNSAFE)), placeholder))
+
+
 def split_credits(df: DataFrame, column: str, known_artists: DataFrame | None = None, placeholder: str = S.UNKNOWN_ARTIST, key: str = "id") -> DataFrame:
     """(key, position, artist): one row for each artist of a credit.
 
@@ -46,13 +53,8 @@ def split_credits(df: DataFrame, column: str, known_artists: DataFrame | None =
     whole, and between unsure separators the longest run that is a known name wins, from left to right. The work is done
     once for each distinct credit: runs of words between separators are joined to the list, so the list is never sent to workers.
     """
-    credits = df.select(F.col(column).alias("credit")).distinct()
-    if known_artists is None:
-        names = credits.withColumn("names", _distinct_names(_split_all(F.coalesce("credit", F.lit("")), SURE + tuple(s for s in UNSURE if s not in UNSAFE)), placeholder))
-    else:
-        names = _split_known(credits, known_artists, placeholder)
-    exploded = names.select("credit", F.posexplode("names").alias("position", "artist"))
-    exploded = exploded.withColumnRenamed("credit", "of")
+    names = credit_names(df.select(F.col(column).alias("credit")).distinct(), known_artists, placeholder)
+    exploded = names.select(F.col("credit").alias("of"), F.posexplode("names").alias("position", "artist"))
     rows = df.select(key, F.col(column).alias("credit"))
     return rows.join(exploded, F.col("credit").eqNullSafe(F.col("of"))).select(key, "position", "artist")
 
@@ -133,34 +135,51 @@ def album_artist_of(tracks: DataFrame) -> Column:
     return F.coalesce(S.empty_to_null(F.col("album_artist")), F.when(F.col("compilation"), S.VARIOUS), F.when(F.col("first_artist") != S.UNKNOWN_ARTIST, F.col("first_artist")))
 
 
+def _canonical(named: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """``named`` (artist, ...) with its normalised name as ``key``; an alias (alias, canonical) takes its canonical name."""
+    named = named.withColumn("key", S.normalize_artist_name(F.col("artist")))
+    if aliases is None:
+        return named
+    to = aliases.select(F.col("alias").alias("key"), "canonical", S.normalize_artist_name(F.col("canonical")).alias("canonical_key"))
+    return named.join(to, "key", "left").withColumn("artist", F.coalesce("canonical", "artist")).withColumn("key", F.coalesce("canonical_key", "key")).drop("canonical", "canonical_key")
+
+
 def build_artists(credits: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(artist_id, name, normalized_name) from credits (track_id, stage, position, artist): the first spelling seen names the artist.
 
     ``aliases`` (alias, canonical: normalised and display name) rewrite names before. Ids are hashes of the normalised name.
     """
-    named = credits.where(~F.col("artist").isin(*S.PLACEHOLDERS) & (F.trim("artist") != "")).withColumn("key", S.normalize_artist_name(F.col("artist")))
-    if aliases is not None:
-        named = named.join(aliases.select(F.col("alias").alias("key"), "canonical"), "key", "left").withColumn("artist", F.coalesce("canonical", "artist")).withColumn("key", S.normalize_artist_name(F.col("artist")))
+    return _named_artists(_canonical(credits.where(~F.col("artist").isin(*S.PLACEHOLDERS) & (F.trim("artist") != "")), aliases))
+
+
+def _named_artists(named: DataFrame) -> DataFrame:
     out = named.groupBy("key").agg(F.min_by("artist", F.struct("track_id", "stage", "position")).alias("name"))
     return out.select(F.xxhash64("key").alias("artist_id"), "name", F.col("key").alias("normalized_name"))
 
 
-def build_track_artists(tracks: DataFrame, artists: DataFrame, known_artists: DataFrame | None = None) -> DataFrame:
+def build_track_artists(tracks: DataFrame, artists: DataFrame, known_artists: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """(track_id, artist_id, role, position) for the roles artist, composer and album_artist."""
-    out = None
-    for role, unknown in (("artist", S.UNKNOWN_ARTIST), ("composer", S.UNKNOWN_COMPOSER), ("album_artist", "")):
-        tagged = tracks.where(F.col(role).isNotNull() & ~F.col(role).isin("", unknown))
-        part = split_credits(tagged, role, known_artists).select(F.col("id").alias("track_id"), F.lit(role).alias("role"), "position", S.normalize_artist_name(F.col("artist")).alias("normalized_name"))
-        out = part if out is None else out.union(part)
-    linked = out.join(artists.select("artist_id", "normalized_name"), "normalized_name")
+    linked = _canonical(role_credits(tracks, known_artists), aliases).join(artists.select("artist_id", F.col("normalized_name").alias("key")), "key")
     return linked.groupBy("track_id", "artist_id", "role").agg(F.min("position").alias("position"))
 
 
+def role_credits(tracks: DataFrame, known_artists: DataFrame | None = None) -> DataFrame:
+    """(track_id, role, stage, position, artist) of all three roles; each distinct credit is split once, whatever roles it has.
+
+    Null, empty and unknown tags give no row.
+    """
+    tags = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(n).alias("stage"), F.col(r).alias("credit")) for n, r in enumerate(ROLES, 1)])
+    rows = tracks.select(F.col("id").alias("track_id"), F.inline(tags)).where(F.col("credit").isNotNull() & ~F.col("credit").isin("", S.UNKNOWN_ARTIST, S.UNKNOWN_COMPOSER))
+    names = credit_names(rows.select("credit").distinct(), known_artists)
+    return rows.join(names, "credit").select("track_id", "role", "stage", F.posexplode("names").alias("position", "artist"))
+
+
 def _fold_title(rows: pd.DataFrame) -> Iterator[tuple]:
-    """Albums of one normalised title, found or made in order of track."""
+    """Albums of one normalised title, found or made in order of track; ``first`` leads from an artist to the first album that lists it."""
     albums: list[tuple[str, str | None, dict[str, str]]] = []
+    first: dict[str, int] = {}
     for r in rows.sort_values("track_id").itertuples():
-        at = next((i for i, (_, _, artists) in enumerate(albums) if r.artist_key is None or r.artist_key in artists), None)
+        at = first.get(r.artist_key) if r.artist_key is not None else (0 if albums else None)
         if at is None:
             at = len(albums)
             albums.append((r.title, r.album_artist, {}))
@@ -169,19 +188,29 @@ def _fold_title(rows: pd.DataFrame) -> Iterator[tuple]:
         made = albums[at][2]
         for key in r.credit_keys:
             made.setdefault(key, "featured" if made else "primary")
+        for key in (r.artist_key, *r.credit_keys):
+            if key is not None:
+                first[key] = min(at, first.get(key, at))
         yield r, at, albums
 
 
-def resolve_albums(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve_albums(tracks: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(track -> album, albums, album artists) of tracks (id, album, album_artist, compilation, credits: array of names).
 
     A track joins the first album of its normalised title that lists its album artist, in whatever role, or any such album if it
-    has none; else it makes one. Order is that of track ids; an (artist, credits) that comes again goes where it went first. Nothing
-    leaves a title, so each title is folded on its own, over its distinct (artist, credits) only, however many tracks it has.
+    has none; else it makes one. ``aliases`` (alias: "title|artist", both normalised, the artist empty if none; title, artist) lead a
+    merged album's tracks to the title and artist it was merged into. Order is that of track ids; an (artist, credits) that comes
+    again goes where it went first. Nothing leaves a title, so each title is folded on its own, over its distinct (artist, credits)
+    only, however many tracks it has.
     """
     rows = tracks.where(F.col("album").isNotNull() & ~F.col("album").isin("", S.UNKNOWN_ALBUM)).withColumn("first_artist", F.get("credits", 0))
-    artist = album_artist_of(rows)
-    keyed = rows.select("id", F.col("album").alias("title"), S.normalize_album_title(F.col("album")).alias("title_key"), artist.alias("album_artist"), S.normalize_artist_name(artist).alias("artist_key"), F.transform("credits", S.normalize_artist_name).alias("credit_keys"))
+    rows = rows.select("id", F.col("album").alias("title"), album_artist_of(rows).alias("album_artist"), F.transform("credits", S.normalize_artist_name).alias("credit_keys"))
+    artist_key = S.normalize_artist_name(F.col("album_artist"))
+    if aliases is not None:
+        to = aliases.select("alias", F.col("title").alias("new_title"), S.empty_to_null(F.col("artist")).alias("new_artist"))
+        rows = rows.withColumn("alias", album_alias(F.col("title"), F.col("album_artist"))).join(to, "alias", "left")
+        rows = rows.withColumn("album_artist", F.when(F.col("new_title").isNull(), F.col("album_artist")).otherwise(F.col("new_artist"))).withColumn("title", F.coalesce("new_title", "title"))
+    keyed = rows.select("id", "title", "album_artist", "credit_keys", S.normalize_album_title(F.col("title")).alias("title_key"), artist_key.alias("artist_key"))
     distinct = keyed.groupBy("title_key", "artist_key", "credit_keys").agg(F.min("id").alias("track_id"), F.min_by("title", "id").alias("title"), F.min_by("album_artist", "id").alias("album_artist"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,6 +231,11 @@ def resolve_albums(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return links, albums, members
 
 
+def album_alias(title: Column, artist: Column) -> Column:
+    """Key of a merged album: normalised title and artist, the artist empty where there is none."""
+    return F.concat_ws("|", S.normalize_album_title(title), F.coalesce(S.normalize_artist_name(artist), F.lit("")))
+
+
 def fill_album_metadata(tracks: DataFrame) -> DataFrame:
     """(album_id, release_year, label, total_discs) from tracks: first year that is a number, first label; totals only where set, at their largest."""
     year = S.leading_year(F.col("year"))
@@ -213,7 +247,7 @@ def fill_album_metadata(tracks: DataFrame) -> DataFrame:
 
 def build_genres(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(genres, track_genres): names between ";" and "/", each once for a track."""
-    links = tracks.select("id", F.explode(F.split("genre", "[;/]")).alias("name")).select(F.col("id").alias("track_id"), F.trim("name").alias("name")).where("name <> ''").distinct()
+    links = tracks.select("id", F.explode(F.split("genre", "[;/]")).alias("name")).select(F.col("id").alias("track_id"), S.strip(F.col("name")).alias("name")).where("name <> ''").distinct()
     links = links.select("track_id", F.xxhash64("name").alias("genre_id"), "name")
     return links.select("genre_id", "name").distinct(), links.select("track_id", "genre_id")
 
@@ -324,13 +358,42 @@ def remove_tracks(tracks: DataFrame, bridges: dict[str, DataFrame], ids: DataFra
     return out
 
 
-def drop_orphans(tracks: DataFrame, artists: DataFrame, albums: DataFrame, track_artists: DataFrame, album_artists: DataFrame) -> dict[str, DataFrame]:
-    """Bridges without their ends, artists in neither bridge, albums without tracks - all left out."""
-    links = track_artists.join(tracks.select(F.col("id").alias("track_id")), "track_id", "left_semi")
+def drop_orphans(
+    tracks: DataFrame, artists: DataFrame, albums: DataFrame, track_artists: DataFrame, album_artists: DataFrame, *, genres: DataFrame | None = None, track_genres: DataFrame | None = None,
+    playlist_tracks: DataFrame | None = None, playlists: DataFrame | None = None, pins: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Bridges without their ends, artists in neither bridge, albums without tracks, genres without tracks, pins to what is gone - all left out.
+
+    Tables that are not given are not returned. ``pins`` has any of artist_id, album_id and playlist_id; a null one points to nothing.
+    """
+    live = tracks.select(F.col("id").alias("track_id"))
+    links = track_artists.join(live, "track_id", "left_semi")
     live_albums = albums.join(tracks.select("album_id").where("album_id is not null").distinct(), "album_id", "left_semi")
     on_albums = album_artists.join(live_albums.select("album_id"), "album_id", "left_semi")
     used = links.select("artist_id").union(on_albums.select("artist_id")).distinct()
-    return {"track_artists": links, "albums": live_albums, "album_artists": on_albums, "artists": artists.join(used, "artist_id", "left_semi")}
+    out = {"track_artists": links, "albums": live_albums, "album_artists": on_albums, "artists": artists.join(used, "artist_id", "left_semi")}
+    if track_genres is not None:
+        out["track_genres"] = track_genres.join(live, "track_id", "left_semi")
+        if genres is not None:
+            out["genres"] = genres.join(out["track_genres"].select("genre_id").distinct(), "genre_id", "left_semi")
+    if playlist_tracks is not None:
+        out["playlist_tracks"] = playlist_tracks.join(live, "track_id", "left_semi")
+    if pins is not None:
+        for entity, table in (("artist_id", out["artists"]), ("album_id", live_albums), ("playlist_id", playlists)):
+            if entity in pins.columns and table is not None:
+                known = table.select(F.col(entity).alias("known_id"))
+                pins = pins.join(known, pins[entity] == F.col("known_id"), "left").where(f"{entity} is null or known_id is not null").drop("known_id")
+        out["pins"] = pins
+    return out
+
+
+def deleted_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(name, deleted): rows that each table of ``after`` has lost."""
+    each = [t[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), F.lit(sign).alias("sign"), "n") for n in after for t, sign in ((before, 1), (after, -1))]
+    rows = each[0]
+    for e in each[1:]:
+        rows = rows.union(e)
+    return rows.groupBy("name").agg(F.sum(F.col("sign") * F.col("n")).alias("deleted"))
 
 
 def pick_artwork(tracks: DataFrame, entity: str) -> DataFrame:
@@ -338,6 +401,12 @@ def pick_artwork(tracks: DataFrame, entity: str) -> DataFrame:
     return tracks.where("artwork_ref is not null").groupBy(entity).agg(F.min_by("artwork_ref", "id").alias("artwork_ref"))
 
 
+def shown_artwork(tracks: DataFrame, album_art: DataFrame) -> DataFrame:
+    """(id, artwork_ref) of every track: its album's of ``album_art`` (album_id, artwork_ref), else its own, else null."""
+    of_album = album_art.select("album_id", F.col("artwork_ref").alias("album_ref"))
+    return tracks.join(of_album, "album_id", "left").select("id", F.coalesce("album_ref", "artwork_ref").alias("artwork_ref"))
+
+
 def enrichment_backlog(artists: DataFrame, track_artists: DataFrame, now: int) -> DataFrame:
     """Artists with tracks that lack an image or a biography and were not tried in the last seven days (epoch seconds), busiest first."""
     counts = track_artists.groupBy("artist_id").agg(F.count_distinct("track_id").alias("n_tracks"))
@@ -345,20 +414,39 @@ def enrichment_backlog(artists: DataFrame, track_artists: DataFrame, now: int) -
     return artists.join(counts, "artist_id").where(due("image_source", "image_tried") | due("bio", "bio_tried")).orderBy(F.desc("n_tracks"), "artist_id")
 
 
-def rebuild_associations(tracks: DataFrame, known_artists: DataFrame | None = None, aliases: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Artists, links, albums and statistics of all tracks that are no duplicates, from the tags alone."""
-    shown = S.hide_duplicates(tracks)
-    parts = _kept(split_credits(shown, "artist", known_artists), "credits")
-    credits = shown.join(parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda x: x["artist"]).alias("credits")), "id")
-    links, albums, members = resolve_albums(credits)
-    owner = credits.withColumn("first_artist", F.get("credits", 0))
-    stage = lambda df, n, c, pos: df.select(F.col("id").alias("track_id"), F.lit(n).alias("stage"), pos.cast("int").alias("position"), c.alias("artist"))
-    seen = stage(owner.where(album_artist_of(owner).isNotNull()), 0, album_artist_of(owner), F.lit(0)).union(stage(parts, 1, F.col("artist"), F.col("position")))
-    for n, role in ((2, "composer"), (3, "album_artist")):
-        seen = seen.union(stage(split_credits(shown.where(F.coalesce(role, F.lit("")) != ""), role, known_artists), n, F.col("artist"), F.col("position")))
-    artists = _kept(build_artists(seen, aliases), "artists")
-    track_artists = _kept(build_track_artists(shown, artists, known_artists), "track-artists")
-    album_artists = members.join(artists.select("artist_id", "normalized_name"), "normalized_name").select("album_id", "artist_id", "role", "position")
-    linked = shown.drop("album_id").join(links, "id", "left")
-    by_artist, by_album = entity_stats(linked, artists, albums, track_artists, album_artists)
-    return {"tracks": linked, "artists": artists.join(by_artist, "artist_id"), "albums": albums.join(by_album, "album_id"), "track_artists": track_artists, "album_artists": album_artists}
+def relink_pins(pins: DataFrame, artists: DataFrame, albums: DataFrame) -> DataFrame:
+    """Pins (pin_id, artist_id, album_id, value) led to the artist or the album (lowest id) of their value's normalised name; others keep their ids."""
+    to_artist = artists.select(F.col("normalized_name").alias("artist_key"), F.col("artist_id").alias("new_artist"))
+    to_album = albums.groupBy(F.col("normalized_title").alias("album_key")).agg(F.min("album_id").alias("new_album"))
+    keyed = pins.withColumn("artist_key", F.when(F.col("artist_id").isNotNull(), S.normalize_artist_name(F.col("value")))).withColumn("album_key", F.when(F.col("album_id").isNotNull(), S.normalize_album_title(F.col("value"))))
+    both = keyed.join(to_artist, "artist_key", "left").join(to_album, "album_key", "left")
+    return both.withColumn("artist_id", F.coalesce("new_artist", "artist_id")).withColumn("album_id", F.coalesce("new_album", "album_id")).select(*pins.columns)
+
+
+def rebuild_associations(
+    tracks: DataFrame, known_artists: DataFrame | None = None, aliases: DataFrame | None = None, album_aliases: DataFrame | None = None, pins: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Artists, links, albums and statistics of all tracks that are no duplicates, from the tags alone.
+
+    Every distinct credit is split once and its rows are kept; artists, links and albums are derived from them. ``pins`` (pin_id,
+    artist_id, album_id, value) are led to the new ids by name; what is left without an end is dropped.
+    """
+    shown = _kept(S.hide_duplicates(tracks), "shown")
+    parts = _kept(_canonical(role_credits(shown, known_artists), aliases), "credits")
+    named = parts.where("role = 'artist'").groupBy(F.col("track_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda x: x["artist"]).alias("credits"))
+    credits = _kept(shown.select("id", "album", "album_artist", "compilation").join(named, "id", "left").withColumn("credits", F.coalesce("credits", F.array(F.lit(S.UNKNOWN_ARTIST)))), "credited")
+    links, albums, members = resolve_albums(credits, album_aliases)
+    real = ~F.col("artist").isin(*S.PLACEHOLDERS) & (F.col("artist") != "")
+    owners = credits.withColumn("first_artist", F.get("credits", 0))
+    owners = _canonical(owners.select(F.col("id").alias("track_id"), F.lit(0).alias("stage"), F.lit(0).alias("position"), album_artist_of(owners).alias("artist")).where(real), aliases)
+    columns = ("track_id", "stage", "position", "artist", "key")
+    artists = _kept(_named_artists(owners.select(*columns).union(parts.where(real).select(*columns))), "artists")
+    ids = artists.select("artist_id", F.col("normalized_name").alias("key"))
+    track_artists = _kept(parts.join(ids, "key").groupBy("track_id", "artist_id", "role").agg(F.min("position").alias("position")), "track-artists")
+    album_artists = _kept(members.join(ids, members["normalized_name"] == ids["key"]).select("album_id", "artist_id", "role", "position"), "album-artists")
+    linked = _kept(shown.drop("album_id").join(links, "id", "left"), "linked")
+    if pins is not None:
+        pins = relink_pins(pins, artists, albums)
+    out = drop_orphans(linked, artists, albums, track_artists, album_artists, pins=pins)
+    by_artist, by_album = entity_stats(linked, out["artists"], out["albums"], out["track_artists"], out["album_artists"])
+    return out | {"tracks": linked, "artists": out["artists"].join(by_artist, "artist_id"), "albums": out["albums"].join(by_album, "album_id")}

@@ -26,7 +26,7 @@ def _epoch(df: DataFrame, c: str) -> Column:
 
 
 def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events without repeats of an event_id that come within ``delay``."""
+    """Events without repeats of an event_id that come within ``delay``; an event later than that behind the newest is left out."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -42,8 +42,9 @@ def scrobble_feed(events: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def favourite_changes(events: DataFrame) -> DataFrame:
-    """(track_id, is_favorite): the latest state of each track."""
-    return events.where("favourite is not null").groupBy("track_id").agg(F.max_by("favourite", F.struct("ts", "event_id")).alias("is_favorite"))
+    """(track_id, is_favorite, ts, event_id): the latest state of each track, ties to the higher event_id, and the event that set it."""
+    latest = F.max_by(F.struct(F.col("favourite").alias("is_favorite"), "ts", "event_id"), F.struct("ts", "event_id")).alias("latest")
+    return events.where("favourite is not null").groupBy("track_id").agg(latest).select("track_id", "latest.*")
 
 
 def to_batches(stream: DataFrame, path: str, checkpoint: str, per_batch: Callable[[DataFrame], DataFrame] = lambda b: b) -> None:
@@ -61,7 +62,8 @@ def counted_plays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_favourites(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("track_id").agg(F.max_by("is_favorite", "batch").alias("is_favorite"))
+    """(track_id, is_favorite) over the batches that to_batches(..., favourite_changes) has written, by the time of the events, whichever batch they came in."""
+    return spark.read.parquet(path).groupBy("track_id").agg(F.max_by("is_favorite", F.struct("ts", "event_id")).alias("is_favorite"))
 
 
 def apply_play_counts(tracks: DataFrame, counts: DataFrame) -> DataFrame:
