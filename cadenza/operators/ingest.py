@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .tables import kept
 
 # What parts the names in a credit. The first always part; the others may belong to a name.
 SURE = (" feat. ", " feat ", " featuring ", " ft. ", " ft ", ";", "、")
@@ -119,17 +119,6 @@ def _split_known(credits: DataFrame, known_artists: DataFrame, placeholder: str)
     return both.withColumn("names", F.when(whole, F.array(F.trim("credit"))).otherwise(_distinct_names(greedy("segments", "known"), placeholder))).select("credit", "names")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` for repeated use: a table in the folder spark.checkpoint.dir names, or cached where none is named."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def album_artist_of(tracks: DataFrame) -> Column:
     """Album artist tag, else "Various Artists" for compilations, else the first parsed artist (column first_artist), else null."""
     return F.coalesce(S.empty_to_null(F.col("album_artist")), F.when(F.col("compilation"), S.VARIOUS), F.when(F.col("first_artist") != S.UNKNOWN_ARTIST, F.col("first_artist")))
@@ -222,7 +211,7 @@ def resolve_albums(tracks: DataFrame, aliases: DataFrame | None = None) -> tuple
         return pd.DataFrame(out, columns=["title_key", "artist_key", "credit_keys", "at", "title", "member", "role", "position"])
 
     schema = "title_key string, artist_key string, credit_keys array<string>, at int, title string, member string, role string, position int"
-    folded = _kept(distinct.groupBy("title_key").applyInPandas(fold, schema).withColumn("album_id", F.xxhash64("title_key", "at")), "albums")
+    folded = kept(distinct.groupBy("title_key").applyInPandas(fold, schema).withColumn("album_id", F.xxhash64("title_key", "at")), "albums")
     where = folded.where("member is null").select("title_key", "artist_key", "credit_keys", "album_id")
     same = keyed.alias("t").join(where.alias("w"), (F.col("t.title_key") == F.col("w.title_key")) & F.col("t.artist_key").eqNullSafe(F.col("w.artist_key")) & (F.col("t.credit_keys") == F.col("w.credit_keys")))
     links = same.select("t.id", "w.album_id")
@@ -236,13 +225,23 @@ def album_alias(title: Column, artist: Column) -> Column:
     return F.concat_ws("|", S.normalize_album_title(title), F.coalesce(S.normalize_artist_name(artist), F.lit("")))
 
 
-def fill_album_metadata(tracks: DataFrame) -> DataFrame:
-    """(album_id, release_year, label, total_discs) from tracks: first year that is a number, first label; totals only where set, at their largest."""
+def fill_album_metadata(tracks: DataFrame, albums: DataFrame | None = None) -> DataFrame:
+    """(album_id, release_year, release_date, label, total_tracks, total_discs): the first year that is a number, the first date and label.
+
+    Totals are raised to the largest of the tracks', but only where the album (albums: album_id, total_tracks, total_discs) has one;
+    without ``albums`` they are the largest of the tracks'.
+    """
     year = S.leading_year(F.col("year"))
-    wanted = {"label": "string", "disc_total": "int"}
+    wanted = {"label": "string", "release_date": "string", "track_total": "int", "disc_total": "int"}
     t = tracks.withColumns({n: F.lit(None).cast(k) for n, k in wanted.items() if n not in tracks.columns}).withColumn("y", year)
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("id")))
-    return t.where("album_id is not null").groupBy("album_id").agg(first("y").alias("release_year"), first("label").alias("label"), F.max("disc_total").alias("total_discs"))
+    found = t.where("album_id is not null").groupBy("album_id").agg(
+        first("y").alias("release_year"), first("release_date").alias("release_date"), first("label").alias("label"), F.max("track_total").alias("total_tracks"), F.max("disc_total").alias("total_discs"))
+    if albums is None:
+        return found
+    totals = ("total_tracks", "total_discs")
+    old = albums.select("album_id", *[F.col(c).alias(f"old_{c}") for c in totals])
+    return found.join(old, "album_id", "left").withColumns({c: F.when(F.col(f"old_{c}").isNotNull(), F.greatest(c, f"old_{c}")) for c in totals}).drop(*[f"old_{c}" for c in totals])
 
 
 def build_genres(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -431,20 +430,22 @@ def rebuild_associations(
     Every distinct credit is split once and its rows are kept; artists, links and albums are derived from them. ``pins`` (pin_id,
     artist_id, album_id, value) are led to the new ids by name; what is left without an end is dropped.
     """
-    shown = _kept(S.hide_duplicates(tracks), "shown")
-    parts = _kept(_canonical(role_credits(shown, known_artists), aliases), "credits")
+    shown = kept(S.hide_duplicates(tracks), "shown")
+    parts = kept(_canonical(role_credits(shown, known_artists), aliases), "credits")
     named = parts.where("role = 'artist'").groupBy(F.col("track_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda x: x["artist"]).alias("credits"))
-    credits = _kept(shown.select("id", "album", "album_artist", "compilation").join(named, "id", "left").withColumn("credits", F.coalesce("credits", F.array(F.lit(S.UNKNOWN_ARTIST)))), "credited")
+    credits = kept(shown.select("id", "album", "album_artist", "compilation").join(named, "id", "left").withColumn("credits", F.coalesce("credits", F.array(F.lit(S.UNKNOWN_ARTIST)))), "credited")
     links, albums, members = resolve_albums(credits, album_aliases)
     real = ~F.col("artist").isin(*S.PLACEHOLDERS) & (F.col("artist") != "")
     owners = credits.withColumn("first_artist", F.get("credits", 0))
     owners = _canonical(owners.select(F.col("id").alias("track_id"), F.lit(0).alias("stage"), F.lit(0).alias("position"), album_artist_of(owners).alias("artist")).where(real), aliases)
     columns = ("track_id", "stage", "position", "artist", "key")
-    artists = _kept(_named_artists(owners.select(*columns).union(parts.where(real).select(*columns))), "artists")
+    artists = kept(_named_artists(owners.select(*columns).union(parts.where(real).select(*columns))), "artists")
     ids = artists.select("artist_id", F.col("normalized_name").alias("key"))
-    track_artists = _kept(parts.join(ids, "key").groupBy("track_id", "artist_id", "role").agg(F.min("position").alias("position")), "track-artists")
-    album_artists = _kept(members.join(ids, members["normalized_name"] == ids["key"]).select("album_id", "artist_id", "role", "position"), "album-artists")
-    linked = _kept(shown.drop("album_id").join(links, "id", "left"), "linked")
+    track_artists = kept(parts.join(ids, "key").groupBy("track_id", "artist_id", "role").agg(F.min("position").alias("position")), "track-artists")
+    of_album = _canonical(members.withColumnRenamed("normalized_name", "artist"), aliases).join(ids, "key")
+    best = F.min(F.struct((F.col("role") != "primary").alias("later"), "role", "position"))
+    album_artists = kept(of_album.groupBy("album_id", "artist_id").agg(best.alias("best")).select("album_id", "artist_id", "best.role", "best.position"), "album-artists")
+    linked = kept(shown.drop("album_id").join(links, "id", "left"), "linked")
     if pins is not None:
         pins = relink_pins(pins, artists, albums)
     out = drop_orphans(linked, artists, albums, track_artists, album_artists, pins=pins)

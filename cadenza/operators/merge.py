@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ingest import album_alias
 
 
 def _moved(bridge: DataFrame, entity: str, mapping: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,34 +30,75 @@ def flatten_aliases(aliases: DataFrame) -> DataFrame:
     return now
 
 
-def merge_artists(artists: DataFrame, track_artists: DataFrame, album_artists: DataFrame, mapping: DataFrame, fill: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Artists, both bridges and new aliases after ``mapping`` (loser, winner); a winner's empty ``fill`` columns take the first loser's value.
+def merge_artists(
+    artists: DataFrame, track_artists: DataFrame, album_artists: DataFrame, mapping: DataFrame, fill: tuple[str, ...] = (), renames: DataFrame | None = None, aliases: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Artists, both bridges and aliases after ``mapping`` (loser, winner); a winner's empty ``fill`` columns take the first loser's value.
 
-    Losers that are placeholders are left alone.
+    Losers that are placeholders are left alone. ``renames`` (winner, new_name) give artists new names: another artist of the new name is
+    merged in, with those merged into it, and a name that has gone becomes an alias; an empty or an equal name changes nothing. Aliases
+    (alias: normalised, canonical: display name) are those of losers and old names, and the known ``aliases`` of losers led to the winner's name.
     """
-    real = mapping.join(artists.where(~F.col("name").isin(*S.PLACEHOLDERS)).select(F.col("artist_id").alias("loser")), "loser", "left_semi").where("loser <> winner")
+    named = artists.select("artist_id", "name", "normalized_name")
+    real = mapping.select("loser", "winner").join(artists.where(~F.col("name").isin(*S.PLACEHOLDERS)).select(F.col("artist_id").alias("loser")), "loser", "left_semi").where("loser <> winner")
+    final = named.select(F.col("artist_id").alias("winner"), "name", F.col("normalized_name").alias("old_key"), F.col("normalized_name").alias("new_key"))
+    if renames is not None:
+        asked = renames.select("winner", S.strip(F.col("new_name")).alias("new_name")).where("new_name <> ''").join(real.select(F.col("loser").alias("winner")), "winner", "left_anti")
+        final = final.join(asked, "winner", "left").withColumn("name", F.coalesce("new_name", "name")).withColumn("new_key", F.coalesce(S.normalize_artist_name(F.col("new_name")), "new_key")).drop("new_name")
+        folded = final.where("new_key <> old_key").select(F.col("winner").alias("into"), F.col("new_key").alias("normalized_name")).join(named, "normalized_name").where("artist_id <> into").select(F.col("artist_id").alias("winner"), "into")
+        folded = folded.join(real.select(F.col("loser").alias("winner")), "winner", "left_anti")
+        real = real.join(folded, "winner", "left").select("loser", F.coalesce("into", "winner").alias("winner")).union(folded.select(F.col("winner").alias("loser"), F.col("into").alias("winner"))).where("loser <> winner").distinct()
+    gone = real.join(named.select(F.col("artist_id").alias("loser"), F.col("normalized_name").alias("alias")), "loser").select("alias", "winner")
+    known = gone.union(final.where("new_key <> old_key").select(F.col("old_key").alias("alias"), "winner"))
+    if aliases is not None:
+        moved = aliases.select("alias", S.normalize_artist_name(F.col("canonical")).alias("old_key")).join(known.select(F.col("alias").alias("old_key"), "winner"), "old_key").select("alias", "winner")
+        known = known.union(moved)
+    told = known.join(final.select("winner", F.col("name").alias("canonical"), "new_key"), "winner").where("alias <> new_key").select("alias", "canonical").distinct()
+    if aliases is not None:
+        told = told.union(aliases.select("alias", "canonical").join(told.select("alias"), "alias", "left_anti").join(final.where("new_key <> old_key").select(F.col("new_key").alias("alias")), "alias", "left_anti"))
     out = {
         "track_artists": _moved(track_artists, "artist_id", real, ["track_id", "artist_id", "role"]),
         "album_artists": _moved(album_artists, "artist_id", real, ["album_id", "artist_id", "role"]),
-        "aliases": real.join(artists.select(F.col("artist_id").alias("loser"), F.col("normalized_name").alias("alias")), "loser").join(artists.select(F.col("artist_id").alias("winner"), F.col("normalized_name").alias("canonical")), "winner").select("alias", "canonical"),
+        "aliases": told,
     }
-    kept = artists.join(real.select(F.col("loser").alias("artist_id")), "artist_id", "left_anti")
+    left = artists.join(real.select(F.col("loser").alias("artist_id")), "artist_id", "left_anti")
+    if renames is not None:
+        to = final.select(F.col("winner").alias("artist_id"), F.col("name").alias("new_name"), "new_key")
+        left = left.join(to, "artist_id").withColumn("name", F.col("new_name")).withColumn("normalized_name", F.col("new_key")).drop("new_name", "new_key")
     if fill:
         donors = real.join(artists.withColumnRenamed("artist_id", "loser"), "loser").groupBy(F.col("winner").alias("artist_id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("loser"))).alias(f"new_{c}") for c in fill])
-        kept = kept.join(donors, "artist_id", "left").withColumns({c: F.coalesce(c, f"new_{c}") for c in fill}).drop(*[f"new_{c}" for c in fill])
-    return out | {"artists": kept}
+        left = left.join(donors, "artist_id", "left").withColumns({c: F.coalesce(c, f"new_{c}") for c in fill}).drop(*[f"new_{c}" for c in fill])
+    return out | {"artists": left}
 
 
-def merge_albums(albums: DataFrame, tracks: DataFrame, album_artists: DataFrame, mapping: DataFrame) -> dict[str, DataFrame]:
-    """Albums, tracks (album_id and album rewritten to the winner's) and album artists after ``mapping`` (loser, winner)."""
-    real = mapping.where("loser <> winner")
-    title = albums.select(F.col("album_id").alias("winner"), F.col("title").alias("winner_title"))
-    to = real.union(real.select("winner", "winner").distinct()).join(title, "winner").select(F.col("loser").alias("album_id"), "winner", "winner_title").distinct()
+def merge_albums(albums: DataFrame, tracks: DataFrame, album_artists: DataFrame, mapping: DataFrame, artists: DataFrame | None = None, renames: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Albums, tracks (album_id and album rewritten to the winner's) and album artists after ``mapping`` (loser, winner).
+
+    ``renames`` (winner, new_title) give winners, or albums on their own, a new title; an empty one changes nothing. With ``artists``
+    (artist_id, name, normalized_name) the result has "aliases" (alias: normalised title and primary artist of a loser or an old title;
+    title, artist of the album it leads to), as resolve_albums reads them.
+    """
+    real = mapping.select("loser", "winner").where("loser <> winner")
+    title = albums.select(F.col("album_id").alias("winner"), F.col("title").alias("old_title"), F.col("title").alias("winner_title"))
+    if renames is not None:
+        asked = renames.select("winner", S.empty_to_null(S.strip(F.col("new_title"))).alias("new_title")).join(real.select(F.col("loser").alias("winner")), "winner", "left_anti")
+        title = title.join(asked, "winner", "left").withColumn("winner_title", F.coalesce("new_title", "winner_title")).drop("new_title")
+    renamed = title.where("winner_title <> old_title").select("winner")
+    to = real.union(real.select("winner", "winner")).union(renamed.select("winner", "winner")).distinct().join(title, "winner").select(F.col("loser").alias("album_id"), "winner", "winner_title")
     moved = tracks.join(to, "album_id", "left").withColumn("album", F.coalesce("winner_title", "album")).withColumn("album_id", F.coalesce("winner", "album_id")).drop("winner", "winner_title")
-    return {
-        "albums": albums.join(real.select(F.col("loser").alias("album_id")), "album_id", "left_anti"),
-        "tracks": moved, "album_artists": _moved(album_artists, "album_id", real, ["album_id", "artist_id", "role"]),
-    }
+    left = albums.join(real.select(F.col("loser").alias("album_id")), "album_id", "left_anti")
+    if renames is not None:
+        left = left.join(title.select(F.col("winner").alias("album_id"), "winner_title"), "album_id").withColumn("title", F.col("winner_title")).drop("winner_title")
+        if "normalized_title" in left.columns:
+            left = left.withColumn("normalized_title", S.normalize_album_title(F.col("title")))
+    out = {"albums": left, "tracks": moved, "album_artists": _moved(album_artists, "album_id", real, ["album_id", "artist_id", "role"])}
+    if artists is not None:
+        primary = album_artists.where("role = 'primary'").groupBy("album_id").agg(F.min_by("artist_id", "position").alias("artist_id")).join(artists.select("artist_id", F.col("name").alias("artist")), "artist_id").select("album_id", "artist")
+        of_winner = title.join(primary.withColumnRenamed("album_id", "winner"), "winner", "left").select("winner", F.col("winner_title").alias("title"), "artist")
+        was = albums.select("album_id", F.col("title").alias("was")).join(primary.withColumnRenamed("artist", "by"), "album_id", "left").select("album_id", album_alias(F.col("was"), F.col("by")).alias("alias"))
+        gone = to.select("album_id", "winner").join(was, "album_id").join(of_winner, "winner")
+        out["aliases"] = gone.where(F.col("alias") != album_alias(F.col("title"), F.col("artist"))).select("alias", "title", "artist").distinct()
+    return out
 
 
 def merge_candidates(albums: DataFrame, name: str) -> DataFrame:

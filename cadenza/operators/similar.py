@@ -14,8 +14,6 @@ AXES = {"loudness": "rms_loudness_db", "tempo": "bpm", "bass": "bass_ratio", "dy
 W_YEAR, W_TEMPO, W_DYNAMICS, W_BASS, W_BRIGHTNESS, W_LOUDNESS, W_BEAT, W_CONFIDENCE, W_MIX, W_LENGTH, W_FAMILY = 3.0, 2.0, 1.5, 1.5, 1.5, 1.0, 3.0, 1.0, 1.0, 1.0, 2.0
 YEARS, UNKNOWN_YEAR_COST, LENGTH = 5.0, 1.5, 120.0
 CUTOFF, MUTUAL, LIMIT = 3.5, 25, 25
-#: Anchors are broadcast to all tracks; more than this many are a job for similar_tracks_all().
-MOST_ANCHORS = 10_000
 
 
 def axis_scales(fps: DataFrame) -> DataFrame:
@@ -140,14 +138,13 @@ def similar_tracks(fps: DataFrame, anchors: DataFrame, limit: int = LIMIT, cutof
     """(anchor, status, place, neighbour, distance) for ``anchors`` (id); an anchor without a fingerprint is "not analysed"."""
     rows = prepare(fps)
     packed = rows.select(F.struct(*rows.columns).alias("x"))
-    if anchors.count() > MOST_ANCHORS:
-        raise ValueError(f"more than {MOST_ANCHORS} anchors: use similar_tracks_all")
-    asked = F.broadcast(rows.join(anchors, "id", "left_semi").select(F.struct(*rows.columns).alias("l")))
-    found = asked.crossJoin(packed.withColumnRenamed("x", "r")).where("l.id <> r.id").select(F.col("l.id").alias("anchor"), F.col("r").alias("c"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
-    # How many are strictly closer to each candidate: candidates are few beside all tracks, and meet them chunk by chunk.
+    # Tracks lie in chunks, anchors meet them chunk by chunk; so do the candidates, to learn how many are strictly closer to each.
     n = max(1, -(-rows.count() // 4096))
-    candidates = found.groupBy("c.id").agg(F.first("c").alias("l"), F.max("distance").alias("reach")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     chunks = packed.select(F.pmod(F.xxhash64("x.id"), F.lit(n)).cast("int").alias("chunk"), F.col("x").alias("r"))
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.join(anchors.select("id").distinct(), "id", "left_semi").select(F.struct(*rows.columns).alias("l")).withColumn("chunk", to_all)
+    found = asked.join(chunks, "chunk").where("l.id <> r.id").select(F.col("l.id").alias("anchor"), F.col("r").alias("c"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
+    candidates = found.groupBy("c.id").agg(F.first("c").alias("l"), F.max("distance").alias("reach")).withColumn("chunk", to_all)
     closer = candidates.join(chunks, "chunk").where("l.id <> r.id").select("id", "reach", track_distance("l", "r").alias("d")).where("d < reach").select("id", "d")
     ranks = found.join(closer, (F.col("c.id") == F.col("id")) & (F.col("d") < F.col("distance")), "left").groupBy("anchor", "c.id", "distance").agg(F.count("d").alias("closer"))
     kept = ranks.where(F.col("closer") < mutual_k).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("distance", "id"))).where(F.col("place") <= limit)

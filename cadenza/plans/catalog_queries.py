@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators.tables import with_positions
 from .registry import Registry
 
 R = Registry()
@@ -31,9 +32,9 @@ def _(v):
     return v("v_tracks").select("id", S.normalize_album_title(F.concat(F.lit("The "), "album", F.lit(" - "), "title")).alias("key"))
 
 
-@R.query("f04_entity_key", r"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(source || ' ' || substring(coalesce(text, ''), 1, 40))), '^\s+|\s+$', '', 'g'), '^the ', '') AS key FROM documents")
+@R.query("f04_entity_key", r"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(source || ' ' || coalesce(text, ''))), '^\s+|\s+$', '', 'g'), '^the ', '') AS key FROM documents")
 def _(v):
-    return v("documents").select("doc_id", T.fold_entity_name(F.concat("source", F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 40))).alias("key"))
+    return v("documents").select("doc_id", T.fold_entity_name(F.concat("source", F.lit(" "), F.coalesce("text", F.lit("")))).alias("key"))
 
 
 @R.query("f05_years", r"""
@@ -290,12 +291,12 @@ def _(v):
 @R.query("t1_sort_albums", "SELECT album_id, title, CAST(row_number() OVER (ORDER BY lower(title) DESC, album_id DESC) - 1 AS BIGINT) AS position FROM v_albums")
 def _(v):
     ordered = C.sort_albums(v("v_albums"), "album", ascending=False)
-    return C.with_positions(ordered, F.lower("title").desc(), F.desc("album_id")).withColumn("position", F.col("position").cast("long"))
+    return with_positions(ordered, F.lower("title").desc(), F.desc("album_id")).withColumn("position", F.col("position").cast("long"))
 
 
-@R.query("t2_sort_tracks", "SELECT id, track_number FROM v_tracks ORDER BY coalesce(track_number, 2147483647), id LIMIT 100")
+@R.query("t2_sort_tracks", "SELECT id, track_number FROM v_tracks ")
 def _(v):
-    return C.sort_tracks(v("v_tracks"), "track_number").select("id", "track_number").limit(100)
+    return C.sort_tracks(v("v_tracks"), "track_number").select("id", "track_number")
 
 
 @R.query("t3_discover", """

@@ -47,9 +47,9 @@ def _(v):
     return files.file_inventory(t.union(bare)).select("path", "extension", "supported")
 
 
-@R.query("s3_read_m3u", "SELECT playlist_id, count(*) AS n, min(path) AS first FROM v_playlist_tracks JOIN v_tracks ON track_id = id WHERE playlist_id % 500 = 3 GROUP BY ALL")
+@R.query("s3_read_m3u", "SELECT album_id AS playlist_id, count(*) AS n, min(path) AS first FROM v_linked WHERE album_id IS NOT NULL GROUP BY ALL")
 def _(v):
-    members = v("v_playlist_tracks").where("playlist_id % 500 = 3")
+    members = v("v_linked").where("album_id is not null").select(F.col("album_id").alias("playlist_id"), F.col("id").alias("track_id"), F.col("id").alias("position"))
     folder = scratch(spark_of(members), "m3u")
     names = members.select("playlist_id", F.concat(F.lit("List "), F.col("playlist_id").cast("string")).alias("name")).distinct()
     files.export_m3u(members, v("v_tracks"), names, folder)
@@ -63,13 +63,13 @@ def _(v):
     return files.m3u_texts(v("v_playlist_tracks"), v("v_tracks"))
 
 
-@R.query("s5_relation_json", "SELECT source_mbid AS id, count(*) AS releases FROM v_edges WHERE relation = 'appears on' AND source_mbid LIKE '%25' GROUP BY ALL")
+@R.query("s5_relation_json", "SELECT source_mbid AS id, count(*) AS releases FROM v_edges WHERE relation = 'appears on' GROUP BY ALL")
 def _(v):
-    docs = recordings(v).where("seq like '%25' and get_json_object(json, '$.releases') is not null")
+    docs = recordings(v).select("json")
     folder = scratch(spark_of(docs), "recordings")
-    docs.write.partitionBy("seq").text(folder)
-    found = files.read_relation_json(spark_of(docs), f"{folder}/*", "recording")
-    return found.where("document is not null").select(F.col("document.id").alias("id"), F.size("document.releases").cast("long").alias("releases"))
+    docs.union(docs.select(F.concat(F.lit("{"), "json"))).write.text(folder)
+    found = files.read_relation_json(spark_of(docs), folder, "recording", lines=True)
+    return found.where("document.releases is not null").select(F.col("document.id").alias("id"), F.size("document.releases").cast("long").alias("releases"))
 
 
 @R.query("s6_known_artists", "SELECT name FROM v_artists")
@@ -80,9 +80,9 @@ def _(v):
     return files.read_known_artists(spark_of(a), folder)
 
 
-@R.query("s7_read_lyrics", "SELECT k AS id, 'lrc' AS kind, p_name AS text FROM v_base WHERE k % 100 = 0")
+@R.query("s7_read_lyrics", "SELECT k AS id, 'lrc' AS kind, p_name AS text FROM v_base")
 def _(v):
-    b = v("v_base").where("k % 100 = 0")
+    b = v("v_base")
     folder = scratch(spark_of(b), "lyrics")
     # One file for each track, in a folder of its name: the stem that tracks are found by is the folder's here.
     b.select("p_name", F.concat(F.col("k").cast("string"), F.lit(".lrc")).alias("name")).write.partitionBy("name").text(folder)
@@ -154,13 +154,13 @@ def _(v):
     return G.releases_to_enrich(v("v_edges"))
 
 
-WALK = """SELECT 'p' || CAST(p_partkey AS VARCHAR) AS anchor, 1 AS depth, source_mbid, target_mbid, relation FROM part JOIN v_edges ON source_mbid = 'p' || CAST(p_partkey AS VARCHAR) WHERE p_partkey % 10 = 1"""
+WALK = """SELECT 'p' || CAST(p_partkey AS VARCHAR) AS anchor, 1 AS depth, source_mbid, target_mbid, relation FROM part JOIN v_edges ON source_mbid = 'p' || CAST(p_partkey AS VARCHAR)"""
 
 
 @R.query("g7_walk", """SELECT * FROM steps1 UNION ALL
     SELECT anchor, 2, e.source_mbid, e.target_mbid, e.relation FROM (SELECT DISTINCT anchor, target_mbid AS node FROM steps1 WHERE target_mbid <> anchor) f JOIN v_edges e ON e.source_mbid = node""", steps1=WALK)
 def _(v):
-    anchors = v("part").where("p_partkey % 10 = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("mbid"))
+    anchors = v("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("mbid"))
     return G.walk(v("v_edges"), anchors, 2, scratch(spark_of(anchors), "walk"))
 
 
@@ -218,11 +218,11 @@ def _(v):
 LINES = """SELECT doc_id, i, line FROM (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents) a) b"""
 
 
-@R.query("y1_lrc_lines", r"SELECT doc_id AS id, CAST(i * 2.5 AS DOUBLE) AS start, CAST(lead(i) OVER (PARTITION BY doc_id ORDER BY i) * 2.5 AS DOUBLE) AS end, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM doc_lines WHERE i < 400", doc_lines=LINES)
+@R.query("y1_lrc_lines", r"SELECT doc_id AS id, CAST(i * 0.125 AS DOUBLE) AS start, CAST(lead(i) OVER (PARTITION BY doc_id ORDER BY i) * 0.125 AS DOUBLE) AS end, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM doc_lines", doc_lines=LINES)
 def _(v):
-    rows = v("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).where("i < 400")
-    at = F.col("i") * 25
-    stamp = F.format_string("[%02d:%02d.%d]", F.floor(at / 600), F.floor(at % 600 / 10), (at % 10).cast("long"))
+    rows = v("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    i = F.col("i")  # a line for each eighth of a second, which a stamp's three decimals hold exactly
+    stamp = F.format_string("[%02d:%02d.%03d]", F.floor(i / 480), F.floor(i % 480 / 8), (i % 8 * 125).cast("long"))
     texts = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat(stamp, "line").alias("l")))), lambda x: x["l"]), "\r\n").alias("text"))
     return Y.lrc_lines(texts)
 

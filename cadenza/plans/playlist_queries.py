@@ -72,9 +72,9 @@ def _(v):
     return P.energy(v("v_fingerprints")).select("track_id", F.round("energy", 9).alias("energy"))
 
 
-@R.query("p6_freeze", f"SELECT track_id, CAST(r AS INT) AS position, {SECONDS} + r AS date_added FROM (SELECT track_id, row_number() OVER (ORDER BY min(position), track_id) - 1 AS r FROM v_playlist_tracks WHERE playlist_id % 100 = 7 GROUP BY track_id) d")
+@R.query("p6_freeze", f"SELECT track_id, CAST(r AS INT) AS position, {SECONDS} + r AS date_added FROM (SELECT track_id, row_number() OVER (ORDER BY min(position), track_id) - 1 AS r FROM v_playlist_tracks GROUP BY track_id) d")
 def _(v):
-    members = v("v_playlist_tracks").where("playlist_id % 100 = 7").select(F.struct("position", "track_id").alias("ordinal"), "track_id")
+    members = v("v_playlist_tracks").select(F.struct("position", "track_id").alias("ordinal"), "track_id")
     return P.freeze(members, SECONDS).select("track_id", "position", "date_added")
 
 

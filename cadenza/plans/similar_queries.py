@@ -77,12 +77,12 @@ def _(v):
     return K.artist_genre_majority(v("v_fingerprints").withColumn("genre", F.when(F.col("track_id") % 3 == 0, "Rock").when(F.col("track_id") % 3 == 1, "Pop")))
 
 
-@R.query("k4_distance", "SELECT anchor, neighbour, round(distance, 6) AS distance FROM fpairs WHERE anchor % 50 = 0 AND distance <= 5", **PARTS)
+@R.query("k4_distance", "SELECT anchor, neighbour, round(distance, 6) AS distance FROM fpairs WHERE neighbour = anchor + 1", **PARTS)
 def _(v):
     rows = K.prepare(v("v_fingerprints"))
     packed = rows.select(F.struct(*rows.columns).alias("x"))
-    met = F.broadcast(packed.where("x.id % 50 = 0").withColumnRenamed("x", "l")).crossJoin(packed.withColumnRenamed("x", "r")).where("l.id <> r.id")
-    return met.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("neighbour"), F.round(K.track_distance("l", "r"), 6).alias("distance")).where("distance <= 5")
+    met = packed.withColumnRenamed("x", "l").join(packed.withColumnRenamed("x", "r"), F.col("r.id") == F.col("l.id") + 1)
+    return met.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("neighbour"), F.round(K.track_distance("l", "r"), 6).alias("distance"))
 
 
 MUTUAL = """SELECT anchor, neighbour, round(distance, 6) AS distance FROM (SELECT neighbour AS anchor, anchor AS neighbour, distance, rank() OVER (PARTITION BY anchor ORDER BY distance) AS closer FROM fpairs WHERE distance <= 3.5) z

@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
     "v_album_artists": """
         SELECT album_id, artist_id, CASE WHEN r = 1 THEN 'primary' ELSE 'featured' END AS role, CAST(r - 1 AS INT) AS position FROM (
             SELECT album_id, artist_id, row_number() OVER (PARTITION BY album_id ORDER BY n DESC, artist_id) AS r FROM (
-                SELECT album_id, artist_id, count(*) AS n FROM v_linked JOIN v_track_artists ON id = track_id WHERE album_id IS NOT NULL AND role = 'artist' GROUP BY album_id, artist_id) x) y WHERE r <= 5""",
+                SELECT album_id, artist_id, count(*) AS n FROM v_linked JOIN v_track_artists ON id = track_id WHERE album_id IS NOT NULL AND role = 'artist' GROUP BY album_id, artist_id) x) y""",
     "v_playlist_tracks": """
         SELECT CAST(l_orderkey AS BIGINT) AS playlist_id, CAST(l_partkey AS BIGINT) AS track_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey) - 1 AS INT) AS position, CAST(1704067200 AS BIGINT) AS date_added
         FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_partkey) d""",

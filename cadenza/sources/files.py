@@ -63,9 +63,12 @@ def export_m3u(members: DataFrame, tracks: DataFrame, names: DataFrame, path: st
     texts.select("text", S.sanitize_file_name(F.col("name")).alias("playlist")).write.mode("overwrite").partitionBy("playlist").text(path)
 
 
-def read_relation_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(seq, json, document) of JSON files, one document each; broken ones have a null document."""
-    texts = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("seq"), F.col("value").alias("json"))
+def read_relation_json(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """(seq, json, document) of JSON files, one document each, or one in each line with ``lines``; broken ones have a null document."""
+    seq = F.input_file_name()
+    if lines:
+        seq = F.concat_ws(":", seq, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    texts = spark.read.option("wholetext", str(not lines).lower()).text(path).select(seq.alias("seq"), F.col("value").alias("json"))
     return texts.withColumn("document", F.from_json("json", RECORDING if kind == "recording" else RELEASE))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.functions import text as T
-from cadenza.operators import audio, graph, ingest, lyrics, merge, playlists, rules, search, similar
+from cadenza.operators import audio, graph, ingest, lyrics, merge, playlists, rules, search, similar, tables
+from cadenza.streaming import plays
 
 
 def one(spark, column, value, kind="string"):
@@ -242,3 +243,135 @@ def test_features_of_null_signals(spark):
     assert {tuple(r)[1:] for r in audio.audio_features(df).collect()} == {(None,) * 7}
 
 
+
+
+def plain_flux(x, size, hop, bins, root):
+    """The rise of each frame's inner bins over the frame before, one bin at a time; the first frame rises from nothing."""
+    window = [0.5 * (1 - np.cos(2 * np.pi * i / size)) for i in range(size)]
+    before, out = np.zeros(size // 2), []
+    for a in range(0, len(x) - size + 1, hop):
+        now = np.abs(np.fft.fft(np.array(x[a : a + size], float) * window))
+        rises = [max(0.0, now[b] - before[b]) for b in range(1, bins + 1)]
+        out.append(sum(r * r for r in rises) ** 0.5 if root else sum(rises))
+        before = now
+    return out
+
+
+def plain_correlation(f, lag):
+    c = [v - sum(f) / len(f) for v in f]
+    return sum(c[i] * c[i + lag] for i in range(len(c) - lag))
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.3])
+def test_audio_features_equal_plain_sums(offset):
+    rng, rate = np.random.default_rng(3), 8000.0
+    x = (0.2 * rng.standard_normal(int(rate * 6)) * (np.arange(int(rate * 6)) % 4400 < 900) + offset).astype(np.float32)
+    weight = total = low = 0.0
+    window = [0.5 * (1 - np.cos(2 * np.pi * i / 1024)) for i in range(1024)]
+    for a in range(0, len(x) - 1023, 512):
+        m = np.abs(np.fft.fft(x[a : a + 1024].astype(float) * window))
+        for b in range(1, 512):
+            weight, total, low = weight + b * rate / 1024 * m[b], total + m[b], low + (m[b] if b <= 26 else 0)  # 200 Hz is 25.6 bins
+    loud, dynamics, centroid, bass = audio.axes_of(x, rate)
+    levels = [20 * np.log10(max(1e-12, np.sqrt(np.mean(x[a : a + 400].astype(float) ** 2)))) for a in range(0, len(x) - 399, 400)]
+    levels = [v for v in levels if v > -60]
+    assert (centroid, bass) == (pytest.approx(weight / total, rel=1e-6), pytest.approx(low / total, rel=1e-6))
+    assert dynamics == pytest.approx(np.std(levels), rel=1e-6) and loud == pytest.approx(20 * np.log10(np.sqrt(np.mean(x.astype(float) ** 2))), rel=1e-6)
+    f = plain_flux(x, 2048, 1024, 1023, True)
+    energy = plain_correlation(f, 0)
+    assert audio.beat_of(x, rate) == pytest.approx(max(0, max(plain_correlation(f, lag) / energy for lag in range(7, len(f)))), rel=1e-6)
+    for band, bins in ((None, 511), (250.0, 32)):
+        f = plain_flux(x, 1024, 128, bins, False)
+        raw = {lag: plain_correlation(f, lag) / (len(f) - lag) if lag else 0.0 for lag in range(19, 56)}
+        score = {lag: raw[lag] * np.exp(-0.5 * (np.log2(3750 / lag / 128) / 0.9) ** 2) for lag in range(20, 55)}
+        at = max(score, key=lambda lag: (score[lag], -lag))
+        shift = 0.5 * (raw[at - 1] - raw[at + 1]) / (raw[at - 1] - 2 * raw[at] + raw[at + 1])
+        bpm, sure = audio.tempo_of(x, rate, band=band)
+        assert bpm == pytest.approx(3750 / (at + max(-1, min(1, shift))), rel=1e-6) and sure == pytest.approx(min(1, max(0, raw[at] / (plain_correlation(f, 0) / len(f)))), rel=1e-6)
+
+
+def test_silence_has_no_tempo_and_no_beat():
+    x = np.zeros(int(RATE * 10), np.float32)
+    assert audio.beat_of(x, RATE) == 0.0 and audio.beat_of(x[:2048], RATE) is None and audio.axes_of(x, RATE) == (-60.0, 0.0, 0.0, 0.0)
+    assert abs(audio.tempo_of(clicks(180), RATE)[0] - 180) < 5 and abs(audio.tempo_of(clicks(140), RATE, 70, 140)[0] - 140) < 5  # a peak at an end of the band
+
+
+def test_late_favourite_does_not_win(spark, tmp_path):
+    events = lambda rows: spark.createDataFrame(rows, "event_id long, ts timestamp, track_id long, stop_reason string, favourite boolean")
+    day = lambda n: dt.datetime(2024, 1, n)
+    plays.favourite_changes(events([(1, day(5), 7, "user", True), (2, day(4), 8, "user", False)])).write.parquet(f"{tmp_path}/out/batch=0")
+    plays.favourite_changes(events([(3, day(1), 7, "user", False), (4, day(6), 8, "user", True)])).write.parquet(f"{tmp_path}/out/batch=1")
+    assert {r.track_id: r.is_favorite for r in plays.latest_favourites(spark, f"{tmp_path}/out").collect()} == {7: True, 8: True}
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    df = spark.createDataFrame([(1, "T", 11.0), (2, "T\t", 11.0), (3, " t\n", 11.0)], "id int, title string, duration double").selectExpr("*", "'A' as artist", "'B' as album", "'1990' as year", "'mp3' as format", "128 as bitrate")
+    assert ingest.mark_duplicates(df).where("duplicate_group_id is not null").count() == 3
+    assert credits(spark, "A\t;\nB ") == ["A", "B"]
+
+
+LIBRARY = [
+    (1, "A feat. B", "One", None, None, False), (2, "B", "One", None, "C", False), (3, "A", "One ", "A", "", False), (4, "Old A", "Two", None, None, False), (5, "X", "Mix", "", None, True), (6, "Y", "Mix", None, None, True),
+    (7, "Unknown Artist", "One", None, "Unknown Composer", False), (8, None, None, None, None, False), (9, "Z", "Gone", "Z", None, False)]
+
+
+def test_rebuild_from_tags(spark):
+    tracks = spark.createDataFrame([(*r, r[0] == 9) for r in LIBRARY], "id long, artist string, album string, album_artist string, composer string, compilation boolean, is_duplicate boolean")
+    known = spark.createDataFrame([("old a", "A")], "alias string, canonical string")
+    moved = spark.createDataFrame([("two|a", "One", "A")], "alias string, title string, artist string")
+    pins = spark.createDataFrame([(1, 77, None, " a"), (2, 78, None, "Nobody"), (3, None, 5, "MIX"), (4, None, None, None)], "pin_id int, artist_id long, album_id long, value string")
+    out = ingest.rebuild_associations(tracks, aliases=known, album_aliases=moved, pins=pins)
+    artists = {r.name: r for r in out["artists"].collect()}
+    # A leads tracks 1, 3 and, by its alias, 4; B is a guest of 1 and owns 2, whose album already lists it.
+    assert {n: (r.total_tracks, r.total_albums) for n, r in artists.items()} == {"A": (3, 1), "B": (2, 1), "C": (0, 0), "X": (1, 1), "Y": (1, 1), "Various Artists": (0, 1)}
+    album = {r.id: r.album_id for r in out["tracks"].collect()}
+    assert album[1] == album[2] == album[3] == album[4] == album[7] and album[5] == album[6] != album[1] and album[8] is None and 9 not in album
+    assert {(r.title, r.total_tracks) for r in out["albums"].collect()} == {("One", 5), ("Mix", 2)}
+    names = {r.artist_id: n for n, r in artists.items()}
+    assert {(r.track_id, names[r.artist_id], r.role, r.position) for r in out["track_artists"].collect()} == {
+        (1, "A", "artist", 0), (1, "B", "artist", 1), (2, "B", "artist", 0), (2, "C", "composer", 0), (3, "A", "artist", 0), (3, "A", "album_artist", 0), (4, "A", "artist", 0), (5, "X", "artist", 0), (6, "Y", "artist", 0)}
+    assert {(names[r.artist_id], r.role) for r in out["album_artists"].where(f"album_id = {album[5]}").collect()} == {("Various Artists", "primary"), ("X", "featured"), ("Y", "featured")}
+    assert {r.pin_id: r.artist_id or r.album_id for r in out["pins"].collect()} == {1: artists["A"].artist_id, 3: album[5], 4: None}
+    empty = ingest.rebuild_associations(tracks.where("false"))
+    assert all(empty[t].count() == 0 for t in ("artists", "albums", "track_artists", "album_artists"))
+
+
+def test_orphans_of_every_table(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    before = {
+        "artists": make([(1, "a"), (2, "b")], "artist_id long, name string"), "albums": make([(1,), (2,)], "album_id long"), "track_artists": make([(1, 1), (9, 2)], "track_id long, artist_id long"),
+        "album_artists": make([(1, 1), (2, 2)], "album_id long, artist_id long"), "genres": make([(1,), (2,)], "genre_id long"), "track_genres": make([(1, 1), (9, 2)], "track_id long, genre_id long"),
+        "playlist_tracks": make([(5, 1), (5, 9)], "playlist_id long, track_id long"), "pins": make([(1, 1, None, None), (2, 2, None, None), (3, None, 2, None), (4, None, None, 5), (5, None, None, 6)], "pin_id int, artist_id long, album_id long, playlist_id long")}
+    after = ingest.drop_orphans(make([(1, 1), (2, None)], "id long, album_id long"), playlists=make([(5,)], "playlist_id long"), **before)
+    assert {r["name"]: r.deleted for r in ingest.deleted_counts(before, after).collect()} == {"artists": 1, "albums": 1, "track_artists": 1, "album_artists": 1, "genres": 1, "track_genres": 1, "playlist_tracks": 1, "pins": 3}
+    assert {r.pin_id for r in after["pins"].collect()} == {1, 4}
+
+
+def test_artwork_and_totals_of_albums(spark):
+    t = spark.createDataFrame([(1, 1, "a", "1990", 9, None), (2, 1, None, "x", None, 2), (3, None, "c", None, 3, 3), (4, 2, "d", "1985-02", 4, 1)], "id int, album_id int, artwork_ref string, year string, track_total int, disc_total int")
+    assert {r.id: r.artwork_ref for r in ingest.shown_artwork(t, spark.createDataFrame([(1, "cover")], "album_id int, artwork_ref string")).collect()} == {1: "cover", 2: "cover", 3: "c", 4: "d"}
+    old = spark.createDataFrame([(1, 5, None), (2, 8, 1)], "album_id int, total_tracks int, total_discs int")
+    assert {(r.album_id, r.release_year, r.total_tracks, r.total_discs) for r in ingest.fill_album_metadata(t, old).collect()} == {(1, 1990, 9, None), (2, 1985, 8, 1)}
+
+
+def test_merging_with_new_names(spark):
+    artists = spark.createDataFrame([(1, "Win", "win", None), (2, "Lose", "lose", "img"), (3, "Taken", "taken", None), (4, "Unknown Artist", "unknown artist", None)], "artist_id long, name string, normalized_name string, image string")
+    bridge = spark.createDataFrame([(1, 1, "artist", 0), (1, 2, "artist", 1), (2, 3, "artist", 0)], "track_id long, artist_id long, role string, position int")
+    on = spark.createDataFrame([(1, 1, "primary", 0), (2, 2, "primary", 0)], "album_id long, artist_id long, role string, position int")
+    known = spark.createDataFrame([("older", "Lose"), ("kept", "Else"), ("taken", "Else")], "alias string, canonical string")
+    mapping = spark.createDataFrame([(2, 1), (4, 1), (1, 1)], "loser long, winner long")
+    out = merge.merge_artists(artists, bridge, on, mapping, ("image",), spark.createDataFrame([(1, " Taken\n"), (3, "")], "winner long, new_name string"), known)
+    assert {tuple(r) for r in out["artists"].select("artist_id", "name", "normalized_name", "image").collect()} == {(1, "Taken", "taken", "img"), (4, "Unknown Artist", "unknown artist", None)}
+    assert {tuple(r) for r in out["track_artists"].select("track_id", "artist_id", "position").collect()} == {(1, 1, 0), (2, 1, 0)}
+    assert {tuple(r) for r in out["aliases"].collect()} == {("lose", "Taken"), ("win", "Taken"), ("older", "Taken"), ("kept", "Else")}
+    albums = spark.createDataFrame([(1, "First"), (2, "Second"), (3, "Third")], "album_id long, title string")
+    tracks = spark.createDataFrame([(1, 1, "First"), (2, 2, "Second"), (3, 3, "Third")], "id long, album_id long, album string")
+    out = merge.merge_albums(albums, tracks, on, spark.createDataFrame([(2, 1)], "loser long, winner long"), artists, spark.createDataFrame([(1, "New"), (3, " ")], "winner long, new_title string"))
+    assert {(r.id, r.album_id, r.album) for r in out["tracks"].collect()} == {(1, 1, "New"), (2, 1, "New"), (3, 3, "Third")}
+    assert {tuple(r) for r in out["aliases"].collect()} == {("first|win", "New", "Win"), ("second|lose", "New", "Win")}
+    assert {tuple(r) for r in out["albums"].select("album_id", "title").collect()} == {(1, "New"), (3, "Third")}
+
+
+def test_positions_over_many_ranges(spark):
+    df = spark.range(0, 1000, 1, 16).selectExpr("(id * 37) % 1000 as x")
+    assert all(r.x == r.position for r in tables.with_positions(df, "x").collect()) and tables.with_positions(df.where("false"), "x").count() == 0
