@@ -54,9 +54,15 @@ def _(v):
     return N.resolve_albums(credited(v))[2]
 
 
-@R.query("n6_album_metadata", "SELECT album_id, arg_min(CASE WHEN year <> 'Unknown Year' THEN CAST(year AS INT) END, id) AS release_year, CAST(NULL AS VARCHAR) AS label, max(disc_number) AS total_discs FROM v_linked WHERE album_id IS NOT NULL GROUP BY ALL")
-def _(v):
-    return N.fill_album_metadata(v("v_linked").withColumn("disc_total", F.col("disc_number")))
+@R.query("n6_album_metadata", """
+    SELECT album_id, arg_min(CASE WHEN year <> 'Unknown Year' THEN CAST(year AS INT) END, id) AS release_year, arg_min(CASE WHEN k % 5 = 2 THEN year || '-06' END, id) AS release_date,
+        arg_min(composer_tag, id) AS label, CASE WHEN album_id % 2 = 0 THEN greatest(max(track_number), 7) END AS total_tracks, CASE WHEN album_id % 3 = 0 THEN greatest(max(disc_number), 1) END AS total_discs
+    FROM v_linked WHERE album_id IS NOT NULL GROUP BY album_id""")
+def _(v):
+    i = F.col("album_id")
+    t = v("v_linked").withColumns({"label": F.col("composer_tag"), "release_date": F.when(F.col("k") % 5 == 2, F.concat("year", F.lit("-06"))), "track_total": F.col("track_number"), "disc_total": F.col("disc_number")})
+    old = v("v_albums").select("album_id", F.when(i % 2 == 0, 7).alias("total_tracks"), F.when(i % 3 == 0, 1).alias("total_discs"))
+    return N.fill_album_metadata(t, old)
 
 
 @R.query("n7_genres", "SELECT DISTINCT id AS track_id, trim(g) AS name FROM (SELECT id, unnest(regexp_split_to_array(genre, '[;/]')) AS g FROM v_tracks) d WHERE trim(g) <> ''")
