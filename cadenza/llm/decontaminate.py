@@ -68,70 +68,81 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return save(found.sortWithinPartitions("term"), "postings")
 
 
-def find_passages(index: DataFrame, terms: DataFrame, window: int = 10, slack: int = 0) -> DataFrame:
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``terms`` as passage, n, at, term, n_postings: a row for each place of a passage, with the length of its term's list."""
+    counts = index.groupBy("term").agg(F.count("*").alias("n_postings"))
+    keyed = terms.select("passage", "n", "at", F.xxhash64("word", "after").alias("term"))
+    return save(keyed.join(counts, "term", "left").fillna(0, ["n_postings"]), "counted-terms")
+
+
+def find_passages(index: DataFrame, counted: DataFrame, window: int = 10, slack: int = 0) -> DataFrame:
     """(id, k, passage, start, end): stretches of documents that windows of passages match; end is exclusive.
 
-    A window is ``window`` consecutive words of a passage (all of a shorter one). Its rarest term, by the index's
-    counts, opens the search: postings minus the term's place in the passage give the places where the passage could lie,
-    and only there are the lists of the other terms intersected, again by adjusted position. With ``slack`` above 0,
-    terms may stand up to that many words off their place by the opening term, which may then be any (proximity): a place where
-    all but one of a window's words have a match is returned. 0 asks for the exact phrase.
+    ``counted`` is term_counts() of the test set. A window is ``window`` (2 or more) consecutive words of a passage, all of a
+    shorter one. The list of its rarest term is read first: its postings, less the term's place in the passage, are the offsets at
+    which the passage could lie, and only there are the lists of the terms around it looked up, by adjusted position.
+
+    0 as ``slack`` asks for the exact phrase. Above it, proximity: at an offset, a term may stand up to that many
+    words off its place, and of a window's terms (adjacent word pairs) all but 2 x slack must be there, half of them at least. So up
+    to ``slack`` words that are put in, left out or replaced leave a window of ten words found. No match is lost: one of the
+    2 x slack + 1 rarest terms of a window stands in it, and all of these open the search.
     """
-    span = Window.partitionBy("passage").orderBy("at")
     size = F.least(F.col("n"), F.lit(window))
-    counted = terms.withColumn("term", F.xxhash64("word", "after")).join(index.groupBy("term").agg(F.count("*").alias("n_postings")), "term", "left").fillna(0, ["n_postings"])
-    # The rarest of the window - 1 terms of each window: a minimum over a sliding frame, kept with its place.
-    rare = counted.withColumn("rarest", F.min(F.struct("n_postings", "at")).over(span.rowsBetween(0, max(window - 2, 0))))
+    frame = Window.partitionBy("passage").orderBy("at").rowsBetween(0, max(window - 2, 0))
+    rare = counted.withColumn("rare", F.slice(F.array_sort(F.collect_list(F.struct("n_postings", "at", "term")).over(frame)), 1, 2 * slack + 1))
     rare = rare.where(F.col("at") + F.greatest(size - 1, F.lit(1)) <= F.greatest(F.col("n") - 1, F.lit(1)))
-    anchors = rare.where("rarest.n_postings > 0").select("passage", F.col("rarest.at").alias("at")).distinct()
-    placed = save(counted.join(anchors.withColumn("anchor", F.lit(True)), ["passage", "at"], "left").select("passage", "n", "at", "term", F.coalesce("anchor", F.lit(False)).alias("anchor")), "placed-terms")
-    small = placed.count() <= BROADCAST_TERMS
-    hits = index.join(F.broadcast(placed) if small else placed, "term").select("id", "k", "passage", "n", (F.col("pos") - F.col("at")).alias("offset"), "pos", "at", "anchor")
+    anchors = rare.select("passage", F.explode("rare").alias("r")).where("r.n_postings > 0").select("passage", F.col("r.at").alias("anchor"), F.col("r.term").alias("term")).distinct()
+    anchors = save(anchors, "anchors")
+    opening = F.broadcast(anchors) if anchors.count() <= BROADCAST_TERMS else anchors
+    off = F.sequence(F.lit(-slack), F.lit(slack))
+    opened = index.join(opening, "term").select("id", "k", "passage", "anchor", F.explode(F.transform(off, lambda d: F.col("pos") - F.col("anchor") + d)).alias("offset"))
+    # The places to look at: those of the terms in the windows around an opening term, moved by up to the slack.
+    around = counted.select("passage", "n", "at", "term").join(anchors.select("passage", "anchor"), "passage").where(F.abs(F.col("at") - F.col("anchor")) <= max(window - 2, 0))
+    asked = opened.join(around, ["passage", "anchor"]).select("id", "k", "passage", "n", "offset", "at", "term", F.explode(F.transform(off, lambda d: F.col("offset") + F.col("at") + d)).alias("pos"))
+    asked = save(asked.where("pos >= 0").distinct(), "asked-places")
     place = ["id", "k", "passage", "offset"]
-    opened = (hits if slack else hits.where("anchor")).select(place).distinct()
-    if slack:
-        hits = hits.withColumn("offset", F.explode(F.sequence(F.col("offset") - slack, F.col("offset") + slack)))
-    alike = hits.join(opened, place, "left_semi")
-    if slack:
-        near = alike.groupBy(place).agg(F.max("n").alias("n"), F.count_distinct("at").alias("terms"), F.min("pos").alias("start"), F.max("pos").alias("last"))
-        return near.where(F.col("terms") >= F.greatest(size - 1, F.lit(1))).select("id", "k", "passage", "start", (F.col("last") + F.when(F.col("n") == 1, 1).otherwise(2)).alias("end"))
-    alike = alike.groupBy(place).agg(F.max("n").alias("n"), F.collect_set("at").alias("ats"))
-    # Runs of consecutive places: a run of r terms is r + 1 matching words.
-    run = F.col("at") - F.row_number().over(Window.partitionBy("id", "k", "passage", "offset").orderBy("at"))
-    runs = alike.select("id", "k", "passage", "offset", "n", F.explode("ats").alias("at")).withColumn("run", run)
-    runs = runs.groupBy("id", "k", "passage", "offset", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("n").alias("n"))
-    end = F.col("last") + F.when(F.col("n") == 1, 1).otherwise(2)
-    return runs.where(end - F.col("first") >= size).select("id", "k", "passage", (F.col("offset") + F.col("first")).alias("start"), (F.col("offset") + end).alias("end"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    there = index.join(asked, ["term", "id", "k", "pos"]).groupBy(*place, "at").agg(F.max("n").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("last"))
+    ahead = Window.partitionBy(*place).orderBy("at").rangeBetween(0, max(window - 2, 0))
+    seen = there.select("id", "k", "passage", "n", "start", F.count("*").over(ahead).alias("found"), F.max("last").over(ahead).alias("last"))
+    enough = F.greatest(size - 1 - 2 * slack, F.ceil((size - 1) / 2), F.lit(1))
+    return seen.where(F.col("found") >= enough).select("id", "k", "passage", "start", (F.col("last") + F.when(F.col("n") == 1, 1).otherwise(2)).alias("end"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int = 1) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     Words are runs of digits, ASCII letters (A-Z lowered) and characters beyond ASCII. A word is hit if it lies in an
     occurrence of a window of any benchmark item; n_items counts items with such windows, and items_sha256 is taken
-    of their ids, sorted as strings and comma-joined (of the empty string if none).
+    of their ids, sorted as strings and comma-joined (of the empty string if none). n_near counts items with a window
+    that lies in the text exactly or nearly, by find_passages() with ``slack``; it decides nothing else.
 
     Null and empty texts have no words and no hits; items without words match nothing; items with equal words are found
     together; a null item_id is counted by no document. Rows with equal doc_id and text share their result, and rows
     without a doc_id keep null. Empty tables give empty or clean results; other columns are not read.
     """
     items, terms = test_terms(benchmark)
-    spans = save(find_passages(build_index(docs, terms), terms, window), "spans")
+    index = build_index(docs, terms)
+    counted = term_counts(index, terms)
+    spans = save(find_passages(index, counted, window), "spans")
+    nearly = find_passages(index, counted, window, slack).select("id", "k", "passage").distinct().join(items.select("passage", "item_ids"), "passage")
+    nearly = save(nearly.groupBy("id", "k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("n_near")), "near-items")
     so_far = F.max("end").over(Window.partitionBy("id", "k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(so_far, F.col("start"))), F.lit(0))
     words = spans.select("id", "k", "start", "end").distinct().withColumn("fresh", fresh).groupBy("id", "k").agg(F.sum("fresh").alias("n_hit"))
     ids = spans.select("id", "k", "passage").distinct().join(items.select("passage", "item_ids"), "passage").groupBy("id", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"))
     found = save(words.join(ids, ["id", "k"]), "contaminated")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last().alias("id"), text_key().alias("k"), n_words(F.col("text")).alias("n_words")).join(found, ["id", "k"], "left")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last().alias("id"), text_key().alias("k"), n_words(F.col("text")).alias("n_words")).join(found, ["id", "k"], "left").join(nearly, ["id", "k"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that contamination() finds contaminated; all columns stay as they are."""
     items, terms = test_terms(benchmark)
-    spans = save(find_passages(build_index(docs, terms), terms, window).select(F.col("id").alias("†id"), F.col("k").alias("†k")).distinct(), "contaminated")
+    index = build_index(docs, terms)
+    spans = save(find_passages(index, term_counts(index, terms), window).select(F.col("id").alias("†id"), F.col("k").alias("†k")).distinct(), "contaminated")
     return docs.withColumns({"†id": id_or_last(), "†k": text_key()}).join(spans, ["†id", "†k"], "left_anti").drop("†id", "†k")

@@ -6,13 +6,14 @@ which shard holds each slot. Rebalancing edits the map: what fits stays, the res
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, shared_dir
 
 SLOTS = 4096
 #: Rows of a stored table are numbered by runs of so many in one file.
@@ -78,6 +79,38 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int = 16) -> DataFr
     )
 
 
+def store_map(slot_map: DataFrame, path: str, version: int) -> None:
+    """Add one version (virtual_slot, shard) to the map kept at ``path``; a version that is there already is an error, never replaced."""
+    slot_map.select("virtual_slot", "shard").write.parquet(f"{path}/version={version}")
+
+
+def latest_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """(version, virtual_slot, shard) of the last version kept at ``path``; None where there is none."""
+    try:
+        kept = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return kept.where(F.col("version") == kept.agg(F.max("version")).first()[0]).select("version", "virtual_slot", "shard")
+
+
+def next_map(spark: SparkSession, path: str, stats: DataFrame, slots: int, shards: int) -> DataFrame:
+    """Edit the map kept at ``path`` for ``stats`` (slot_bytes()), keep the result as its next version and return it with bytes and rows.
+
+    A path without a map begins with version 0, slots dealt in turn. A map of another number of slots is refused: slots are fixed.
+    """
+    now = latest_map(spark, path)
+    if now is None:
+        store_map(first_map(spark, slots, shards), path, 0)
+        now = latest_map(spark, path)
+    if (n := now.count()) != slots:
+        raise ValueError(f"the map at {path} has {n} slots, not {slots}")
+    version = now.first()["version"] + 1
+    store_map(rebalance(now, stats, shards), path, version)
+    return latest_map(spark, path).join(stats, "virtual_slot", "left").fillna(0, ["bytes", "rows"])
+
+
 def with_stored_place(docs: DataFrame) -> DataFrame:
     """``docs`` with part, file and row, which ascend in the order in which its rows are stored.
 
@@ -107,7 +140,7 @@ def _slots_as_stored(placed: DataFrame, slot_map: DataFrame) -> DataFrame:
     return dealt.withColumn("place", place).join(starts, cell)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, as_stored: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, as_stored: bool = False, map_path: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its shard, under the law ``bytes``: shard sizes are near equal.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's gapless place in its shard, from 0), grown_shard
@@ -116,11 +149,16 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, as_st
     Null texts have size 1; rows with one doc_id share a virtual slot and are told apart by text_crc32, then size;
     equal rows get neighbouring places. An empty table gives an empty result; other columns are not read.
 
+    The map is read from ``map_path``, edited and kept there as its next version (next_map()), so that a second run on
+    a grown table moves only the slots that have to; without a path the run keeps a map of its own in the shared folder.
+
     With ``as_stored`` the slots of a shard follow the order in which ``docs`` is stored (with_stored_place()), else
     virtual slot and doc_id.
     """
     placed = save(with_virtual_slot(with_stored_place(docs), slots, ["part", "file", "row"]) if as_stored else with_virtual_slot(docs, slots), "placed")
-    slot_map = save(rebalance(first_map(docs.sparkSession, slots, shards), slot_bytes(placed), shards), "slot-map")
+    spark = docs.sparkSession
+    stats = save(slot_bytes(placed), "slot-bytes")
+    slot_map = next_map(spark, map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}", stats, slots, shards)
     if as_stored:
         numbered = _slots_as_stored(placed, slot_map)
     else:

@@ -320,6 +320,22 @@ def test_sharding(spark):
     assert sharding.shard_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    rows = [(i, "t" * (i % 50)) for i in range(2000)]
+    path = f"file://{tmp_path}/map"
+    place = lambda some, shards: {r.doc_id: (r.shard, r.virtual_slot, r.map_version, r.size) for r in sharding.shard_documents(frame(spark, some), shards, 256, map_path=path).collect()}
+    first, again = place(rows, 4), place(rows, 4)
+    assert {v[2] for v in first.values()} == {1} and {v[2] for v in again.values()} == {2}
+    assert {d: v[0] for d, v in first.items()} == {d: v[0] for d, v in again.items()}
+    grown = place(rows + [(i, "t" * (i % 50)) for i in range(2000, 2200)], 5)
+    moved = sum(v[3] for d, v in first.items() if grown[d][0] != v[0])
+    loads = [sum(v[3] for v in grown.values() if v[0] == k) for k in range(5)]
+    assert {v[2] for v in grown.values()} == {3} and moved < 0.3 * sum(loads) and max(loads) - min(loads) < 0.05 * max(loads)
+    assert {r.version for r in spark.read.parquet(path).select("version").distinct().collect()} == {0, 1, 2, 3}
+    with pytest.raises(ValueError):
+        sharding.shard_documents(frame(spark, rows), 5, 128, map_path=path)
+
+
 def test_growing_moves_about_a_shard(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)]
     stats = sharding.slot_bytes(sharding.with_virtual_slot(frame(spark, rows), 512))
@@ -415,6 +431,22 @@ def test_tokens(spark):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def nearly(w, x, window=10, slack=1):
+    """Whether, at some offset, enough adjacent pairs of a window of ``x`` stand within ``slack`` of their places in ``w``."""
+    size = min(window, len(x))
+    pairs = [tuple(x[j : j + 2]) for j in range(max(len(x) - 1, 1))] if x else []
+    there = {}
+    for p in range(len(w)):
+        there.setdefault(tuple(w[p : p + min(2, len(x))]), []).append(p)
+    found = {}
+    for at, pair in enumerate(pairs):
+        for p in there.get(pair, []):
+            for o in range(p - at - slack, p - at + slack + 1):
+                found.setdefault(o, set()).add(at)
+    need = max(size - 1 - 2 * slack, -(-(size - 1) // 2), 1)
+    return any(len([a for a in ats if at <= a <= at + max(window - 2, 0)]) >= need for ats in found.values() for at in ats)
+
+
 def test_decontamination(spark):
     rng = random.Random(10)
     vocab = [f"w{i}" for i in range(30)] + ["Été", "x"]
@@ -434,9 +466,11 @@ def test_decontamination(spark):
     expected = []
     for d, t in docs:
         w = WORD.findall(lower(t))
-        hit, found = set(), set()
+        hit, found, near = set(), set(), set()
         for i, it in items:
             x = WORD.findall(lower(it))
+            if i is not None and nearly(w, x):
+                near.add(i)
             n = min(10, len(x))
             windows = {tuple(x[j : j + n]) for j in range(len(x) - n + 1)} if n else set()
             for p in range(len(w) - n + 1 if n else 0):
@@ -444,24 +478,27 @@ def test_decontamination(spark):
                     hit |= set(range(p, p + n))
                     if i is not None:
                         found.add(str(i))
-        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)))
+    assert any(e[6] > e[3] for e in expected)
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as passage", "2 as n")
     out = decontaminate.contamination(frame(spark, docs), bench)
-    assert collect(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(expected, key=str)
+    assert collect(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near") == sorted(expected, key=str)
     kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(e[0]) for e in expected if not e[5]) and kept.columns == frame(spark, docs).columns
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(frame(spark, docs).limit(0), bench).count() == 0
 
 
-def test_proximity(spark):
-    words = [f"u{i}" for i in range(12)]
-    near = words[:5] + ["extra"] + words[5:]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))], "doc_id long, text string")
-    items, terms = decontaminate.test_terms(spark.createDataFrame([(1, " ".join(words[:10]))], "item_id long, text string"))
+@pytest.mark.parametrize("n", [10, 12, 30])
+def test_proximity(spark, n):
+    words = [f"u{i}" for i in range(n)]
+    texts = {1: words, 2: [*words[:5], "extra", *words[5:]], 3: words[:4] + words[5:], 4: [*words[:5], "other", *words[6:]], 5: list(reversed(words)), 6: words[::2], 7: [w for x in words for w in (x, "gap")]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    items, terms = decontaminate.test_terms(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
     index = decontaminate.build_index(docs, terms)
-    assert {r.id for r in decontaminate.find_passages(index, terms).collect()} == {1}
-    assert {r.id for r in decontaminate.find_passages(index, terms, window=9, slack=1).collect()} == {1, 2}
+    counted = decontaminate.term_counts(index, terms)
+    assert {r.id for r in decontaminate.find_passages(index, counted).collect()} == ({1} if n < 30 else {1, 2, 3, 4})
+    assert {r.id for r in decontaminate.find_passages(index, counted, slack=1).collect()} == {1, 2, 3, 4}
 
 
 def test_forest(spark):
