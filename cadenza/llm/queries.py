@@ -79,10 +79,10 @@ ORACLE_SQL: dict[str, str] = {
         h AS (SELECT dw.doc_id, item_id, i, dw.n FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
         p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(0, h.n) r(j) GROUP BY doc_id),
         t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id),
-        ip AS (SELECT DISTINCT item_id, len(w) AS n, i AS at, w[i + 1] AS a, coalesce(w[i + 2], '') AS b FROM b, range(0, greatest(len(w) - 1, 1)) r(i) WHERE len(w) > 0),
+        ip AS (SELECT DISTINCT item_id, len(w) AS n, i AS spot, w[i + 1] AS a, coalesce(w[i + 2], '') AS b FROM b, range(0, greatest(len(w) - 1, 1)) r(i) WHERE len(w) > 0),
         dp AS (SELECT doc_id, i AS pos, w[i + 1] AS a, coalesce(w[i + 2], '') AS b FROM d, range(0, len(w)) r(i)),
-        near AS (SELECT DISTINCT doc_id, item_id, n, at, pos - at + o AS off FROM ip JOIN dp ON ip.a = dp.a AND (ip.b = dp.b OR n = 1), range(-1, 2) s(o)),
-        seen AS (SELECT doc_id, item_id, least(n, 10) - 1 AS pairs, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY at RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) AS found FROM near),
+        near AS (SELECT DISTINCT doc_id, item_id, n, spot, pos - spot + o AS off FROM ip JOIN dp ON ip.a = dp.a AND (ip.b = dp.b OR n = 1), range(-1, 2) s(o)),
+        seen AS (SELECT doc_id, item_id, least(n, 10) - 1 AS pairs, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY spot RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) AS found FROM near),
         m AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM seen WHERE found >= greatest(pairs - 2, ceil(pairs / 2), 1) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
