@@ -75,33 +75,43 @@ def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
     return save(keyed.join(counts, "term", "left").fillna(0, ["n_postings"]), "counted-terms")
 
 
-def find_passages(index: DataFrame, counted: DataFrame, window: int = 10, slack: int = 0) -> DataFrame:
-    """(id, k, passage, start, end): stretches of documents that windows of passages match; end is exclusive.
-
-    ``counted`` is term_counts() of the test set. A window is ``window`` (2 or more) consecutive words of a passage, all of a
-    shorter one. The list of its rarest term is read first: its postings, less the term's place in the passage, are the offsets at
-    which the passage could lie, and only there are the lists of the terms around it looked up, by adjusted position.
+def look_up(index: DataFrame, counted: DataFrame, window: int = 10, slack: int = 0) -> DataFrame:
+    """(id, k, passage, n, at, pos): the postings that can belong to a match of up to ``slack``, stored in the shared folder.
 
-    0 as ``slack`` asks for the exact phrase. Above it, proximity: at an offset, a term may stand up to that many
-    words off its place, and of a window's terms (adjacent word pairs) all but 2 x slack must be there, half of them at least. So up
-    to ``slack`` words that are put in, left out or replaced leave a window of ten words found. No match is lost: one of the
-    2 x slack + 1 rarest terms of a window stands in it, and all of these open the search.
+    ``counted`` is term_counts() of the test set. The lists of each window's rarest terms are read first: their postings, less the
+    term's place in the passage, are the offsets at which the passage could lie. Only in documents with such offsets
+    are the other terms of those passages looked up, and only what lies within 2 x slack of an offset is kept.
+    The 2 x slack + 1 rarest terms of a window open the search, as at most 2 x slack of its terms may be missing.
     """
     size = F.least(F.col("n"), F.lit(window))
     frame = Window.partitionBy("passage").orderBy("at").rowsBetween(0, max(window - 2, 0))
     rare = counted.withColumn("rare", F.slice(F.array_sort(F.collect_list(F.struct("n_postings", "at", "term")).over(frame)), 1, 2 * slack + 1))
     rare = rare.where(F.col("at") + F.greatest(size - 1, F.lit(1)) <= F.greatest(F.col("n") - 1, F.lit(1)))
-    anchors = rare.select("passage", F.explode("rare").alias("r")).where("r.n_postings > 0").select("passage", F.col("r.at").alias("anchor"), F.col("r.term").alias("term")).distinct()
+    anchors = rare.select("passage", F.explode("rare").alias("r")).where("r.n_postings > 0").select("passage", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct()
     anchors = save(anchors, "anchors")
     opening = F.broadcast(anchors) if anchors.count() <= BROADCAST_TERMS else anchors
-    off = F.sequence(F.lit(-slack), F.lit(slack))
-    opened = index.join(opening, "term").select("id", "k", "passage", "anchor", F.explode(F.transform(off, lambda d: F.col("pos") - F.col("anchor") + d)).alias("offset"))
-    # The places to look at: those of the terms in the windows around an opening term, moved by up to the slack.
-    around = counted.select("passage", "n", "at", "term").join(anchors.select("passage", "anchor"), "passage").where(F.abs(F.col("at") - F.col("anchor")) <= max(window - 2, 0))
-    asked = opened.join(around, ["passage", "anchor"]).select("id", "k", "passage", "n", "offset", "at", "term", F.explode(F.transform(off, lambda d: F.col("offset") + F.col("at") + d)).alias("pos"))
-    asked = save(asked.where("pos >= 0").distinct(), "asked-places")
     place = ["id", "k", "passage", "offset"]
-    there = index.join(asked, ["term", "id", "k", "pos"]).groupBy(*place, "at").agg(F.max("n").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("last"))
+    opened = save(index.join(opening, "term").select("id", "k", "passage", (F.col("pos") - F.col("at")).alias("offset")).distinct(), "opened")
+    inside = index.join(opened.select("id", "k", "passage").distinct(), ["id", "k"])
+    hits = inside.join(counted.select("passage", "n", "at", "term"), ["passage", "term"]).withColumn("offset", F.col("pos") - F.col("at"))
+    near = opened
+    if slack:
+        near = opened.withColumn("offset", F.explode(F.sequence(F.col("offset") - 2 * slack, F.col("offset") + 2 * slack))).distinct()
+    return save(hits.join(near, place, "left_semi").select("id", "k", "passage", "n", "at", "pos"), "hits")
+
+
+def find_passages(hits: DataFrame, window: int = 10, slack: int = 0) -> DataFrame:
+    """(id, k, passage, start, end): stretches of documents that windows of passages match; end is exclusive.
+
+    ``hits`` is look_up() with the same window and the same slack or a larger one. A window is ``window`` (2 or more) consecutive
+    words of a passage, all of a shorter one. 0 as ``slack`` asks for the exact phrase. Above it, proximity: at an offset, a
+    term may stand up to that many words off its place, and of a window's terms (adjacent word pairs) all but 2 x slack must
+    be there, half of them at least. So up to ``slack`` words that are put in, left out or replaced leave a window of ten words found.
+    """
+    size = F.least(F.col("n"), F.lit(window))
+    place = ["id", "k", "passage", "offset"]
+    away = F.explode(F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.col("pos") - F.col("at") + d))
+    there = hits.select("id", "k", "passage", "n", "at", "pos", away.alias("offset")).groupBy(*place, "at").agg(F.max("n").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("last"))
     ahead = Window.partitionBy(*place).orderBy("at").rangeBetween(0, max(window - 2, 0))
     seen = there.select("id", "k", "passage", "n", "start", F.count("*").over(ahead).alias("found"), F.max("last").over(ahead).alias("last"))
     enough = F.greatest(size - 1 - 2 * slack, F.ceil((size - 1) / 2), F.lit(1))
@@ -122,9 +132,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack
     """
     items, terms = test_terms(benchmark)
     index = build_index(docs, terms)
-    counted = term_counts(index, terms)
-    spans = save(find_passages(index, counted, window), "spans")
-    nearly = find_passages(index, counted, window, slack).select("id", "k", "passage").distinct().join(items.select("passage", "item_ids"), "passage")
+    hits = look_up(index, term_counts(index, terms), window, slack)
+    spans = save(find_passages(hits, window), "spans")
+    nearly = find_passages(hits, window, slack).select("id", "k", "passage").distinct().join(items.select("passage", "item_ids"), "passage")
     nearly = save(nearly.groupBy("id", "k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("n_near")), "near-items")
     so_far = F.max("end").over(Window.partitionBy("id", "k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(so_far, F.col("start"))), F.lit(0))
@@ -144,5 +154,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
     """``docs`` without the rows that contamination() finds contaminated; all columns stay as they are."""
     items, terms = test_terms(benchmark)
     index = build_index(docs, terms)
-    spans = save(find_passages(index, term_counts(index, terms), window).select(F.col("id").alias("†id"), F.col("k").alias("†k")).distinct(), "contaminated")
+    spans = save(find_passages(look_up(index, term_counts(index, terms), window), window).select(F.col("id").alias("†id"), F.col("k").alias("†k")).distinct(), "contaminated")
     return docs.withColumns({"†id": id_or_last(), "†k": text_key()}).join(spans, ["†id", "†k"], "left_anti").drop("†id", "†k")

@@ -497,8 +497,8 @@ def test_proximity(spark, n):
     items, terms = decontaminate.test_terms(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
     index = decontaminate.build_index(docs, terms)
     counted = decontaminate.term_counts(index, terms)
-    assert {r.id for r in decontaminate.find_passages(index, counted).collect()} == ({1} if n < 30 else {1, 2, 3, 4})
-    assert {r.id for r in decontaminate.find_passages(index, counted, slack=1).collect()} == {1, 2, 3, 4}
+    assert {r.id for r in decontaminate.find_passages(decontaminate.look_up(index, counted)).collect()} == ({1} if n < 30 else {1, 2, 3, 4})
+    assert {r.id for r in decontaminate.find_passages(decontaminate.look_up(index, counted, slack=1), slack=1).collect()} == {1, 2, 3, 4}
 
 
 def test_forest(spark):
