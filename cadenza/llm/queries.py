@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, forest, mixing, pii, quality, sharding, simhash, substrings, tokens, warc
+from . import clusters, decontaminate, forest, mixing, negatives, overlap, pii, quality, sharding, simhash, substrings, tokens, warc
 from .common import small_batches, table
 
 
@@ -56,6 +56,19 @@ def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return overlap.similar_sets(table(spark, sf_dir, "documents"))
+
+
+def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_disclosure": op2_disclosure,
@@ -67,9 +80,50 @@ QUERIES = {
     "op8_positional_index": op8_positional_index,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_recompression": op10_recompression,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_overlap_join": op12_overlap_join,
+    "op13_bisector_clusters": op13_bisector_clusters,
 }
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def _rounds(n: int) -> str:
+    """The rounds of the clustering as common table expressions c0 (start), d1, c1, d2, ..: distances, then moved centroids."""
+    out = ""
+    for i in range(1, n + 2):
+        out += f"""
+        d{i} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(distance := CAST(list_sum(list_transform(v, lambda x, j: (x - w[j]) * (x - w[j]))) AS BIGINT), cluster := cluster)) AS best FROM kept, c{i - 1} GROUP BY vec_id, v),"""
+        out += "" if i > n else f"""
+        c{i} AS MATERIALIZED (SELECT cluster, coalesce(m, w) AS w FROM c{i - 1} LEFT JOIN (
+            SELECT cluster, list(CAST(floor_of AS BIGINT) ORDER BY j) AS m FROM (
+                SELECT best.cluster AS cluster, j, (sum(v[j]) - ((sum(v[j]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_of FROM d{i}, range(1, 65) r(j) GROUP BY 1, 2) GROUP BY cluster) USING (cluster)),"""
+    return out
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score
+              FROM e a, e o WHERE a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id AND len(a.v) = len(o.v)),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op12_overlap_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i + 1 : i + 3], ' ')) AS g FROM d, range(0, greatest(len(w) - 2, 1)) r(i) WHERE len(w) > 0),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""",
+    "op13_bisector_clusters": f"""
+        WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS w FROM kept QUALIFY cluster < 8),{_rounds(10)}
+        last AS (SELECT vec_id, best.cluster AS cluster, best.distance AS distance FROM d11)
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(w, ',')) AS centroid_sha256 FROM last JOIN c10 USING (cluster)""",
     "op8_positional_index": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
