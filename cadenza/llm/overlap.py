@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import id_or_last, maybe_in, save, text_key
 from .graph import connected_components
-from .simhash import BROADCAST_HALVES, ORDER_BUCKETS, SEED, Groups, _commonness, _open_halves, _runs, _texts, shingle_hashes
+from .simhash import BROADCAST_HALVES, ORDER_BUCKETS, SEED, Groups, _open_halves, _runs, _texts, shingle_hashes
 
 #: Sets of one class in a cell, at most, and shingles of them, about: more are dealt to several cells.
 CELL_SETS = 256
 CELL_SHINGLES = 1 << 22
+#: The same where only sizes and parity bits are compared.
+LIGHT_SETS, LIGHT_SHINGLES = 4096, 1 << 28
 #: Cost of a probe against that of a merge step, by which lists are called long (the published heuristic's constant).
 MU = 0.0085
 
@@ -105,19 +107,36 @@ def _key(found: np.ndarray) -> int:
 
 
 def _marked(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, row, k, size, shard) of each row: its handle, its set's key and size, and its set's least shingle; k is null for an empty set."""
+    """(doc_id, row, k, size, shard, counts) of each row: its handle, its set's key and size, and its set's least shingle; k is null for an empty set.
+
+    A task ends with a row of ``counts`` alone: in how many of its rows are the shingles of each of ORDER_BUCKETS buckets of hashes.
+    """
+    names = ["doc_id", "row", "k", "size", "shard", "counts"]
+    lists = pa.list_(pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_BUCKETS, np.int64)
         for b in batches:
             keys, sizes, shards = [], [], []
             for t in _texts(b):
                 h = _set_of(t, shingle_words)
+                counts += np.bincount((h % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS) if len(h) else 0
                 keys.append(_key(h) - 2**63 if len(h) else None)
                 sizes.append(len(h))
                 shards.append(int((h * np.uint64(0x9E3779B97F4A7C15)).min()) - 2**63 if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shards, pa.int64())], ["doc_id", "row", "k", "size", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(c, pa.int64()) for c in (keys, sizes, shards)), pa.nulls(b.num_rows, lists)], names)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([counts], lists)], names)
+
+    return _read(docs).mapInArrow(work, "doc_id long, row long, k long, size long, shard long, counts array<long>")
 
-    return _read(docs).mapInArrow(work, "doc_id long, row long, k long, size long, shard long")
+
+def _common(marked: DataFrame) -> np.ndarray:
+    """The counts of all tasks together: only an order, by which common shingles come last."""
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    for r in marked.where("counts is not null").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -125,24 +144,83 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(id_or_last(), text_key()).alias("row"), "text")
 
 
-def _prefixes(docs: DataFrame, wanted: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """(row, keys): the first shingles of the sets of ``wanted`` (row), in one order for all, of which any two that link share one.
+def parity(found: np.ndarray) -> np.ndarray:
+    """A set as about as many bits as it has members, rounded up to a power of two: each is whether an odd number of members falls on it.
+
+    Two sets' bits differ in no more places than members are in one set alone; half of the bits can be folded onto the other half.
+    """
+    n = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    return np.packbits(np.bincount((found % np.uint64(n)).astype(np.int64), minlength=n) & 1, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray) -> np.ndarray:
+    """(rows, words) of parity bits at half their number (of 64 bits: as they are)."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:] if half else bits
+
+
+def may_link(sizes: np.ndarray, roots: np.ndarray, bits: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j), at least a tree for each group, of sets ascending by size that sizes and parity bits do not rule out and whose roots differ."""
+    groups = Groups(len(sizes))
+    words = np.array([len(b) for b in bits])
+    at_width = {w: (np.flatnonzero(words == w), np.stack([bits[i] for i in np.flatnonzero(words == w)])) for w in np.unique(words).tolist()}
+    for i in range(1, len(sizes)):
+        low = np.searchsorted(sizes[:i], least_size(int(sizes[i]), percent))
+        mine = bits[i][None]
+        for w, own in ((words[i], mine), (words[i] // 2, fold(mine))):
+            if w not in at_width:
+                continue
+            at, rows = at_width[w]
+            a, z = np.searchsorted(at, [low, i])
+            if a == z:
+                continue
+            differ = np.bitwise_count(rows[a:z] ^ own).sum(1, dtype=np.int64)
+            both = sizes[at[a:z]] + sizes[i]
+            near = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (roots[at[a:z]] != roots[i])
+            for j in at[a:z][near].tolist():
+                if groups.find(i) != groups.find(j):
+                    groups.join(i, j)
+                    yield i, j
+
+
+def _prefixes(docs: DataFrame, wanted: DataFrame, common: np.ndarray, shingle_words: int, percent: int) -> DataFrame:
+    """(row, keys, bits): the first shingles of the sets of ``wanted`` (row), in one order for all, of which any two that link share one; parity bits.
 
     They share at least ``least_size`` of either one's n, so one of the first n - least_size + 1 of each, in any order; the rarest come first.
     """
-    common, asked = _commonness(docs, shingle_words), maybe_in(wanted.select("row"))
+    asked = maybe_in(wanted.select("row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
+            keys, bits = [], []
             for t in _texts(b):
                 h = _set_of(t, shingle_words)
                 n = len(h) - least_size(len(h), percent) + 1 if len(h) else 0
                 keys.append(h[np.lexsort((h, common[(h % np.uint64(ORDER_BUCKETS)).astype(np.int64)]))[:n]].view(np.int64))
+                bits.append(parity(h).tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column("row"), lists], ["row", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), lists, pa.array(bits, pa.binary())], ["row", "keys", "bits"])
+
+    return _read(docs).where(asked(F.col("row"))).mapInArrow(work, "row long, keys array<long>, bits binary")
+
+
+def _candidates(met: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(k, shard) of the sets of ``met`` (shard, k, root, size) that may link with one of another root: shard is the group that all it may link with are in.
+
+    Only sizes and parity bits of sets (``bits``: k, bits) are compared here, and no set that could link is lost.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, ["cell"]):
+            order = np.lexsort((cell.column("k").to_numpy(), cell.column("size").to_numpy()))
+            names, sizes, roots = (cell.column(c).to_numpy()[order] for c in ("k", "size", "root"))
+            held = [np.frombuffer(x, np.uint64) for x in cell.column("bits").take(order).to_pylist()]
+            edges = list(may_link(sizes, roots, held, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([names[e[i]] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return _read(docs).where(asked(F.col("row"))).mapInArrow(work, "row long, keys array<long>")
+    cells = _cells(met, LIGHT_SETS, LIGHT_SHINGLES).join(bits, "k")
+    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long")
+    return connected_components(save(edges.where("a <> b"), "overlap-maybe")).select(F.col("node").alias("k"), F.col("root").alias("shard"))
 
 
 def _linked(docs: DataFrame, texts: DataFrame, met: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -174,9 +252,9 @@ def _linked(docs: DataFrame, texts: DataFrame, met: DataFrame, shingle_words: in
     return save(spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long"), "overlap-edges")
 
 
-def _parts(sets: Column, shingles: Column) -> Column:
+def _parts(sets: Column, shingles: Column, most_sets: int = CELL_SETS, most_shingles: int = CELL_SHINGLES) -> Column:
     """How many cells so many sets with so many shingles take."""
-    return F.greatest(F.ceil(sets / CELL_SETS), F.ceil(shingles / CELL_SHINGLES), F.lit(1)).cast("long")
+    return F.greatest(F.ceil(sets / most_sets), F.ceil(shingles / most_shingles), F.lit(1)).cast("long")
 
 
 def _part(n: str) -> Column:
@@ -187,7 +265,7 @@ def _upto(n: str) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
 
 
-def _cells(met: DataFrame) -> DataFrame:
+def _cells(met: DataFrame, *most: int) -> DataFrame:
     """(k, cell) so that every two sets of a shard of ``met`` (shard, k, root, size) with different roots share a cell.
 
     The largest class of a shard, all of one root, needs no comparison within itself: its sets are dealt to cells once, and only the
@@ -195,7 +273,7 @@ def _cells(met: DataFrame) -> DataFrame:
     """
     classes = met.groupBy("shard", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     sums = classes.groupBy("shard").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.max_by("shingles", "n").alias("main_shingles"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    counts = sums.select("shard", "main", _parts(F.col("n_main"), F.col("main_shingles")).alias("mains"), _parts(F.col("n") - F.col("n_main"), F.col("shingles") - F.col("main_shingles")).alias("others"))
+    counts = sums.select("shard", "main", _parts(F.col("n_main"), F.col("main_shingles"), *most).alias("mains"), _parts(F.col("n") - F.col("n_main"), F.col("shingles") - F.col("main_shingles"), *most).alias("others"))
     both = met.join(save(counts, "overlap-counts"), "shard")
     name = lambda kind, a, b: F.xxhash64("shard", F.lit(kind), a, b)
     mains = both.where("root = main").withColumn("part", _part("mains"))
@@ -214,15 +292,17 @@ def similar_sets(docs: DataFrame, shingle_words: int = 3, percent: int = 90) ->
     anything is compared, so a group of copies of any size is one set.
 
     First, sets with the same least shingle meet and those that link are joined: most copies. Then all sets of different groups that share a
-    shingle of their prefixes, as any two that link do, meet in cells, where search() decides. A cell holds at most
-    two times CELL_SETS sets or CELL_SHINGLES shingles (or one set that is larger); more are dealt to several, so that every two still meet.
+    shingle of their prefixes, as any two that link do, meet by sizes and parity bits alone, which rule nearly all others out without fail;
+    what is left meets in cells with whole sets, where search() decides. A cell holds at most two times CELL_SETS sets or
+    CELL_SHINGLES shingles (or one set that is larger); more are dealt to several, so that every two still meet.
 
     Empty and null texts, and those without words, have n_shingles 0, link with nothing and are their own component. Rows without doc_id
     keep null, take part in links, and their component_id is null only where no linked row has an id. Repeated rows give
     repeated results; an empty table gives none; other columns are not read. Shingles are compared by 64-bit hashes, and so are whole sets when
     equal ones become one.
     """
-    marked = save(_marked(docs, shingle_words), "overlap-marked")
+    every = save(_marked(docs, shingle_words), "overlap-marked")
+    common, marked = _common(every), every.where("counts is null").drop("counts")
     texts = marked.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("shard").alias("shard"))
     texts = save(texts, "overlap-texts")
     several = texts.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("k").alias("least")).where("n > 1")
@@ -232,8 +312,8 @@ def similar_sets(docs: DataFrame, shingle_words: int = 3, percent: int = 90) ->
     first = _linked(docs, texts, met.select("k", F.xxhash64("shard", "part").alias("cell")), shingle_words, percent)
     linked = save(connected_components(first).withColumnRenamed("node", "k"), "overlap-first")
     rooted = texts.join(linked, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "row", "size")
-    prefixes = _prefixes(docs, texts, shingle_words, percent).join(rooted, "row").dropDuplicates(["row"])
-    rooted = save(prefixes.select("k", "root", "size", "keys"), "overlap-prefixes")
+    prefixes = _prefixes(docs, texts, common, shingle_words, percent).join(rooted, "row").dropDuplicates(["row"])
+    rooted = save(prefixes.select("k", "root", "size", "keys", "bits"), "overlap-prefixes")
     # Most shingles are in one group only: those go first, by half of their bits, before anything wide is shuffled.
     halves = save(_open_halves(rooted), "overlap-halves")
     small = halves.count() <= BROADCAST_HALVES
@@ -248,6 +328,8 @@ def similar_sets(docs: DataFrame, shingle_words: int = 3, percent: int = 90) ->
     # A shard with sets of the lower step alone is one that they have already; shards of the same sets are one.
     same = mixed.where("low <> high and lower = 0").groupBy("n", "least", "most", "all", "mark").agg(F.min("shard").alias("shard"))
     met = save(keyed.join(same.select("shard"), "shard").select("shard", "k", "root", "size").distinct(), "overlap-met")
+    groups = _candidates(met, rooted.select("k", "root", "size", "bits"), percent)
+    met = save(groups.join(rooted.select("k", "root", "size"), "k").select("shard", "k", "root", "size"), "overlap-candidates")
     edges = first.union(_linked(docs, texts, _cells(met), shingle_words, percent))
     roots = save(connected_components(edges).withColumnRenamed("node", "k"), "overlap-roots")
     grouped = save(texts.select("k", "id").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "overlap-groups")
