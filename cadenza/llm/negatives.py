@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -23,10 +22,15 @@ PLANES = 8
 SHARD_ROWS = 4096
 
 
-@functools.lru_cache(maxsize=64)
+_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def rotation(dims: int, level: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dims, level]).standard_normal((dims, dims)))
-    return q * np.where(np.diag(r) < 0, -1.0, 1.0)
+    """An orthogonal matrix of its own for each level, kept once made."""
+    if (dims, level) not in _ROTATIONS:
+        q, r = np.linalg.qr(np.random.default_rng([SEED, dims, level]).standard_normal((dims, dims)))
+        _ROTATIONS[dims, level] = q * np.where(np.diag(r) < 0, -1.0, 1.0)
+    return _ROTATIONS[dims, level]
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -51,59 +55,79 @@ def encode(rows: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarr
     return np.stack(codes, 1), pulls
 
 
+class Anchors:
+    """Anchors made ready for popcounts: at each level their rotated components, rounded to PLANES bits, as masks of bits of equal weight."""
+
+    def __init__(self, rows: np.ndarray, levels: int = LEVELS) -> None:
+        self.rows, self.dims = rows, rows.shape[1]
+        self.norms = np.linalg.norm(rows.astype(np.float64), axis=1)
+        self.least, self.step, self.error, self.sums = (np.empty((len(rows), levels)) for _ in range(4))
+        self.masks = np.empty((len(rows), levels, PLANES, -(-self.dims // 64)), np.uint64)
+        for level in range(levels):
+            turned = rows @ rotation(self.dims, level)
+            least = turned.min(1)
+            step = np.maximum((turned.max(1) - least) / (2**PLANES - 1), 1e-300)
+            whole = np.rint((turned - least[:, None]) / step[:, None]).astype(np.int64)
+            self.error[:, level] = np.linalg.norm(turned - (least[:, None] + step[:, None] * whole), axis=1)
+            self.least[:, level], self.step[:, level], self.sums[:, level] = least, step, whole.sum(1)
+            for p in range(PLANES):
+                self.masks[:, level, p] = _words((whole >> p & 1).astype(bool))
+
+
 class Shard:
-    """The coded rows of a shard; answers by whole-number scores of the rows whose intervals leave a doubt."""
+    """The coded rows of a shard; answers by whole-number scores of the rows whose intervals leave a doubt. ``scored`` counts those."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, codes: np.ndarray, pulls: np.ndarray) -> None:
-        self.ids, self.labels, self.rows, self.codes, self.pulls = ids, labels, rows, codes, pulls
+        self.ids, self.labels, self.rows, self.pulls = ids, labels, rows, pulls
+        self.codes = codes.transpose(1, 2, 0).copy()  # (level, word, row)
         squares = (rows.astype(np.float64) ** 2).sum(1)
         self.norms = np.sqrt(squares)
         #: Length of what is left of a row after each level, rounded up.
         self.rest = np.sqrt(np.maximum(squares[:, None] - np.cumsum(pulls**2, axis=1), 0) + 1e-9 * squares[:, None])
+        self.ones = np.bitwise_count(self.codes).sum(1, dtype=np.int64)
         self.scored = 0
 
-    def level(self, query: np.ndarray, level: int, at: np.ndarray, mid: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(low, high, mid, slack) of the scores of rows ``at``, one level on from the ``mid`` and ``slack`` of the level before.
+    def level(self, asked: Anchors, i: int, level: int, at: np.ndarray, mid: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, mid, slack) of anchor ``i``'s scores of rows ``at``, one level on from the ``mid`` and ``slack`` of the level before.
 
         Popcounts give the inner product s of the anchor with the code, up to its rounding, whose length bounds the error. What the code
         leaves of the row is orthogonal to it; by Cauchy and Schwarz its product with the anchor is at most its length times
         that of the anchor's part orthogonal to the code.
         """
-        dims = len(query)
-        turned = query @ rotation(dims, level)
-        least, step = turned.min(), max((turned.max() - turned.min()) / (2**PLANES - 1), 1e-300)
-        whole = np.rint((turned - least) / step).astype(np.int64)
-        error = float(np.linalg.norm(turned - (least + step * whole)))
-        code = self.codes[at, level]
-        ones = lambda mask: np.bitwise_count(code & mask).sum(1, dtype=np.int64)
-        counts = sum((1 << p) * ones(_words((whole >> p & 1).astype(bool)[None])[0]) for p in range(PLANES))
-        every = ones(np.full(code.shape[1], ~np.uint64(0)))
-        s = (least * (2 * every - dims) + step * (2 * counts - int(whole.sum()))) / math.sqrt(dims)
-        pull, norm = self.pulls[at, level], float(np.linalg.norm(query))
+        code = self.codes[level][:, at]
+        counts = np.zeros(len(at))
+        for p in range(PLANES):
+            for word in range(len(code)):
+                counts += np.bitwise_count(code[word] & asked.masks[i, level, p, word]) * np.float64(1 << p)
+        error, norm = asked.error[i, level], asked.norms[i]
+        s = (asked.least[i, level] * (2 * self.ones[level, at] - asked.dims) + asked.step[i, level] * (2 * counts - asked.sums[i, level])) / math.sqrt(asked.dims)
+        pull = self.pulls[at, level]
         mid, slack = mid + pull * s, slack + np.abs(pull) * error
         across = np.sqrt(np.maximum(norm**2 - np.maximum(np.abs(s) - error, 0) ** 2, 0))
         half = slack + self.rest[at, level] * across + 1e-9 * norm * self.norms[at] + 1e-6
         return np.ceil(mid - half), np.floor(mid + half), mid, slack
 
-    def best(self, query: np.ndarray, at: np.ndarray, k: int, low: float = -np.inf, high: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(row, score) of the first ``k`` of rows ``at`` whose score is from ``low`` to ``high``: highest score first, ties by id."""
+    def best(self, asked: Anchors, i: int, at: np.ndarray, k: int, spans: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``spans`` (low, high): (row, score) of the first ``k`` of rows ``at`` whose score with anchor ``i`` is in it, highest first, ties by id."""
         lower, upper = np.full(len(at), -np.inf), np.full(len(at), np.inf)
         mid, slack = np.zeros(len(at)), np.zeros(len(at))
-        for level in range(self.codes.shape[1]):
+        for level in range(len(self.codes)):
             if not len(at):
                 break
-            a, b, mid, slack = self.level(query.astype(np.float64), level, at, mid, slack)
+            a, b, mid, slack = self.level(asked, i, level, at, mid, slack)
             lower, upper = np.maximum(lower, a), np.minimum(upper, b)
-            sure = lower[(lower >= low) & (upper <= high)]
-            bar = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
-            stays = (upper >= max(low, bar)) & (lower <= high)
+            stays = np.zeros(len(at), bool)
+            for low, high in spans:
+                sure = lower[(lower >= low) & (upper <= high)]
+                bar = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
+                stays |= (upper >= max(low, bar)) & (lower <= high)
             at, lower, upper, mid, slack = at[stays], lower[stays], upper[stays], mid[stays], slack[stays]
-        score = self.rows[at] @ query
+        score = self.rows[at] @ asked.rows[i]
         self.scored += len(at)
-        held = (score >= low) & (score <= high)
-        at, score = at[held], score[held]
-        first = np.lexsort((self.ids[at], -score))[:k]
-        return at[first], score[first]
+        order = np.lexsort((self.ids[at], -score))
+        at, score = at[order], score[order]
+        held = [np.flatnonzero((score >= low) & (score <= high))[:k] for low, high in spans]
+        return [(at[h], score[h]) for h in held]
 
 
 def coded_vectors(vectors: DataFrame, scale: int = 256, levels: int = LEVELS) -> DataFrame:
@@ -163,10 +187,9 @@ def _past_shards(rows: DataFrame, anchors: DataFrame, shard_rows: int, answer: o
     return left.union(right).repartition(2 * n, "dims", "shard").sortWithinPartitions("dims", "shard", "kind").mapInArrow(work, schema)
 
 
-def _asked(part: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+def _asked(part: pa.RecordBatch, levels: int) -> tuple[list[int], list[int], Anchors]:
     dims = part.column("dims")[0].as_py()
-    queries = np.array(part.column("v").flatten(), np.int64).reshape(-1, dims)
-    return zip(part.column("vec_id").to_pylist(), part.column("label").to_pylist(), queries, strict=True)
+    return part.column("vec_id").to_pylist(), part.column("label").to_pylist(), Anchors(np.array(part.column("v").flatten(), np.int64).reshape(-1, dims), levels)
 
 
 def hard_negatives(vectors: DataFrame, anchor_step: int = 100, n_positives: int = 5, n_negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256, levels: int = LEVELS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -191,9 +214,10 @@ def hard_negatives(vectors: DataFrame, anchor_step: int = 100, n_positives: int
 
     def same(shard: Shard, part: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, int]] = []
-        for name, label, query in _asked(part):
-            at, score = shard.best(query, np.flatnonzero((shard.labels == label) & (shard.ids != name)), n_positives)
-            out += [(name, i, s) for i, s in zip(shard.ids[at].tolist(), score.tolist(), strict=True)]
+        names, labels, asked = _asked(part, levels)
+        for i, (name, label) in enumerate(zip(names, labels, strict=True)):
+            [(at, score)] = shard.best(asked, i, np.flatnonzero((shard.labels == label) & (shard.ids != name)), n_positives, [(-np.inf, np.inf)])
+            out += [(name, j, s) for j, s in zip(shard.ids[at].tolist(), score.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], ["anchor_id", "positive_id", "positive_score"])
 
     found = _past_shards(rows, anchors, shard_rows, same, "anchor_id long, positive_id long, positive_score long")
@@ -203,14 +227,12 @@ def hard_negatives(vectors: DataFrame, anchor_step: int = 100, n_positives: int
 
     def other(shard: Shard, part: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, int, int, int]] = []
-        for (name, label, query), wanted in zip(_asked(part), part.column("positives").to_pylist(), strict=True):
-            apart = np.flatnonzero(shard.labels != label)
-            for p in wanted:
-                s = p["positive_score"]
-                least, most = -(-low * s // 100), high * s // 100
-                if least <= most:
-                    at, score = shard.best(query, apart, n_negatives, least, most)
-                    out += [(name, p["positive_id"], s, i, x) for i, x in zip(shard.ids[at].tolist(), score.tolist(), strict=True)]
+        names, labels, asked = _asked(part, levels)
+        for i, (name, label, wanted) in enumerate(zip(names, labels, part.column("positives").to_pylist(), strict=True)):
+            spans = [(-(-low * p["positive_score"] // 100), high * p["positive_score"] // 100) for p in wanted]
+            open_ = [(p, span) for p, span in zip(wanted, spans, strict=True) if span[0] <= span[1]]
+            for (p, _), (at, score) in zip(open_, shard.best(asked, i, np.flatnonzero(shard.labels != label), n_negatives, [span for _, span in open_]), strict=True):
+                out += [(name, p["positive_id"], p["positive_score"], j, x) for j, x in zip(shard.ids[at].tolist(), score.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 5)], ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
     asked = anchors.join(lists, "vec_id").select("dims", "vec_id", "label", "v", "codes", "positives")
