@@ -6,12 +6,15 @@ albums (album_id, title), track_artists (track_id, artist_id, role, position), a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import rules
 
 NO_DISC, NO_TRACK = 1, 0
 
@@ -34,8 +37,14 @@ def tracks_by_artist(tracks: DataFrame, artists: DataFrame, track_artists: DataF
     return tracks.join(ids, "id", "left_semi").orderBy("title", "id")
 
 
-def tracks_by_album(tracks: DataFrame, album: int | str) -> DataFrame:
-    found = tracks.where(F.col("album_id") == album if isinstance(album, int) else F.col("album") == album)
+def tracks_by_album(tracks: DataFrame, album: int | str, artist: str | None = None, hide_duplicates: bool = True) -> DataFrame:
+    """Tracks of an album by its id or, where that is not known, its title and, where given, its album artist; by disc and track number."""
+    found = S.hide_duplicates(tracks, hide_duplicates)
+    if isinstance(album, int):
+        found = found.where(F.col("album_id") == album)
+    else:
+        found = found.where(F.col("album") == album)
+        found = found if artist is None else found.where(F.col("album_artist") == artist)
     return found.orderBy(*_album_order())
 
 
@@ -71,15 +80,25 @@ def playlist_tracks_ordered(playlist_tracks: DataFrame, tracks: DataFrame) -> Da
     return joined.withColumnRenamed("added", "date_added").orderBy("playlist_id", "position")
 
 
-def pinned_tracks(pins: DataFrame, tracks: DataFrame, track_artists: DataFrame, artists: DataFrame, playlist_tracks: DataFrame) -> DataFrame:
-    """(pin_id, id) of the tracks behind pins (pin_id, kind, value): kinds artist, album, genre, year, decade and playlist."""
+def pinned_tracks(
+    pins: DataFrame, tracks: DataFrame, track_artists: DataFrame, artists: DataFrame, playlist_tracks: DataFrame, smart: Mapping[str, Mapping[str, Any]] | None = None, now: dt.datetime | None = None, fingerprints: DataFrame | None = None
+) -> DataFrame:
+    """(pin_id, id) of the tracks behind pins (pin_id, kind, value): kinds artist, album, genre, year, decade, playlist and smart.
+
+    A pin of kind smart names one of the ``smart`` playlists (criteria by name), whose members at ``now`` it shows, limits honoured;
+    all that are pinned are evaluated in one scan.
+    """
     of = lambda kind: pins.where(F.col("kind") == kind).select("pin_id", "value")
     credited = track_artists.where("role = 'artist'").join(artists, "artist_id").select(F.col("name").alias("value"), F.col("track_id").alias("id"))
     found = of("artist").join(credited, "value").select("pin_id", "id")
     for kind, value in (("album", F.col("album")), ("genre", F.col("genre")), ("year", F.col("year")), ("decade", S.decade_text(F.col("year")))):
         found = found.union(of(kind).join(tracks.select(value.alias("value"), "id"), "value").select("pin_id", "id"))
     lists = playlist_tracks.select(F.col("playlist_id").cast("string").alias("value"), F.col("track_id").alias("id"))
-    return found.union(of("playlist").join(lists, "value").select("pin_id", "id")).distinct()
+    found = found.union(of("playlist").join(lists, "value").select("pin_id", "id")).distinct()
+    if not smart:
+        return found
+    shown = rules.evaluate_members(tracks, smart, now or dt.datetime.now(dt.UTC), fingerprints).select(F.col("playlist").alias("value"), "id")
+    return found.union(of("smart").join(shown, "value").select("pin_id", "id"))
 
 
 def unanalysed_tracks(tracks: DataFrame, fingerprints: DataFrame, version: int | None = None) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .tables import kept, with_positions
 
 _ARTIST = "struct<id:string,name:string>"
 _TARGET = "struct<id:string,title:string,`first-release-date`:string,date:string,name:string>"
@@ -84,34 +84,58 @@ def releases_to_enrich(edges: DataFrame) -> DataFrame:
     return edges.where("target_kind = 'release'").select(F.col("target_mbid").alias("mbid")).distinct()
 
 
-def _saved(df: DataFrame, folder: str | None, name: str) -> DataFrame:
-    """Lineage cut by a table in a shared folder (or by a checkpoint where none is named)."""
-    if folder is None:
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Anchors that walk together, a bit each; edges of a node that one join row meets, at most.
+WORD, HUB = 63, 4096
 
 
-def walk(edges: DataFrame, anchors: DataFrame, max_depth: int = 2, folder: str | None = None) -> DataFrame:
-    """(anchor, depth, source_mbid, target_mbid, relation): steps from each of ``anchors`` (mbid), breadth first.
+def _words(anchors: DataFrame, slim: DataFrame) -> DataFrame:
+    """(anchor, word, bit): anchors in the order of their least neighbour, so that those of a word share what they reach, WORD to a word."""
+    near = slim.groupBy(F.col("source_mbid").alias("anchor")).agg(F.min("target_mbid").alias("near"))
+    placed = with_positions(anchors.select(F.col("mbid").alias("anchor")).where("anchor is not null").distinct().join(near, "anchor", "left"), F.coalesce("near", F.lit("")), F.col("anchor"))
+    return placed.select("anchor", F.floor(F.col("position") / WORD).alias("word"), (F.col("position") % WORD).cast("int").alias("bit"))
+
+
+def _bit(c: Column | str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c) if isinstance(c, str) else c)
+
+
+def reach(edges: DataFrame, anchors: DataFrame, max_depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(steps, words): steps (word, depth, source_mbid, target_mbid, relation, bits) of all anchors at once, words (anchor, word, bit) that say whose bit is whose.
 
-    A node is expanded once, at the depth where it is first met, and all its edges are steps; so cycles end. A step joins the
-    frontier, distinct by anchor and node, with the edges: plain exchanges on both sides, which adaptive execution splits at hubs.
-    ``folder`` is where each depth is written.
+    A row of the frontier is a node with the bits of the WORD anchors that have newly come to it, so a node that many anchors meet is joined
+    with its edges once for all of them. Nodes of over HUB edges meet them in parts.
     """
-    spark = edges.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    slim = edges.select("source_mbid", "target_mbid", "relation").distinct()
-    frontier = anchors.select(F.col("mbid").alias("anchor"), F.col("mbid").alias("node")).distinct()
+    slim = kept(edges.select("source_mbid", "target_mbid", "relation").distinct(), "edges")
+    words = kept(_words(anchors, slim), "words")
+    hubs = slim.groupBy(F.col("source_mbid").alias("node")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+    parted = slim.join(hubs.withColumnRenamed("node", "source_mbid"), "source_mbid", "left")
+    parted = kept(parted.select("source_mbid", "target_mbid", "relation", F.pmod(F.xxhash64("target_mbid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "parted")
+    hubs = kept(hubs, "hubs")
+    frontier = kept(words.groupBy(F.col("anchor").alias("node"), "word").agg(F.bit_or(_bit("bit")).alias("bits")), "frontier")
     seen, steps = frontier, []
     for depth in range(1, max_depth + 1):
-        step = frontier.join(slim, F.col("node") == F.col("source_mbid")).select("anchor", F.lit(depth).alias("depth"), "source_mbid", "target_mbid", "relation")
-        step = _saved(step, folder, "steps") if folder or spark.sparkContext.getCheckpointDir() else step
+        spread = frontier.join(hubs, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        step = spread.join(parted.withColumnRenamed("source_mbid", "node"), ["node", "part"]).select("word", F.lit(depth).alias("depth"), F.col("node").alias("source_mbid"), "target_mbid", "relation", "bits")
+        step = kept(step, "steps")
         steps.append(step)
-        frontier = step.select("anchor", F.col("target_mbid").alias("node")).distinct().join(seen, ["anchor", "node"], "left_anti")
-        seen = seen.union(frontier)
-    return reduce(DataFrame.union, steps) if steps else slim.select(F.lit("").alias("anchor"), F.lit(0).alias("depth"), "source_mbid", "target_mbid", "relation").limit(0)
+        if depth < max_depth:
+            met = step.groupBy(F.col("target_mbid").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+            new = met.join(seen.withColumnRenamed("bits", "had"), ["node", "word"], "left").select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits"))
+            frontier = kept(new.where("bits <> 0"), "frontier")
+            seen = kept(seen.union(frontier).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+    none = slim.select(F.lit(0).cast("long").alias("word"), F.lit(0).alias("depth"), "source_mbid", "target_mbid", "relation", F.lit(0).cast("long").alias("bits")).limit(0)
+    return (reduce(DataFrame.union, steps) if steps else none), words
+
+
+def walk(edges: DataFrame, anchors: DataFrame, max_depth: int = 2) -> DataFrame:
+    """(anchor, depth, source_mbid, target_mbid, relation): steps from each of ``anchors`` (mbid), breadth first.
+
+    A node is expanded once, at the depth where it is first met, and all its edges are steps; so cycles end. Anchors walk together (reach());
+    only the result has a row for each of them.
+    """
+    steps, words = reach(edges, anchors, max_depth)
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.col("bits").bitwiseAND(_bit(i)) != 0))
+    return steps.withColumn("bit", each).join(words, ["word", "bit"]).select("anchor", "depth", "source_mbid", "target_mbid", "relation")
 
 
 def relation_threads(tracks: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:

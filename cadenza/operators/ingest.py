@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import buckets
 from .tables import kept
 
 # What parts the names in a credit. The first always part; the others may belong to a name.
@@ -163,24 +162,43 @@ def role_credits(tracks: DataFrame, known_artists: DataFrame | None = None) -> D
     return rows.join(names, "credit").select("track_id", "role", "stage", F.posexplode("names").alias("position", "artist"))
 
 
-def _fold_title(rows: pd.DataFrame) -> Iterator[tuple]:
-    """Albums of one normalised title, found or made in order of track; ``first`` leads from an artist to the first album that lists it."""
-    albums: list[tuple[str, str | None, dict[str, str]]] = []
-    first: dict[str, int] = {}
-    for r in rows.sort_values("track_id").itertuples():
-        at = first.get(r.artist_key) if r.artist_key is not None else (0 if albums else None)
-        if at is None:
-            at = len(albums)
-            albums.append((r.title, r.album_artist, {}))
-            if r.artist_key is not None:
-                albums[at][2][r.artist_key] = "primary"
-        made = albums[at][2]
-        for key in r.credit_keys:
-            made.setdefault(key, "featured" if made else "primary")
-        for key in (r.artist_key, *r.credit_keys):
-            if key is not None:
-                first[key] = min(at, first.get(key, at))
-        yield r, at, albums
+#: Ranges of track ids into which the rows of one title and artist are dealt, so that a common pair spreads over tasks.
+RANGES = 256
+
+
+def _range_of(rows: DataFrame, column: str) -> Column:
+    """The range of ``column`` a row is in, of RANGES about equally full ones over all rows."""
+    cuts = rows.agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 20000).alias("cuts")).first()["cuts"] or []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+
+
+def _first_albums(rows: DataFrame) -> DataFrame:
+    """(title_key, track_id, made_by) of rows (title_key, track_id, artist_key, keys, range): the row that made the album each goes to.
+
+    A row goes to the oldest album that lists its artist before it, and so to that of the oldest row that can be reached by steps
+    from a row to an earlier one which names the former's artist; a row without an artist goes to the title's first. So the smallest row
+    reached so far passes from row to row until nothing changes: the least of all earlier rows of an artist is taken within ranges of ids and over
+    them, and each row then takes over what the row it has reached has reached, which halves the way.
+    """
+    start = rows.groupBy("title_key").agg(F.min("track_id").alias("first"))
+    now = kept(rows.join(start, "title_key").select("title_key", "track_id", F.when(F.col("artist_key").isNull(), F.col("first")).otherwise(F.col("track_id")).alias("made_by")), "made-by")
+    events = rows.select("title_key", "track_id", "range", F.explode("keys").alias("key"), "artist_key").withColumn("own", F.coalesce(F.col("key") == F.col("artist_key"), F.lit(False)))
+    asked = events.groupBy("title_key", "key").agg(F.max("own").alias("own"), F.count("*").alias("n")).where("own and n > 1")
+    events = kept(events.join(asked.select("title_key", "key"), ["title_key", "key"]).select("title_key", "key", "range", "track_id", "own"), "named")
+    group = ["title_key", "key"]
+    inside = Window.partitionBy(*group, "range").orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        told = kept(events.join(now, ["title_key", "track_id"]), "told")
+        ranges = told.groupBy(*group, "range").agg(F.min("made_by").alias("least")).withColumn("least", F.min("least").over(before))
+        reached = told.withColumn("near", F.min("made_by").over(inside)).where("own").join(ranges, [*group, "range"]).select("title_key", "track_id", F.least("near", "least").alias("reached"))
+        step = now.join(reached, ["title_key", "track_id"], "left").select("title_key", "track_id", "made_by", F.least("made_by", "reached").alias("to"))
+        ends = now.select("title_key", F.col("track_id").alias("to"), F.col("made_by").alias("end"))
+        step = kept(step.join(ends, ["title_key", "to"]).select("title_key", "track_id", F.least("to", "end").alias("made_by"), (F.least("to", "end") < F.col("made_by")).alias("moved")), "made-by")
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return now
 
 
 def resolve_albums(tracks: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -189,8 +207,9 @@ def resolve_albums(tracks: DataFrame, aliases: DataFrame | None = None) -> tuple
     A track joins the first album of its normalised title that lists its album artist, in whatever role, or any such album if it
     has none; else it makes one. ``aliases`` (alias: "title|artist", both normalised, the artist empty if none; title, artist) lead a
     merged album's tracks to the title and artist it was merged into. Order is that of track ids; an (artist, credits) that comes
-    again goes where it went first. Nothing leaves a title, so each title is folded on its own, over its distinct (artist, credits)
-    only, however many tracks it has.
+    again goes where it went first. Albums have made_by, the track that made them, whose title they have and which their ids are hashes of;
+    an album's first artist is primary, others are featured in the order in which they were named. See _first_albums() for how this is done without a pass
+    in order: work is over distinct (artist, credits), and no title or artist is one task.
     """
     rows = tracks.where(F.col("album").isNotNull() & ~F.col("album").isin("", S.UNKNOWN_ALBUM)).withColumn("first_artist", F.get("credits", 0))
     rows = rows.select("id", F.col("album").alias("title"), album_artist_of(rows).alias("album_artist"), F.transform("credits", S.normalize_artist_name).alias("credit_keys"))
@@ -202,22 +221,21 @@ def resolve_albums(tracks: DataFrame, aliases: DataFrame | None = None) -> tuple
     keyed = rows.select("id", "title", "album_artist", "credit_keys", S.normalize_album_title(F.col("title")).alias("title_key"), artist_key.alias("artist_key"))
     distinct = keyed.groupBy("title_key", "artist_key", "credit_keys").agg(F.min("id").alias("track_id"), F.min_by("title", "id").alias("title"), F.min_by("album_artist", "id").alias("album_artist"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, albums = [], []
-        for r, at, albums in _fold_title(rows):  # noqa: B007
-            out.append((r.title_key, r.artist_key, list(r.credit_keys), at, albums[at][0], None, None, None))
-        for at, (title, _, artists) in enumerate(albums):
-            out += [(rows.title_key.iloc[0], None, None, at, title, key, role, n) for n, (key, role) in enumerate(artists.items())]
-        return pd.DataFrame(out, columns=["title_key", "artist_key", "credit_keys", "at", "title", "member", "role", "position"])
-
-    schema = "title_key string, artist_key string, credit_keys array<string>, at int, title string, member string, role string, position int"
-    folded = kept(distinct.groupBy("title_key").applyInPandas(fold, schema).withColumn("album_id", F.xxhash64("title_key", "at")), "albums")
-    where = folded.where("member is null").select("title_key", "artist_key", "credit_keys", "album_id")
+    keys = F.array_distinct(F.filter(F.concat(F.array("artist_key"), "credit_keys"), lambda k: k.isNotNull()))
+    rows = kept(distinct.select("title_key", "track_id", "artist_key", "credit_keys", "title", keys.alias("keys")), "distinct-albums")
+    rows = kept(rows.withColumn("range", _range_of(rows, "track_id")), "ranged-albums")
+    placed = kept(rows.join(_first_albums(rows), ["title_key", "track_id"]).withColumn("album_id", F.xxhash64("title_key", "made_by")), "placed-albums")
+    where = placed.select("title_key", "artist_key", "credit_keys", "album_id")
     same = keyed.alias("t").join(where.alias("w"), (F.col("t.title_key") == F.col("w.title_key")) & F.col("t.artist_key").eqNullSafe(F.col("w.artist_key")) & (F.col("t.credit_keys") == F.col("w.credit_keys")))
-    links = same.select("t.id", "w.album_id")
-    albums = folded.groupBy("album_id").agg(F.min("title").alias("title"), F.min("title_key").alias("normalized_title"))
-    members = folded.where("member is not null").select("album_id", F.col("member").alias("normalized_name"), "role", "position")
-    return links, albums, members
+    albums = placed.where("track_id = made_by").select("album_id", "title", F.col("title_key").alias("normalized_title"), "made_by")
+    named = placed.select("album_id", "range", "track_id", F.posexplode("keys").alias("i", "normalized_name"))
+    named = named.groupBy("album_id", "normalized_name").agg(F.min(F.struct("range", "track_id", "i")).alias("at")).select("album_id", "normalized_name", "at.range", "at")
+    inside = F.row_number().over(Window.partitionBy("album_id", "range").orderBy("at"))
+    sizes = named.groupBy("album_id", "range").agg(F.count("*").alias("n"))
+    before = sizes.select("album_id", "range", (F.sum("n").over(Window.partitionBy("album_id").orderBy("range")) - F.col("n")).alias("before"))
+    members = named.withColumn("inside", inside).join(before, ["album_id", "range"]).withColumn("position", (F.col("before") + F.col("inside") - 1).cast("int"))
+    members = members.select("album_id", "normalized_name", F.when(F.col("position") == 0, "primary").otherwise("featured").alias("role"), "position")
+    return same.select("t.id", "w.album_id"), albums, members
 
 
 def album_alias(title: Column, artist: Column) -> Column:
@@ -325,15 +343,74 @@ def apply_tag_updates(old: DataFrame, new: DataFrame, columns: tuple[str, ...])
     return joined.withColumn("changed", changed).withColumns(out).drop(*[f"new_{c}" for c in columns])
 
 
+def write_tag_updates(spark: SparkSession, path: str, new: DataFrame, columns: tuple[str, ...]) -> int:
+    """apply_tag_updates() on the stored tracks at ``path`` (sources.buckets); how many buckets were written again.
+
+    Only the buckets that ``new`` (id, ...) falls in are read, and only those with a changed row are written; the same update again writes none.
+    """
+    return buckets.upsert(spark, path, new, lambda old, new: apply_tag_updates(old, new, columns))
+
+
+def write_scan(spark: SparkSession, path: str, inventory: DataFrame, hard: bool = False) -> int:
+    """Bring an inventory (path, mtime, size) into the stored files at ``path``, a sources.buckets table of those columns keyed by path.
+
+    New and modified files (scan_diff()) are written and deleted ones taken out, in the buckets in which there are any.
+    """
+
+    def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        status = scan_diff(new, old, hard)
+        both = old.select("path", F.col("mtime").alias("was_mtime"), F.col("size").alias("was_size")).join(new.select("path", "mtime", "size"), "path", "full_outer").join(status, "path")
+        keep = F.col("status") == "unchanged"
+        value = lambda c: F.when(keep, F.col(f"was_{c}")).otherwise(F.coalesce(c, f"was_{c}")).alias(c)
+        return both.select("path", value("mtime"), value("size"), (~keep).alias("changed"), (F.col("status") == "deleted").alias("_deleted"))
+
+    # A deletion shows in the inventory's absence only, so all files are compared; buckets without a change are not written.
+    return buckets.upsert(spark, path, inventory, merged, every=True)
+
+
 ARTWORK = ("jpg", "jpeg", "png", "webp", "heic", "gif", "bmp", "tif", "tiff")
 
 
-def folder_fingerprint(inventory: DataFrame) -> DataFrame:
-    """(folder, hash) over (path, mtime, size) of the audio and image files (folder, path, mtime, size) in order of path."""
+#: Numbers of 15 hexadecimal digits that a file's hash is cut into, to be summed.
+LANES = 4
+
+
+def file_sums(inventory: DataFrame) -> DataFrame:
+    """(folder, n, s0, s1, ..) of the audio and image files (folder, path, mtime, size): their number, and sums of their hashes' parts.
+
+    Sums of a folder are sums of its parts' sums, in any order and grouping: tasks send one row for a folder, however many files it has.
+    """
     files = inventory.where(S.extension(F.col("path")).isin(*S.SUPPORTED, *ARTWORK))
-    line = F.struct("path", F.sha2(F.concat_ws("|", "path", F.col("mtime").cast("string"), F.col("size").cast("string")), 256).alias("h"))
-    hashed = files.groupBy("folder").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["h"]), ""), 256).alias("hash"))
-    return inventory.select("folder").distinct().join(hashed, "folder", "left")
+    digest = files.select("folder", F.sha2(F.concat_ws("|", "path", F.col("mtime").cast("string"), F.col("size").cast("string")), 256).alias("h"))
+    lane = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    return digest.groupBy("folder").agg(F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
+
+
+def _sealed(sums: DataFrame) -> DataFrame:
+    return sums.select("folder", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LANES)]), 256).alias("hash"))
+
+
+def folder_fingerprint(inventory: DataFrame) -> DataFrame:
+    """(folder, hash) over path, time and size of the audio and image files (folder, path, mtime, size) that are in a folder; null where it has none."""
+    return inventory.select("folder").distinct().join(_sealed(file_sums(inventory)), "folder", "left")
+
+
+def tree_fingerprint(inventory: DataFrame) -> DataFrame:
+    """(folder, hash) of every folder and all above it, over the files in it and below: where two scans agree on a folder, nothing below it has changed.
+
+    Files are summed by folder first, so only folders, not files, are spread over the folders above them.
+    """
+    own = file_sums(inventory)
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    spread = own.withColumn("folder", F.explode(F.filter(above, lambda p: p != "")))
+    return _sealed(spread.groupBy("folder").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(LANES)]))
+
+
+def changed_subtrees(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(folder) of all tree_fingerprint()s that differ or that one scan alone has; below any other folder nothing is to be read again."""
+    n, b = (t.select("folder", F.col("hash").alias(name)) for t, name in ((now, "now"), (before, "before")))
+    return n.join(b, "folder", "full_outer").where(~F.col("now").eqNullSafe(F.col("before"))).select("folder")
 
 
 def folders_to_refresh(current: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import neighbours
+from .neighbours import LENGTH, UNKNOWN_YEAR_COST, W_BASS, W_BEAT, W_BRIGHTNESS, W_CONFIDENCE, W_DYNAMICS, W_FAMILY, W_LENGTH, W_LOUDNESS, W_MIX, W_TEMPO, W_YEAR, YEARS
 
 AXES = {"loudness": "rms_loudness_db", "tempo": "bpm", "bass": "bass_ratio", "dynamics": "dynamic_range_db", "brightness": "spectral_brightness_hz", "beat": "beat_regularity"}
-# Weights of the distance, and where it ends.
-W_YEAR, W_TEMPO, W_DYNAMICS, W_BASS, W_BRIGHTNESS, W_LOUDNESS, W_BEAT, W_CONFIDENCE, W_MIX, W_LENGTH, W_FAMILY = 3.0, 2.0, 1.5, 1.5, 1.5, 1.0, 3.0, 1.0, 1.0, 1.0, 2.0
-YEARS, UNKNOWN_YEAR_COST, LENGTH = 5.0, 1.5, 120.0
+MIX_CLASSES = ("original", *(n for n, _ in S.MIX_MARKS), "other")
+# Where the distance ends, and how many are kept.
 CUTOFF, MUTUAL, LIMIT = 3.5, 25, 25
 
 
@@ -65,7 +66,7 @@ def track_distance(a: str, b: str) -> Column:
     known = lambda e: F.coalesce(e, F.lit(0.0))
     sure = F.least(F.coalesce(x("confidence"), F.lit(1.0)), F.coalesce(y("confidence"), F.lit(1.0)))
     terms = [
-        F.coalesce(W_YEAR * F.least(F.lit(1.0), gap("year") / YEARS), F.lit(UNKNOWN_YEAR_COST)), known(W_TEMPO * sure * gap("tempo")),
+        F.when(gap("year").isNull(), UNKNOWN_YEAR_COST).otherwise(W_YEAR * F.least(F.lit(1.0), gap("year") / YEARS)), known(W_TEMPO * sure * gap("tempo")),
         W_DYNAMICS * gap("dynamics"), W_BASS * gap("bass"), W_BRIGHTNESS * gap("brightness"), W_LOUDNESS * gap("loudness"), known(W_BEAT * gap("beat")),
         known(W_CONFIDENCE * gap("confidence")), F.when(x("mix") != y("mix"), W_MIX).otherwise(0.0), W_LENGTH * F.least(F.lit(1.0), gap("seconds") / LENGTH),
         F.coalesce(F.when(x("family") != y("family"), W_FAMILY), F.lit(0.0)),
@@ -73,83 +74,39 @@ def track_distance(a: str, b: str) -> Column:
     return reduce(lambda s, t: s + t, terms)
 
 
-def _pairs(left: DataFrame, right: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
-    """(a, b, distance) of rows (keys, x) that meet by ``keys``, each pair once, within the cutoff."""
-    met = left.withColumnRenamed("x", "l").join(right.withColumnRenamed("x", "r"), keys).where("l.id < r.id")
-    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
+def points_of(rows: DataFrame) -> DataFrame:
+    """Prepared rows as numbers, for neighbours.build(); rows that lack a needed axis are near nothing and go."""
+    number = lambda c, names: F.when(F.col(c).isNotNull(), F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)))
+    held = rows.where(" and ".join(f"{c} is not null" for c in ("id", "seconds", "loudness", "bass", "dynamics", "brightness")))
+    return held.withColumns({"mix": number("mix", MIX_CLASSES), "family": number("family", S.FAMILIES)})
 
 
-def close_pairs(rows: DataFrame, cutoff: float = CUTOFF, chunk: int = 512) -> DataFrame:
-    """(a, b, distance) of all pairs of prepared rows within ``cutoff``, a < b, found without comparing all.
+Index = tuple[DataFrame, DataFrame]
 
-    Years under five apart meet in neighbouring five-year buckets. Years further apart cost 3 already, so what is left
-    of the cutoff bounds mix class (equal) and the distances on three axes, which are cells of a grid. Only rows without a year
-    meet all others, chunk by chunk; that part stays costly where many years are unknown. A cutoff of 4 or more widens
-    the second part to cells of one axis each.
-    """
-    packed = rows.select(F.struct(*rows.columns).alias("x"))
-    dated, undated = packed.where("x.year is not null"), packed.where("x.year is null")
-    spread = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    bucket = F.floor(F.col("x.year") / YEARS)
-    near = _pairs(dated.select(bucket.alias("bucket"), "x"), dated.select(spread(bucket).alias("bucket"), "x"), ["bucket"], cutoff)
-    near = near.join(rows.select(F.col("id").alias("a"), F.col("year").alias("ya")), "a").join(rows.select(F.col("id").alias("b"), F.col("year").alias("yb")), "b").where(F.abs(F.col("ya") - F.col("yb")) < YEARS).select("a", "b", "distance")
-    rest = cutoff - W_YEAR
-    far = None
-    if rest >= 0:
-        width = max(rest, 0.05) / 1.5
-        cells = [F.floor(F.col(f"x.{a}") / width).alias(f"c_{a}") for a in ("dynamics", "bass", "brightness")]
-        keys = [f"c_{a}" for a in ("dynamics", "bass", "brightness")] + (["mix"] if rest < W_MIX else [])
-        left = dated.select("x", F.col("x.mix").alias("mix"), *cells)
-        right = left
-        for c in keys[:3]:
-            right = right.withColumn(c, spread(F.col(c)))
-        far = _pairs(left.select("x", *keys), right.select("x", *keys), keys, cutoff)
-        far = far.join(rows.select(F.col("id").alias("a"), F.col("year").alias("ya")), "a").join(rows.select(F.col("id").alias("b"), F.col("year").alias("yb")), "b").where(F.abs(F.col("ya") - F.col("yb")) >= YEARS).select("a", "b", "distance")
-    # Rows without a year, in blocks: each block of them meets each chunk of all rows in a task of its own.
-    n = max(1, -(-rows.count() // chunk))
-    of = F.pmod(F.xxhash64("x.id"), F.lit(n))
-    others = packed.select(of.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "x")
-    blind = undated.select(of.cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), "x").withColumnRenamed("x", "l")
-    met = blind.join(others.withColumn("j", F.col("j").cast("int")).withColumnRenamed("x", "r"), ["i", "j"]).where("l.id <> r.id and (r.year is not null or l.id < r.id)")
-    unknown = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
-    return reduce(DataFrame.union, [p for p in (near, far, unknown) if p is not None])
-
-
-def _mutual(both_ways: DataFrame, limit: int, mutual_k: int) -> DataFrame:
-    """Of (id, other, distance): others that keep ``id`` among their ``mutual_k`` nearest, the nearest ``limit`` for each id."""
-    strictly = F.rank().over(Window.partitionBy("id").orderBy("distance"))
-    kept = both_ways.withColumn("closer", strictly).where(F.col("closer") <= mutual_k).select(F.col("other").alias("anchor"), F.col("id").alias("neighbour"), "distance")
-    place = F.row_number().over(Window.partitionBy("anchor").orderBy("distance", "neighbour"))
-    return kept.withColumn("place", place).where(F.col("place") <= limit).select("anchor", "place", "neighbour", "distance")
-
-
-def similar_tracks_all(fps: DataFrame, limit: int = LIMIT, cutoff: float = CUTOFF, mutual_k: int = MUTUAL) -> DataFrame:
+
+def build_neighbour_index(fps: DataFrame, cutoff: float = CUTOFF, mutual_k: int = MUTUAL, leaf_points: int = neighbours.LEAF_POINTS, folder: str | None = None) -> Index:
+    """The stored index of fingerprints from which similar tracks of any anchors are read, in ``folder`` or in a new one; see neighbours.read()."""
+    return neighbours.build(points_of(prepare(fps)), cutoff, mutual_k, leaf_points, folder)
+
+
+def similar_tracks_all(fps: DataFrame, limit: int = LIMIT, cutoff: float = CUTOFF, mutual_k: int = MUTUAL, leaf_points: int = neighbours.LEAF_POINTS) -> DataFrame:
     """(anchor, place, neighbour, distance) for every track: up to ``limit`` within ``cutoff``, never padded.
 
-    A candidate stays if fewer than ``mutual_k`` others are strictly closer to it than the anchor. Whatever is closer than
-    a pair within the cutoff is itself within it, so the pairs of close_pairs() decide.
+    A candidate stays if fewer than ``mutual_k`` others are strictly closer to it than the anchor.
+    """
+    keeps, tracks = build_neighbour_index(fps, cutoff, mutual_k, leaf_points)
+    return neighbours.ask(keeps, tracks, tracks, limit)
+
+
+def similar_tracks(fps: DataFrame, anchors: DataFrame, limit: int = LIMIT, cutoff: float = CUTOFF, mutual_k: int = MUTUAL, index: Index | None = None) -> DataFrame:
+    """(anchor, status, place, neighbour, distance) for ``anchors`` (id); an anchor without a fingerprint is "not analysed".
+
+    With an ``index`` of the same fingerprints, cutoff and mutual_k (build_neighbour_index()) only the anchors' own ranges of it are read.
     """
-    pairs = close_pairs(prepare(fps), cutoff)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance").union(pairs.select("b", "a", "distance"))
-    return _mutual(both, limit, mutual_k)
-
-
-def similar_tracks(fps: DataFrame, anchors: DataFrame, limit: int = LIMIT, cutoff: float = CUTOFF, mutual_k: int = MUTUAL) -> DataFrame:
-    """(anchor, status, place, neighbour, distance) for ``anchors`` (id); an anchor without a fingerprint is "not analysed"."""
-    rows = prepare(fps)
-    packed = rows.select(F.struct(*rows.columns).alias("x"))
-    # Tracks lie in chunks, anchors meet them chunk by chunk; so do the candidates, to learn how many are strictly closer to each.
-    n = max(1, -(-rows.count() // 4096))
-    chunks = packed.select(F.pmod(F.xxhash64("x.id"), F.lit(n)).cast("int").alias("chunk"), F.col("x").alias("r"))
-    to_all = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.join(anchors.select("id").distinct(), "id", "left_semi").select(F.struct(*rows.columns).alias("l")).withColumn("chunk", to_all)
-    found = asked.join(chunks, "chunk").where("l.id <> r.id").select(F.col("l.id").alias("anchor"), F.col("r").alias("c"), track_distance("l", "r").alias("distance")).where(F.col("distance") <= cutoff)
-    candidates = found.groupBy("c.id").agg(F.first("c").alias("l"), F.max("distance").alias("reach")).withColumn("chunk", to_all)
-    closer = candidates.join(chunks, "chunk").where("l.id <> r.id").select("id", "reach", track_distance("l", "r").alias("d")).where("d < reach").select("id", "d")
-    ranks = found.join(closer, (F.col("c.id") == F.col("id")) & (F.col("d") < F.col("distance")), "left").groupBy("anchor", "c.id", "distance").agg(F.count("d").alias("closer"))
-    kept = ranks.where(F.col("closer") < mutual_k).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("distance", "id"))).where(F.col("place") <= limit)
-    status = anchors.select(F.col("id").alias("anchor")).join(rows.select(F.col("id").alias("anchor"), F.lit("analysed").alias("status")), "anchor", "left").fillna("not analysed", ["status"])
-    return status.join(kept.withColumnRenamed("id", "neighbour"), "anchor", "left").select("anchor", "status", "place", "neighbour", "distance")
+    keeps, tracks = index or build_neighbour_index(fps, cutoff, mutual_k)
+    found = neighbours.ask(keeps, tracks, anchors, limit)
+    status = anchors.select(F.col("id").alias("anchor")).join(fps.select(F.col("track_id").alias("anchor"), F.lit("analysed").alias("status")).distinct(), "anchor", "left").fillna("not analysed", ["status"])
+    return status.join(found, "anchor", "left").select("anchor", "status", "place", "neighbour", "distance")
 
 
 def upsert_fingerprints(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:

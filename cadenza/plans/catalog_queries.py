@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators.rules import DEFAULT_PLAYLISTS
 from ..operators.tables import with_positions
 from .registry import Registry
 
@@ -128,11 +131,16 @@ def _(v):
     return C.tracks_by_artist(v("v_linked"), v("v_artists"), v("v_track_artists"), NAME).select("id", "title")
 
 
-@R.query("j2_tracks_by_album", "SELECT id, coalesce(disc_number, 1) AS disc, coalesce(track_number, 0) AS track FROM v_linked WHERE album = 'Brand#3'")
+@R.query("j2_tracks_by_album", "SELECT id, coalesce(disc_number, 1) AS disc, coalesce(track_number, 0) AS track FROM v_linked WHERE album = 'Brand#3' AND NOT is_duplicate")
 def _(v):
     return C.tracks_by_album(v("v_linked"), "Brand#3").select("id", F.coalesce("disc_number", F.lit(1)).alias("disc"), F.coalesce("track_number", F.lit(0)).alias("track"))
 
 
+@R.query("j2_album_of_artist", "SELECT id, album_artist FROM v_linked WHERE album = 'Brand#3' AND album_artist = 'Supplier#000000003' AND NOT is_duplicate")
+def _(v):
+    return C.tracks_by_album(v("v_linked"), "Brand#3", "Supplier#000000003").select("id", "album_artist")
+
+
 @R.query("j3_tracks_by_genre_and_year", "SELECT id FROM v_linked WHERE genre = 'ECONOMY' AND year = '1971'")
 def _(v):
     return C.tracks_by_year(C.tracks_by_genre(v("v_linked"), "ECONOMY"), "1971").select("id")
@@ -180,6 +188,16 @@ def _(v):
     return C.pinned_tracks(pins(v), v("v_linked"), v("v_track_artists"), v("v_artists"), v("v_playlist_tracks"))
 
 
+@R.query("j8_smart_pins", """
+    WITH f AS (SELECT id FROM v_linked WHERE NOT is_duplicate AND is_favorite), m AS (SELECT id FROM v_linked WHERE NOT is_duplicate AND play_count >= 5 ORDER BY play_count DESC, id LIMIT 25)
+    SELECT CAST(1 AS BIGINT) AS pin_id, id FROM f UNION ALL SELECT 2, id FROM m UNION ALL SELECT 3, id FROM v_linked WHERE album = 'Brand#3'""")
+def _(v):
+    spark = v("v_linked").sparkSession
+    pinned = spark.createDataFrame([(1, "smart", "Favorites"), (2, "smart", "Most Played"), (3, "album", "Brand#3"), (4, "smart", "Gone")], "pin_id long, kind string, value string")
+    smart = {n: DEFAULT_PLAYLISTS[n] for n in ("Favorites", "Most Played")}
+    return C.pinned_tracks(pinned, v("v_linked"), v("v_track_artists"), v("v_artists"), v("v_playlist_tracks"), smart, dt.datetime(2024, 3, 1, tzinfo=dt.UTC))
+
+
 @R.query("j9_unanalysed", "SELECT id FROM v_tracks t WHERE NOT is_duplicate AND NOT EXISTS (SELECT 1 FROM v_fingerprints f WHERE f.track_id = t.id)")
 def _(v):
     return C.unanalysed_tracks(v("v_tracks"), v("v_fingerprints")).select("id")

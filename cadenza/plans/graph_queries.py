@@ -3,31 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audio as K
+from ..operators import catalog as C
 from ..operators import graph as G
 from ..operators import lyrics as Y
 from ..operators import merge as M
 from ..operators import rules
 from ..sources import files
-from ..streaming import plays
-from .registry import Registry
+from ..streaming import live, plays
+from .registry import Registry, scratch
 from .views import view
 
 R = Registry()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share: below spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -154,21 +147,29 @@ def _(v):
     return G.releases_to_enrich(v("v_edges"))
 
 
-WALK = """SELECT 'p' || CAST(p_partkey AS VARCHAR) AS anchor, 1 AS depth, source_mbid, target_mbid, relation FROM part JOIN v_edges ON source_mbid = 'p' || CAST(p_partkey AS VARCHAR)"""
+# The walk in whole numbers: parts p are on orders o, and are remixes of part q, the half of p.
+WALK = {
+    "walk_on": "SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem",
+    "walk_of": "SELECT p_partkey AS p, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) AS q FROM part WHERE p_partkey > 0",
+    "walk_steps": """SELECT p_partkey AS a, 1 AS depth, 'p' || p AS source_mbid, 'o' || o AS target_mbid, 'appears on' AS relation FROM part JOIN walk_on ON p = p_partkey
+        UNION ALL SELECT p, 1, 'p' || p, 'p' || q, 'remix of' FROM walk_of
+        UNION ALL SELECT p_partkey, 2, 'o' || o, 'c' || o_custkey, 'release of' FROM part JOIN walk_on ON p = p_partkey JOIN orders ON o_orderkey = o
+        UNION ALL SELECT w.p, 2, 'p' || q, 'o' || o, 'appears on' FROM walk_of w JOIN walk_on n ON n.p = q WHERE q <> w.p
+        UNION ALL SELECT w.p, 2, 'p' || w.q, 'p' || x.q, 'remix of' FROM walk_of w JOIN walk_of x ON x.p = w.q WHERE w.q <> w.p""",
+}
 
 
-@R.query("g7_walk", """SELECT * FROM steps1 UNION ALL
-    SELECT anchor, 2, e.source_mbid, e.target_mbid, e.relation FROM (SELECT DISTINCT anchor, target_mbid AS node FROM steps1 WHERE target_mbid <> anchor) f JOIN v_edges e ON e.source_mbid = node""", steps1=WALK)
+@R.query("g7_walk", "SELECT 'p' || a AS anchor, depth, source_mbid, target_mbid, relation FROM walk_steps", **WALK)
 def _(v):
     anchors = v("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("mbid"))
-    return G.walk(v("v_edges"), anchors, 2, scratch(spark_of(anchors), "walk"))
+    return G.walk(v("v_edges"), anchors, 2)
 
 
 @R.query("g8_threads", "SELECT id, CASE WHEN id % 4 = 0 THEN 'no recording' WHEN id >= 10000000 THEN 'anchor missing' ELSE 'thread' END AS status, CASE WHEN id % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM v_edges WHERE source_mbid = 'p' || CAST(id AS VARCHAR)) END AS n_steps FROM v_tracks")
 def _(v):
     t = v("v_tracks").select("id", F.when(F.col("id") % 4 != 0, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("mbid"))
     anchors = t.where("mbid is not null").select("mbid").distinct()
-    return G.relation_threads(t, v("v_nodes"), G.walk(v("v_edges"), anchors, 1, scratch(spark_of(t), "walk")))
+    return G.relation_threads(t, v("v_nodes"), G.walk(v("v_edges"), anchors, 1))
 
 
 @R.query("g9_find_anchor", "SELECT mbid, title, year FROM v_nodes WHERE lower(title) LIKE '%ring%' ORDER BY mbid NOT IN (SELECT source_mbid FROM v_edges), kind <> 'recording', coalesce(year, 0), title, mbid LIMIT 1")
@@ -202,10 +203,38 @@ def _(v):
     return M.flatten_aliases(v("v_artists").where("artist_id % 8 <> 0").select(i.cast("string").alias("alias"), (i - 1).cast("string").alias("canonical")))
 
 
-@R.query("m4_merge_candidates", "SELECT album_id, count(*) AS n_tracks FROM v_linked WHERE album = 'Brand#3' GROUP BY ALL")
+def counted_albums(v) -> DataFrame:
+    return v("v_linked").where("album_id is not null").groupBy("album_id", F.col("album").alias("title")).agg(F.count("*").alias("n_tracks"))
+
+
+@R.query("m1_merge_chains", "SELECT DISTINCT track_id, artist_id - artist_id % 16 + 1 AS artist_id, role FROM v_track_artists WHERE artist_id % 16 <> 0 UNION SELECT track_id, artist_id, role FROM v_track_artists WHERE artist_id % 16 = 0")
+def _(v):
+    # Artists of each sixteen are merged into the one before them: chains of fourteen.
+    chains = v("v_artists").where("artist_id % 16 > 1").select(F.col("artist_id").alias("loser"), (F.col("artist_id") - 1).alias("winner"))
+    return M.merge_artists(v("v_artists"), v("v_track_artists"), v("v_album_artists"), chains)["track_artists"].select("track_id", "artist_id", "role")
+
+
+@R.query("m4_merge_candidates", """
+    SELECT album_id, any_value(album) AS title, (SELECT name FROM v_album_artists x JOIN v_artists y ON x.artist_id = y.artist_id WHERE x.album_id = t.album_id AND role = 'primary' AND x.position = 0) AS artist, count(*) AS n_tracks
+    FROM v_linked t WHERE album_id IS NOT NULL AND album_id <> 3 GROUP BY album_id""")
 def _(v):
-    albums = v("v_linked").where("album_id is not null").groupBy("album_id", F.col("album").alias("title")).agg(F.count("*").alias("n_tracks"))
-    return M.merge_candidates(albums, "BRAND#3").select("album_id", "n_tracks")
+    return M.album_candidates(counted_albums(v), v("v_album_artists"), v("v_artists"), 3)
+
+
+@R.query("m4_default_winner", "SELECT album_id, count(*) AS n_tracks FROM v_linked WHERE album = 'Brand#3' GROUP BY ALL")
+def _(v):
+    return M.default_winner(counted_albums(v), "Brand#3").select("album_id", "n_tracks")
+
+
+@R.query("m4_artist_candidates", """
+    SELECT name, count(*) AS n_tracks FROM v_artists JOIN v_track_artists USING (artist_id) JOIN v_tracks ON id = track_id WHERE role = 'artist' AND name <> 'Supplier#000000003' GROUP BY name""")
+def _(v):
+    return M.name_candidates(C.artist_counts(v("v_tracks"), v("v_artists"), v("v_track_artists")), "Supplier#000000003")
+
+
+@R.query("m4_genre_candidates", "SELECT genre AS name, count(*) AS n_tracks FROM v_tracks WHERE genre NOT IN ('', 'ECONOMY') GROUP BY genre")
+def _(v):
+    return M.name_candidates(C.genre_counts(v("v_tracks")), "ECONOMY", "genre")
 
 
 @R.query("m5_reconcile_pins", "SELECT artist_id AS pin_id, name AS value FROM v_artists WHERE artist_id % 3 = 0 OR artist_id % 4 <> 2")
@@ -281,7 +310,7 @@ def streamed(name: str, sql: str):
 @streamed("r1_play_counts", "SELECT track_id, CAST(count(*) AS BIGINT) AS plays, max(ts) AS last_played FROM v_plays WHERE stop_reason = 'eof' GROUP BY ALL")
 def _(spark, sf_dir):
     folder = scratch(spark, "plays")
-    plays.to_batches(plays.once(events(spark, sf_dir)), f"{folder}/out", f"{folder}/state", plays.play_counts)
+    plays.run_play_counts(events(spark, sf_dir), f"{folder}/out", f"{folder}/state")
     return plays.counted_plays(spark, f"{folder}/out").withColumn("last_played", F.col("last_played").cast("timestamp_ntz"))
 
 
@@ -299,11 +328,29 @@ def _(spark, sf_dir):
     return plays.latest_favourites(spark, f"{folder}/out")
 
 
-@R.query("r4_live_playlists", """
-    WITH c AS (SELECT track_id, count(*) AS plays FROM v_plays WHERE stop_reason = 'eof' GROUP BY ALL), t AS (SELECT v_tracks.*, play_count + coalesce(plays, 0) AS now FROM v_tracks LEFT JOIN c ON id = track_id)
-    SELECT 'Favorites' AS playlist, count(*) AS n FROM t WHERE NOT is_duplicate AND is_favorite UNION ALL SELECT 'Often', count(*) FROM t WHERE NOT is_duplicate AND now >= 7""")
-def _(v):
-    now = plays.apply_play_counts(v("v_tracks"), plays.play_counts(v("v_plays")))
-    often = {"rules": [{"field": "play_count", "condition": "greaterThanOrEqual", "value": "7"}]}
-    lists = {"Favorites": rules.DEFAULT_PLAYLISTS["Favorites"], "Often": often, "Frozen": {"rules": [], "autoUpdate": False}}
-    return plays.refresh_live_playlists(now, lists, dt.datetime(2024, 3, 1, tzinfo=dt.UTC))
+OFTEN = {"rules": [{"field": "play_count", "condition": "greaterThanOrEqual", "value": "7"}]}
+LIVE = {"Favorites": rules.DEFAULT_PLAYLISTS["Favorites"], "Often": OFTEN, "Most Played": {**rules.DEFAULT_PLAYLISTS["Most Played"], "limit": 40}, "Frozen": {"rules": [], "autoUpdate": False}}
+
+
+def followed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of live playlists after the whole stream of plays: each batch's tracks alone meet the rules."""
+    folder, now = scratch(spark, "live"), dt.datetime(2024, 3, 1, tzinfo=dt.UTC)
+    live.start(view(spark, sf_dir, "v_tracks"), LIVE, now, folder, 8)
+    follow = lambda counts, n: live.apply_changes(spark, folder, live.played(spark, folder, counts), LIVE, now, n)
+    plays.run_play_counts(events(spark, sf_dir), f"{folder}/out", f"{folder}/state", then=follow)
+    return folder
+
+
+AFTER = "SELECT v_tracks.*, play_count + coalesce(plays, 0) AS now FROM v_tracks LEFT JOIN (SELECT track_id, count(*) AS plays FROM v_plays WHERE stop_reason = 'eof' GROUP BY ALL) c ON id = track_id WHERE NOT is_duplicate"
+
+
+@streamed("r4_live_playlists", f"""
+    WITH t AS ({AFTER}) SELECT 'Favorites' AS playlist, count(*) AS n FROM t WHERE is_favorite UNION ALL SELECT 'Often', count(*) FROM t WHERE now >= 7
+    UNION ALL SELECT 'Most Played', least(40, count(*)) FROM t WHERE now >= 5""")
+def _(spark, sf_dir):
+    return live.counts(spark, followed(spark, sf_dir), LIVE)
+
+
+@streamed("r4_live_members", f"SELECT 'Most Played' AS playlist, CAST(row_number() OVER (ORDER BY now DESC, id) - 1 AS INT) AS position, id FROM ({AFTER}) t WHERE now >= 5 QUALIFY position < 40")
+def _(spark, sf_dir):
+    return live.members(spark, followed(spark, sf_dir), LIVE)

@@ -43,15 +43,30 @@ def credited(v):
     return v("v_tracks").join(parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda x: x["artist"]).alias("credits")), "id")
 
 
-@R.query("n4_resolve_albums")
+# Tracks with album, album artist and names of the credit, as one row for each distinct (title, artist, names).
+FOLD = {
+    "tagged": """SELECT id, album AS title, CASE WHEN album_artist <> '' THEN lower(album_artist) WHEN compilation THEN 'various artists' WHEN names[1] <> 'unknown artist' THEN names[1] END AS artist, names
+        FROM v_tracks JOIN (SELECT t.id AS track_id, coalesce(n, ['unknown artist']) AS names FROM v_tracks t LEFT JOIN (SELECT track_id, list(lower(artist) ORDER BY position) AS n FROM v_credits WHERE role = 'artist' GROUP BY track_id) c ON t.id = c.track_id) d ON id = track_id
+        WHERE album <> 'Unknown Album'""",
+    "folded": "SELECT title, artist, names, min(id) AS t FROM tagged GROUP BY ALL",
+    "steps": """SELECT r.title, r.t, s.t AS earlier FROM folded r JOIN folded s ON r.title = s.title AND s.t < r.t AND (r.artist = s.artist OR list_contains(s.names, r.artist))
+        UNION SELECT title, t, first FROM (SELECT title, t, artist, min(t) OVER (PARTITION BY title) AS first FROM folded) x WHERE artist IS NULL""",
+    "placed": """SELECT title, artist, names, t, (WITH RECURSIVE r(x) AS (SELECT t UNION SELECT earlier FROM r JOIN steps ON steps.t = x) SELECT min(x) FROM r) AS made_by FROM folded""",
+}
+
+
+@R.query("n4_resolve_albums", "SELECT id, g.made_by, replace(lower(g.title), 'the ', '') AS normalized_title FROM tagged d JOIN placed g ON d.title = g.title AND d.artist IS NOT DISTINCT FROM g.artist AND d.names = g.names", **FOLD)
 def _(v):
     links, albums, _ = N.resolve_albums(credited(v))
-    return links.join(albums, "album_id").select("id", "album_id", "normalized_title")
+    return links.join(albums, "album_id").select("id", "made_by", "normalized_title")
 
 
-@R.query("n5_album_artists")
+@R.query("n5_album_artists", """
+    SELECT made_by, name AS normalized_name, CASE WHEN row_number() OVER w = 1 THEN 'primary' ELSE 'featured' END AS role, CAST(row_number() OVER w - 1 AS INT) AS position
+    FROM (SELECT made_by, name, min((t, i)) AS spot FROM (SELECT made_by, t, 0 AS i, artist AS name FROM placed WHERE artist IS NOT NULL UNION ALL SELECT made_by, t, unnest(range(1, len(names) + 1)), unnest(names) FROM placed) x GROUP BY ALL) y WINDOW w AS (PARTITION BY made_by ORDER BY spot)""", **FOLD)
 def _(v):
-    return N.resolve_albums(credited(v))[2]
+    _, albums, members = N.resolve_albums(credited(v))
+    return members.join(albums, "album_id").select("made_by", "normalized_name", "role", "position")
 
 
 @R.query("n6_album_metadata", """
@@ -80,6 +95,21 @@ def _(v):
     return N.regroup_compilations(t, v("v_album_artists"))[0]
 
 
+@R.query("n8_compilation_artists", """
+    WITH t AS (SELECT id, CASE WHEN k % 3 = 0 THEN album_id + 1000 ELSE album_id END AS album_id, album AS dir FROM v_linked WHERE NOT is_duplicate AND album_id IS NOT NULL),
+    c AS (SELECT dir, album_id, count(*) AS n FROM t GROUP BY ALL), b AS (SELECT dir, first(album_id ORDER BY n DESC, album_id) AS best FROM c GROUP BY dir HAVING count(*) > 1),
+    p AS (SELECT DISTINCT best AS album_id, artist_id FROM b JOIN c USING (dir) JOIN (SELECT album_id + x AS album_id, artist_id + x AS artist_id FROM v_album_artists, (VALUES (0), (1000)) s(x) WHERE role = 'primary') a ON a.album_id = c.album_id),
+    m AS (SELECT album_id, artist_id, count(*) OVER (PARTITION BY album_id) AS several, row_number() OVER (PARTITION BY album_id ORDER BY artist_id) AS i FROM p)
+    SELECT album_id, artist_id, CASE WHEN several > 1 THEN 'featured' ELSE 'primary' END AS role, CAST(CASE WHEN several > 1 THEN i ELSE 0 END AS INT) AS position FROM m
+    UNION ALL SELECT DISTINCT album_id, CAST(NULL AS BIGINT), 'primary', CAST(0 AS INT) FROM m WHERE several > 1""")
+def _(v):
+    t = v("v_linked").withColumn("album_id", F.when(F.col("k") % 3 == 0, F.col("album_id") + 1000).otherwise(F.col("album_id")))
+    # The second album of each folder has other artists than the first.
+    shifted = F.explode(F.array(F.lit(0), F.lit(1000)))
+    on = v("v_album_artists").withColumn("x", shifted).select((F.col("album_id") + F.col("x")).alias("album_id"), (F.col("artist_id") + F.col("x")).alias("artist_id"), "role", "position")
+    return N.regroup_compilations(t, on)[1].withColumn("position", F.col("position").cast("int"))
+
+
 @R.query("n9_artist_stats", """
     SELECT artist_id, (SELECT count(DISTINCT track_id) FROM v_track_artists x JOIN v_linked ON id = track_id WHERE x.artist_id = a.artist_id AND role = 'artist' AND NOT is_duplicate) AS total_tracks,
         (SELECT count(DISTINCT album_id) FROM v_album_artists y WHERE y.artist_id = a.artist_id) AS total_albums FROM v_artists a""")
@@ -127,10 +157,24 @@ def _(v):
     return N.apply_tag_updates(t, new, ("title", "duration")).select("id", "title", "duration", "changed")
 
 
-@R.query("n14_folder_fingerprint", """
-    SELECT folder, sha256(string_agg(h, '' ORDER BY path)) AS hash FROM (SELECT '/music/' || album AS folder, path, sha256(path || '|' || CAST(date_added AS VARCHAR) || '|' || CAST(file_size AS VARCHAR)) AS h FROM v_tracks) d GROUP BY ALL""")
+HASHED = """SELECT '/music/' || album AS folder, sha256(path || '|' || CAST(date_added AS VARCHAR) || '|' || CAST(file_size AS VARCHAR)) AS h FROM v_tracks"""
+SUMS = "count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)) AS s{i}" for i in range(4))
+SEAL = "sha256(concat_ws('|', n, s0, s1, s2, s3))"
+
+
+@R.query("n14_folder_fingerprint", f"SELECT folder, {SEAL} AS hash FROM (SELECT folder, {SUMS} FROM hashed_files GROUP BY folder) s", hashed_files=HASHED)
+def _(v):
+    return N.folder_fingerprint(files_of(v))
+
+
+@R.query("n14_tree_fingerprint", f"""
+    SELECT folder, {SEAL} AS hash FROM (SELECT folder, {SUMS} FROM hashed_files GROUP BY folder UNION ALL SELECT '/music', {SUMS} FROM hashed_files) s""", hashed_files=HASHED)
 def _(v):
-    return N.folder_fingerprint(v("v_tracks").select(S.parent_dir(F.col("path")).alias("folder"), "path", F.col("date_added").alias("mtime"), F.col("file_size").alias("size")))
+    return N.tree_fingerprint(files_of(v))
+
+
+def files_of(v):
+    return v("v_tracks").select(S.parent_dir(F.col("path")).alias("folder"), "path", F.col("date_added").alias("mtime"), F.col("file_size").alias("size"))
 
 
 @R.query("n15_folders_to_refresh", "SELECT DISTINCT p_brand AS folder FROM part WHERE p_size % 2 = 0 AND p_brand LIKE '%1%' OR p_brand LIKE '%2' ")
@@ -163,11 +207,38 @@ def _(v):
     return N.pick_artwork(t, "album_id")
 
 
-@R.query("n19_rebuild")
+SHOWN = {n: (q + " AND NOT is_duplicate" if n == "tagged" else q) for n, q in FOLD.items()} | {
+    "shown_credits": "SELECT v_credits.* FROM v_credits JOIN v_tracks ON id = track_id WHERE NOT is_duplicate",
+    "members": "SELECT made_by, artist AS name FROM placed WHERE artist IS NOT NULL UNION SELECT made_by, unnest(names) FROM placed",
+}
+
+
+@R.query("n19_rebuild", """
+    SELECT n.name, lower(n.name) AS normalized_name, coalesce(t.n, 0) AS total_tracks, coalesce(a.n, 0) AS total_albums
+    FROM (SELECT artist AS name FROM shown_credits UNION SELECT 'Various Artists') n
+    LEFT JOIN (SELECT lower(artist) AS key, count(DISTINCT track_id) AS n FROM shown_credits WHERE role = 'artist' GROUP BY 1) t ON t.key = lower(n.name)
+    LEFT JOIN (SELECT name AS key, count(DISTINCT made_by) AS n FROM members GROUP BY 1) a ON a.key = lower(n.name)
+    WHERE a.n IS NOT NULL OR lower(n.name) IN (SELECT lower(artist) FROM shown_credits)""", **SHOWN)
 def _(v):
     return N.rebuild_associations(v("v_tracks"))["artists"].select("name", "normalized_name", "total_tracks", "total_albums")
 
 
+@R.query("n19_album_artists", """
+    SELECT made_by, name AS normalized_name, CASE WHEN row_number() OVER w = 1 THEN 'primary' ELSE 'featured' END AS role, CAST(row_number() OVER w - 1 AS INT) AS position
+    FROM (SELECT made_by, name, min((t, i)) AS spot FROM (SELECT made_by, t, 0 AS i, artist AS name FROM placed WHERE artist IS NOT NULL UNION ALL SELECT made_by, t, unnest(range(1, len(names) + 1)), unnest(names) FROM placed) x GROUP BY ALL) y
+    WINDOW w AS (PARTITION BY made_by ORDER BY spot) QUALIFY name <> 'unknown artist'""", **SHOWN)
+def _(v):
+    made = N.rebuild_associations(v("v_tracks"))
+    named = made["album_artists"].join(made["artists"].select("artist_id", "normalized_name"), "artist_id").join(made["albums"].select("album_id", "made_by"), "album_id")
+    return named.select("made_by", "normalized_name", "role", "position")
+
+
+@R.query("n19_tracks", "SELECT d.id, g.made_by FROM tagged d JOIN placed g ON d.title = g.title AND d.artist IS NOT DISTINCT FROM g.artist AND d.names = g.names", **SHOWN)
+def _(v):
+    made = N.rebuild_associations(v("v_tracks"))
+    return made["tracks"].join(made["albums"].select("album_id", "made_by"), "album_id").select("id", "made_by")
+
+
 @R.query("n20_backlog", """
     SELECT artist_id, count(DISTINCT track_id) AS n_tracks FROM v_artists JOIN v_track_artists USING (artist_id) WHERE artist_id % 2 = 0 AND artist_id % 5 <> 1 OR artist_id % 3 = 0 AND artist_id % 5 > 2 GROUP BY ALL""")
 def _(v):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import neighbours
 from ..operators import search as Q
 from ..operators import similar as K
-from .registry import Registry
+from .registry import Registry, stored_once
 
 R = Registry()
 
@@ -17,9 +19,20 @@ BM25 = """SELECT id, round(ln((d - n + 0.5) / (n + 0.5)) * f * 2.2 / (f + 1.2 *
     (SELECT count(DISTINCT id) AS d, (SELECT avg(length) FROM (SELECT DISTINCT id, length FROM tokens) z) AS mean FROM tokens) s, (SELECT count(*) AS n FROM hits) m"""
 
 
+def indexed(docs: DataFrame) -> Q.Index:
+    """The stored index of all texts, written once and read by all searches."""
+    folder = stored_once(docs, "search-index", lambda folder: Q.write_index(docs, folder, ("text",), "doc_id"))
+    return Q.read_index(docs.sparkSession, folder)
+
+
+def neighbour_index(fps: DataFrame) -> K.Index:
+    """The stored neighbours of all fingerprints, written once and read for whatever anchors."""
+    return neighbours.read(fps.sparkSession, stored_once(fps, "neighbours", lambda folder: K.build_neighbour_index(fps, folder=folder)))
+
+
 @R.query("q1_index", "SELECT token, count(*) AS n, count(DISTINCT id) AS docs FROM tokens GROUP BY token", tokens=TOKENS)
 def _(v):
-    return Q.build_index(v("documents"), ("text",), "doc_id").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+    return indexed(v("documents")).terms.select("token", F.col("occurrences").alias("n"), "docs")
 
 
 @R.query("q2_search", """
@@ -29,7 +42,7 @@ def _(v):
         UNION ALL SELECT id, greatest(ln((d - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) FROM b, s, (SELECT count(*) AS n FROM b) m)
     SELECT id, round(sum(p), 6) AS score FROM u GROUP BY id HAVING count(*) = 2""", tokens=TOKENS)
 def _(v):
-    return Q.search(Q.build_index(v("documents"), ("text",), "doc_id"), "Licens und").select("id", F.round("score", 6).alias("score"))
+    return Q.search(indexed(v("documents")), "Licens und").select("id", F.round("score", 6).alias("score"))
 
 
 @R.query("q3_search_for_playlist", """
@@ -40,7 +53,7 @@ def _(v):
 def _(v):
     docs = v("documents")
     tracks = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("is_duplicate"))
-    found = Q.search_for_playlist(Q.build_index(docs, ("text",), "doc_id"), tracks, "CC-BY", tracks.where("id % 3 = 0").select("id"))
+    found = Q.search_for_playlist(indexed(docs), tracks, "CC-BY", tracks.where("id % 3 = 0").select("id"))
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -54,7 +67,7 @@ SCALES = """SELECT min(rms_loudness_db) AS l0, max(rms_loudness_db) AS l1, min(b
 ROWS = """SELECT track_id AS id, year, duration_seconds AS sec, bpm_confidence AS conf, CASE mix_version WHEN 'Radio Edit' THEN 'radioEdit' WHEN 'Club Mix' THEN 'extended' WHEN 'Quick Remix' THEN 'remix' ELSE 'original' END AS mix,
     (rms_loudness_db - l0) / (l1 - l0) AS l, (bpm - t0) / (t1 - t0) AS t, (bass_ratio - b0) / (b1 - b0) AS b, (dynamic_range_db - d0) / (d1 - d0) AS d, (spectral_brightness_hz - s0) / (s1 - s0) AS s, (beat_regularity - r0) / (r1 - r0) AS r
     FROM v_fingerprints, scales"""
-PAIRS = """SELECT x.id AS anchor, y.id AS neighbour, coalesce(3 * least(1.0, abs(x.year - y.year) / 5.0), 1.5) + coalesce(2 * least(coalesce(x.conf, 1), coalesce(y.conf, 1)) * abs(x.t - y.t), 0) + 1.5 * abs(x.d - y.d) + 1.5 * abs(x.b - y.b)
+PAIRS = """SELECT x.id AS anchor, y.id AS neighbour, CASE WHEN x.year IS NULL OR y.year IS NULL THEN 1.5 ELSE 3 * least(1.0, abs(x.year - y.year) / 5.0) END + coalesce(2 * least(coalesce(x.conf, 1), coalesce(y.conf, 1)) * abs(x.t - y.t), 0) + 1.5 * abs(x.d - y.d) + 1.5 * abs(x.b - y.b)
     + 1.5 * abs(x.s - y.s) + abs(x.l - y.l) + coalesce(3 * abs(x.r - y.r), 0) + coalesce(abs(x.conf - y.conf), 0) + CASE WHEN x.mix <> y.mix THEN 1 ELSE 0 END + least(1.0, abs(x.sec - y.sec) / 120.0) AS distance FROM frows x JOIN frows y ON x.id <> y.id"""
 PARTS = {"scales": SCALES, "frows": ROWS, "fpairs": PAIRS}
 
@@ -92,7 +105,7 @@ MUTUAL = """SELECT anchor, neighbour, round(distance, 6) AS distance FROM (SELEC
 @R.query("k5_similar_tracks", MUTUAL.format("AND anchor % 50 = 0"), **PARTS)
 def _(v):
     f = v("v_fingerprints")
-    found = K.similar_tracks(f, f.where("track_id % 50 = 0").select(F.col("track_id").alias("id")))
+    found = K.similar_tracks(f, f.where("track_id % 50 = 0").select(F.col("track_id").alias("id")), index=neighbour_index(f))
     return found.where("neighbour is not null").select("anchor", "neighbour", F.round("distance", 6).alias("distance"))
 
 
