@@ -117,13 +117,14 @@ def _marked(docs: DataFrame, shingle_words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_BUCKETS, np.int64)
         for b in batches:
-            keys, sizes, shards = [], [], []
+            keys, sizes, shards, buckets = [], [], [], [np.zeros(0, np.int64)]
             for t in _texts(b):
                 h = _set_of(t, shingle_words)
-                counts += np.bincount((h % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS) if len(h) else 0
+                buckets.append((h % np.uint64(ORDER_BUCKETS)).astype(np.int64))
                 keys.append(_key(h) - 2**63 if len(h) else None)
                 sizes.append(len(h))
                 shards.append(int((h * np.uint64(0x9E3779B97F4A7C15)).min()) - 2**63 if len(h) else None)
+            counts += np.bincount(np.concatenate(buckets), minlength=ORDER_BUCKETS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(c, pa.int64()) for c in (keys, sizes, shards)), pa.nulls(b.num_rows, lists)], names)
         none = pa.nulls(1, pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([counts], lists)], names)
@@ -161,17 +162,20 @@ def fold(bits: np.ndarray) -> np.ndarray:
 
 def may_link(sizes: np.ndarray, roots: np.ndarray, bits: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs (i, j), at least a tree for each group, of sets ascending by size that sizes and parity bits do not rule out and whose roots differ."""
+    lows = np.searchsorted(sizes, -(-percent * sizes // 100))
+    open_ = np.flatnonzero(lows < np.arange(len(sizes))).tolist()
+    if not open_ or (roots == roots[0]).all():
+        return
     groups = Groups(len(sizes))
     words = np.array([len(b) for b in bits])
     at_width = {w: (np.flatnonzero(words == w), np.stack([bits[i] for i in np.flatnonzero(words == w)])) for w in np.unique(words).tolist()}
-    for i in range(1, len(sizes)):
-        low = np.searchsorted(sizes[:i], least_size(int(sizes[i]), percent))
-        mine = bits[i][None]
-        for w, own in ((words[i], mine), (words[i] // 2, fold(mine))):
-            if w not in at_width:
-                continue
-            at, rows = at_width[w]
-            a, z = np.searchsorted(at, [low, i])
+    none = np.zeros(0, np.int64)
+    for i in open_:
+        own = bits[i][None]
+        for w in (words[i] >> n for n in range(int(words[i] // words[lows[i]]).bit_length())):
+            own = own if own.shape[1] == w else fold(own)
+            at, rows = at_width.get(w, (none, none))
+            a, z = np.searchsorted(at, [lows[i], i])
             if a == z:
                 continue
             differ = np.bitwise_count(rows[a:z] ^ own).sum(1, dtype=np.int64)
