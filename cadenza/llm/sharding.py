@@ -79,20 +79,28 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, shards: int = 16) -> DataFr
     )
 
 
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions kept at ``path`` that were written in full, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    found = [int(n[8:]) for n in names if n.startswith("version=") and n[8:].isdigit()]
+    return sorted(n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS")))
+
+
 def store_map(slot_map: DataFrame, path: str, version: int) -> None:
-    """Add one version (virtual_slot, shard) to the map kept at ``path``; a version that is there already is an error, never replaced."""
-    slot_map.select("virtual_slot", "shard").write.parquet(f"{path}/version={version}")
+    """Add one version (virtual_slot, shard) to the map kept at ``path``; one that is there in full is never replaced, the rest of a lost writer's is."""
+    if version in map_versions(slot_map.sparkSession, path):
+        raise ValueError(f"version {version} of the map at {path} is there already")
+    slot_map.select("virtual_slot", "shard").write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def latest_map(spark: SparkSession, path: str) -> DataFrame | None:
-    """(version, virtual_slot, shard) of the last version kept at ``path``; None where there is none."""
-    try:
-        kept = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """(version, virtual_slot, shard) of the last version that was kept at ``path`` in full; None where there is none."""
+    found = map_versions(spark, path)
+    if not found:
         return None
-    return kept.where(F.col("version") == kept.agg(F.max("version")).first()[0]).select("version", "virtual_slot", "shard")
+    return spark.read.parquet(f"{path}/version={found[-1]}").select(F.lit(found[-1]).alias("version"), "virtual_slot", "shard")
 
 
 def next_map(spark: SparkSession, path: str, stats: DataFrame, slots: int, shards: int) -> DataFrame:

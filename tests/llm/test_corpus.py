@@ -336,6 +336,21 @@ def test_stored_map_is_edited(spark, tmp_path):
         sharding.shard_documents(frame(spark, rows), 5, 128, map_path=path)
 
 
+def test_a_map_outlives_a_lost_writer(spark, tmp_path):
+    rows = [(i, "t" * (i % 50)) for i in range(400)]
+    path = f"file://{tmp_path}/map"
+    run = lambda: {r.map_version for r in sharding.shard_documents(frame(spark, rows), 4, 64, map_path=path).collect()}
+    assert run() == {1}
+    # One writer died while it wrote version 2, another when half of its files were moved.
+    (tmp_path / "map/version=2/_temporary/0").mkdir(parents=True)
+    assert run() == {2} and sharding.map_versions(spark, path) == [0, 1, 2]
+    spark.read.parquet(f"{path}/version=2").limit(9).write.parquet(f"{path}/version=3")
+    (tmp_path / "map/version=3/_SUCCESS").unlink()
+    assert run() == {3} and sharding.latest_map(spark, path).count() == 64
+    with pytest.raises(ValueError, match="already"):
+        sharding.store_map(sharding.latest_map(spark, path), path, 3)
+
+
 def test_growing_moves_about_a_shard(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)]
     stats = sharding.slot_bytes(sharding.with_virtual_slot(frame(spark, rows), 512))
