@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def split_credits(df: DataFrame, column: str, known_artists: DataFrame | None =
 
     Without ``known_artists`` (name) a credit parts at every separator but the bare slash. With it, a name of the list is kept
     whole, and between unsure separators the longest run that is a known name wins, from left to right. The work is done
-    once for each distinct credit: runs of words between separators are joined to the list, so the list is never sent to workers.
+    once for each distinct credit: runs grow by joins with the beginnings of the list's names, so the list is never sent to workers.
     """
     names = credit_names(df.select(F.col(column).alias("credit")).distinct(), known_artists, placeholder)
     exploded = names.select(F.col("credit").alias("of"), F.posexplode("names").alias("position", "artist"))
@@ -58,64 +59,61 @@ def split_credits(df: DataFrame, column: str, known_artists: DataFrame | None =
     return rows.join(exploded, F.col("credit").eqNullSafe(F.col("of"))).select(key, "position", "artist")
 
 
-def _atoms(text: str) -> tuple[list[str], list[str]]:
-    """Pieces between unsure separators, which are taken from left to right, longer ones of one place first."""
-    atoms, seps, at, i, low = [], [], 0, 0, text.lower()
-    order = sorted(UNSURE, key=len, reverse=True)
-    while i < len(text):
-        hit = next((s for s in order if low.startswith(s.lower(), i)), None)
-        if hit is None:
-            i += 1
-            continue
-        atoms.append(text[at:i])
-        seps.append(text[i : i + len(hit)])
-        i = at = i + len(hit)
-    return [*atoms, text[at:]], seps
-
-
-def _runs_of(text: str) -> list[str]:
-    atoms, seps = _atoms(text)
-    out = []
-    for i in range(len(atoms)):
-        run = atoms[i]
-        for j in range(i + 1, len(atoms)):
-            run += seps[j - 1] + atoms[j]
-            out.append(run)
-    return out
+#: Any unsure separator, longer ones first where several begin at one place; what every run of several names has of them once normalised.
+_UNSURE = "(?i)" + "|".join("".join("\\" + x if x in ".&/" else x for x in s) for s in sorted(UNSURE, key=len, reverse=True))
+_TRACE = "&|and|x|vs|,|with|/|／"
 
 
-def _greedy(text: str, known: set[str]) -> list[str]:
-    atoms, seps = _atoms(text)
-    out, i = [], 0
-    while i < len(atoms):
-        for j in range(len(atoms) - 1, i, -1):
-            run = atoms[i] + "".join(seps[k - 1] + atoms[k] for k in range(i + 1, j + 1))
-            if run in known:
-                out.append(run)
-                i = j + 1
-                break
-        else:
-            out.append(atoms[i])
-            i += 1
-    return out
+def _run(pieces: Column, i: Column, j: Column) -> Column:
+    """The text of names i to j of ``pieces``, names and separators in turn."""
+    return F.array_join(F.slice(pieces, 2 * i + 1, 2 * (j - i) + 1), "")
+
+
+def _known_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text, i, j) of the runs of two names or more of ``texts`` (text, pieces, n) that are among ``keys`` (key).
+
+    A trie of the keys is kept as hashes of all their beginnings. From each name a run grows by one name at a time and only while it is the
+    beginning of a key, so a credit of many names costs what its longest known beginnings do, not all its runs.
+    """
+    several = keys.where(F.col("key").rlike(_TRACE))
+    trie = kept(several.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.xxhash64(F.substring("key", F.lit(1), n)))).alias("start")).distinct(), "trie")
+    several = kept(several, "several")
+    begun = lambda runs: kept(runs.where("j < n - 1").withColumn("start", F.xxhash64("key")).join(trie, "start", "left_semi").drop("start", "key"), "runs")
+    i = F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("i")
+    runs = texts.where("n > 1").select("text", "pieces", "n", i).withColumn("j", F.col("i"))
+    runs = begun(runs.withColumn("key", S.normalize_artist_name(_run(F.col("pieces"), F.col("i"), F.col("j")))))
+    found = []
+    while not runs.isEmpty():
+        longer = runs.withColumn("j", F.col("j") + 1)
+        longer = longer.withColumn("key", S.normalize_artist_name(_run(F.col("pieces"), F.col("i"), F.col("j"))))
+        found.append(longer.join(several, "key", "left_semi").select("text", "i", "j"))
+        runs = begun(longer)
+    none = texts.select("text", F.lit(0).alias("i"), F.lit(0).alias("j")).limit(0)
+    return reduce(DataFrame.union, found) if found else none
 
 
 def _split_known(credits: DataFrame, known_artists: DataFrame, placeholder: str) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def runs(segments: pd.Series) -> pd.Series:
-        return segments.map(lambda parts: [r for p in parts for r in _runs_of(p.strip())])
-
-    @F.pandas_udf("array<string>")
-    def greedy(segments: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([[n for p in parts if p.strip() for n in _greedy(p.strip(), set(k))] for parts, k in zip(segments, known, strict=True)])
-
-    keys = known_artists.select(S.normalize_artist_name(F.col("name")).alias("key")).distinct()
-    parted = credits.withColumn("segments", _split_all(F.coalesce("credit", F.lit("")), SURE))
-    asked = parted.select("credit", F.explode(F.concat(F.array(F.coalesce("credit", F.lit(""))), runs("segments"))).alias("run")).withColumn("key", S.normalize_artist_name(F.col("run")))
-    met = asked.join(keys, "key", "left_semi").groupBy(F.col("credit").alias("of")).agg(F.collect_set("run").alias("known"))
-    both = parted.join(met, F.col("credit").eqNullSafe(F.col("of")), "left").select("credit", "segments", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
-    whole = F.array_contains("known", F.col("credit"))
-    return both.withColumn("names", F.when(whole, F.array(F.trim("credit"))).otherwise(_distinct_names(greedy("segments", "known"), placeholder))).select("credit", "names")
+    keys = kept(known_artists.select(S.normalize_artist_name(F.col("name")).alias("key")).where("key <> ''").distinct(), "known")
+    text = F.coalesce("credit", F.lit(""))
+    whole = credits.withColumn("key", S.normalize_artist_name(text)).join(keys, "key", "left_semi").select("credit", F.array(F.trim("credit")).alias("names"))
+    parts = F.filter(F.transform(_split_all(text, SURE), S.strip), lambda p: p != "")
+    parted = kept(credits.join(whole.select(F.col("credit").alias("of")), F.col("credit").eqNullSafe(F.col("of")), "left_anti").select("credit", F.posexplode_outer(parts).alias("at", "text")), "segments")
+    names, seps = F.split("text", _UNSURE), F.regexp_extract_all("text", F.lit(_UNSURE), 0)
+    pieces = F.flatten(F.zip_with(names, F.concat(seps, F.array(F.lit(""))), lambda a, s: F.array(a, s)))
+    texts = kept(parted.where("text is not null").select("text").distinct().select("text", pieces.alias("pieces"), F.size(names).alias("n")), "texts")
+    ends = _known_runs(texts, keys).groupBy("text", "i").agg(F.max("j").alias("j")).groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("ends"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))
+
+    def take(done: Column, i: Column) -> Column:
+        """The longest known run from a name on, or the name alone; names within a run that was taken are passed."""
+        end = F.coalesce(F.try_element_at("ends", i), i)
+        return F.when(i < done["next"], done).otherwise(F.struct((end + 1).alias("next"), F.concat(done["names"], F.array(_run(F.col("pieces"), i, end))).alias("names")))
+
+    greedy = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, take)["names"]
+    split = texts.join(ends, "text", "left").select("text", greedy.alias("found"))
+    joined = parted.join(split, "text", "left").groupBy("credit").agg(F.collect_list(F.struct("at", F.coalesce("found", F.array().cast("array<string>")).alias("found"))).alias("all"))
+    every = F.flatten(F.transform(F.array_sort("all"), lambda x: x["found"]))
+    return whole.union(joined.select("credit", _distinct_names(every, placeholder).alias("names")))
 
 
 def album_artist_of(tracks: DataFrame) -> Column:

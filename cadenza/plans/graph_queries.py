@@ -73,15 +73,15 @@ def _(v):
     return files.read_known_artists(spark_of(a), folder)
 
 
-@R.query("s7_read_lyrics", "SELECT k AS id, 'lrc' AS kind, p_name AS text FROM v_base")
+@R.query("s7_read_lyrics", "SELECT k AS id, CASE WHEN k % 4 = 0 THEN 'srt' ELSE 'lrc' END AS kind, p_name || chr(10) || '\"' AS text FROM v_base WHERE k % 5 <> 0")
 def _(v):
-    b = v("v_base")
+    b, k = v("v_base"), F.col("k")
     folder = scratch(spark_of(b), "lyrics")
-    # One file for each track, in a folder of its name: the stem that tracks are found by is the folder's here.
-    b.select("p_name", F.concat(F.col("k").cast("string"), F.lit(".lrc")).alias("name")).write.partitionBy("name").text(folder)
-    texts = spark_of(b).read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).select(F.regexp_extract(F.input_file_name(), r"name=([^/]*)/", 1).alias("file"), F.col("value").alias("text"))
-    tracks = v("v_base").select(F.col("k").alias("id"), F.concat(F.lit("/music/"), F.col("k").cast("string"), F.lit(".mp3")).alias("path"))
-    return files.match_lyrics(texts, tracks)
+    ending = F.when(k % 5 == 0, ".txt").when(k % 4 == 0, ".SRT").otherwise(".lrc")
+    row = F.struct(F.concat(F.lit("/lyrics/"), k.cast("string"), ending).alias("file"), F.concat("p_name", F.lit('\n"')).alias("text"))
+    b.select(F.to_json(row).alias("json")).union(b.select(F.concat(F.lit("{"), "p_name"))).write.text(folder)
+    tracks = b.select(k.alias("id"), F.concat(F.lit("/music/"), k.cast("string"), F.lit(".mp3")).alias("path"))
+    return files.read_lyrics(spark_of(b), folder, tracks, lines=True)
 
 
 def recordings(v) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import ingest as N
-from .registry import Registry
+from ..sources import buckets
+from .registry import Registry, scratch
 
 R = Registry()
 
@@ -157,6 +158,30 @@ def _(v):
     return N.apply_tag_updates(t, new, ("title", "duration")).select("id", "title", "duration", "changed")
 
 
+@R.query("n13_tags_written", """
+    SELECT id, CASE WHEN k % 3 = 0 THEN 'New ' || title ELSE title END AS title, CASE WHEN k % 5 = 0 THEN duration + 1 ELSE duration END AS duration FROM v_tracks""")
+def _(v):
+    t = v("v_tracks").select("id", "k", "title", "duration")
+    spark, path = t.sparkSession, scratch(t.sparkSession, "tagged-tracks")
+    buckets.create(t.drop("k"), path, "id", 16)
+    new = t.where("k % 3 = 0 or k % 5 = 0").select("id", F.when(F.col("k") % 3 == 0, F.concat(F.lit("New "), "title")).alias("title"), F.when(F.col("k") % 5 == 0, F.col("duration") + 1).alias("duration"))
+    N.write_tag_updates(spark, path, new, ("title", "duration"))
+    return buckets.current(spark, path)
+
+
+@R.query("n12_scan_written", """
+    SELECT path, date_added + CASE WHEN k % 10 = 1 THEN 5.0 ELSE 0.0 END AS mtime, file_size AS size FROM v_tracks WHERE k % 10 <> 0
+    UNION ALL SELECT '/music/new/' || CAST(id AS VARCHAR) || '.mp3', date_added, file_size FROM v_tracks WHERE k % 7 = 0""")
+def _(v):
+    t = v("v_tracks").select("id", "k", "path", F.col("date_added").cast("double").alias("mtime"), F.col("file_size").alias("size"))
+    spark, path = t.sparkSession, scratch(t.sparkSession, "scanned-files")
+    buckets.create(t.select("path", "mtime", "size"), path, "path", 16)
+    found = t.where("k % 10 <> 0").select("path", (F.col("mtime") + F.when(F.col("k") % 10 == 1, 5.0).when(F.col("k") % 10 == 2, 1.0).otherwise(0.0)).alias("mtime"), "size")
+    new = t.where("k % 7 = 0").select(F.concat(F.lit("/music/new/"), F.col("id").cast("string"), F.lit(".mp3")).alias("path"), "mtime", "size")
+    N.write_scan(spark, path, found.union(new))
+    return buckets.current(spark, path)
+
+
 HASHED = """SELECT '/music/' || album AS folder, sha256(path || '|' || CAST(date_added AS VARCHAR) || '|' || CAST(file_size AS VARCHAR)) AS h FROM v_tracks"""
 SUMS = "count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)) AS s{i}" for i in range(4))
 SEAL = "sha256(concat_ws('|', n, s0, s1, s2, s3))"

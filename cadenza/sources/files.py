@@ -76,8 +76,14 @@ def read_known_artists(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')").distinct()
 
 
-def read_lyrics(spark: SparkSession, path: str, tracks: DataFrame) -> DataFrame:
-    """(id, kind, text) of .lrc and .srt files whose stem is that of a track's file."""
+def read_lyrics(spark: SparkSession, path: str, tracks: DataFrame, lines: bool = False) -> DataFrame:
+    """(id, kind, text) of .lrc and .srt files whose stem is that of a track's file.
+
+    With ``lines`` the files are packed, as catalogues of millions keep them: JSON in lines, each with the ``file`` and its ``text``; lines that cannot be read are left out.
+    """
+    if lines:
+        packed = spark.read.text(path).select(F.from_json("value", "file string, text string").alias("x")).select("x.file", "x.text")
+        return match_lyrics(packed.where("file is not null and text is not null"), tracks)
     texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     return match_lyrics(texts.withColumn("file", F.coalesce(F.try_url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "file")), tracks)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,10 +39,12 @@ def _moves_with_time(criteria: Mapping[str, Any]) -> bool:
 
 
 def _matches(tracks: DataFrame, playlists: Playlists, now: dt.datetime) -> DataFrame:
-    """(playlist, id, key) of the shown tracks that match, one row for each playlist; key is what the playlist sorts by."""
-    hit = [F.when(rules.compile_rules(c, now), F.struct(F.lit(n).alias("playlist"), rules.sort_key(c).alias("key"))) for n, c in playlists.items()]
-    shown = tracks.where("not is_duplicate")
-    return shown.select("id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("x")).select("x.playlist", "id", "x.key")
+    """(playlist, id, key) of the shown tracks that match, one row for each playlist; key is what the playlist sorts by. One scan for each rules.CHUNK of them."""
+    names, shown, found = list(playlists), tracks.where("not is_duplicate"), []
+    for at in range(0, len(names), rules.CHUNK):
+        hit = [F.when(rules.compile_rules(playlists[n], now), F.struct(F.lit(n).alias("playlist"), rules.sort_key(playlists[n]).alias("key"))) for n in names[at : at + rules.CHUNK]]
+        found.append(shown.select("id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("x")).select("x.playlist", "id", "x.key"))
+    return reduce(DataFrame.union, found)
 
 
 def _there(spark: SparkSession, path: str) -> bool:

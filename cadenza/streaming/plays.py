@@ -10,12 +10,12 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions import scalars as S
+from ..sources.buckets import files_at
 
 LEAST_SECONDS = 30
 
@@ -63,35 +63,36 @@ def heard_once(events: DataFrame, delay: dt.timedelta = dt.timedelta(hours=1)) -
 
 
 def ledger_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Count a micro-batch of heard_once(): plays of each track to ``path``/plays, and its events to the ledger ``path``/ledger, by day.
+    """Count a micro-batch of heard_once(): plays of each track to ``path``/plays, and its events to the ledger ``path``/ledger, by day and batch.
 
-    Events that are not recent are looked up in the ledger of earlier batches, in the days they are of, and in their own batch. Both folders are
-    the batch's own and replaced if it is run again, which therefore changes nothing. An event that comes again is of the same time.
+    Events that are not recent are looked up in the ledger of earlier batches, of which only the days that they are of are listed and read, and in
+    their own batch. What is written is the batch's own and replaced if it is run again, which therefore changes nothing. An event that comes again
+    is of the same time.
     """
     spark = batch.sparkSession
     marked = batch.withColumn("day", F.coalesce(F.to_date("ts").cast("string"), F.lit("none")))
     folder = f"{path}/staged/{batch_id}"
     marked.write.mode("overwrite").parquet(folder)
     marked = spark.read.schema(marked.schema).parquet(folder)
-    late = marked.where("not recent")
+    rows, late = marked.where("recent"), marked.where("not recent")
     days = [r["day"] for r in late.select("day").distinct().collect()]
-    rows = marked.where("recent")
     if days:
-        late = late.where("event_id is null").union(late.where("event_id is not null").dropDuplicates(["event_id"]))
-        if batch_id > 0 and (known := read_ledger(spark, path)) is not None:
-            late = late.join(known.where(F.col("day").isin(days) & (F.col("batch") < batch_id)).select("event_id"), "event_id", "left_anti")
-        rows = rows.union(late.join(marked.where("recent").select("event_id"), "event_id", "left_anti").select(rows.columns))
-    rows.select("event_id", "track_id", "ts", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/ledger/batch={batch_id}")
-    counted = spark.read.schema("event_id long, track_id long, ts timestamp, day string").parquet(f"{path}/ledger/batch={batch_id}")
-    counted.groupBy("track_id").agg(F.count("*").alias("plays"), F.max("ts").alias("last_played")).write.mode("overwrite").parquet(f"{path}/plays/batch={batch_id}")
-
-
-def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """(event_id, track_id, ts, batch, day) of all counted events; None before the first."""
-    try:
-        return spark.read.schema("event_id long, track_id long, ts timestamp, batch long, day string").parquet(f"{path}/ledger")
-    except AnalysisException:
-        return None
+        known = read_ledger(spark, path, days).where(F.col("batch") < batch_id).select("event_id")
+        named = late.where("event_id is not null").dropDuplicates(["event_id"]).join(known.union(rows.select("event_id")), "event_id", "left_anti")
+        rows = rows.unionByName(late.where("event_id is null")).unionByName(named)
+    counted = rows.select("event_id", "track_id", "ts", "day", F.lit(batch_id).cast("long").alias("batch"))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/ledger")
+    rows.groupBy("track_id").agg(F.count("*").alias("plays"), F.max("ts").alias("last_played")).write.mode("overwrite").parquet(f"{path}/plays/batch={batch_id}")
+
+
+def read_ledger(spark: SparkSession, path: str, days: list[str]) -> DataFrame:
+    """(event_id, track_id, ts, day, batch) of the counted events of these days."""
+    schema = "event_id long, track_id long, ts timestamp, day string, batch long"
+    folders = [f"{path}/ledger/day={d}" for d in days]
+    there = [f for f in folders if (found := files_at(spark, f)) and found[0].exists(found[1])]
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/ledger").parquet(*there)
 
 
 def run_play_counts(stream: DataFrame, path: str, checkpoint: str, delay: dt.timedelta = dt.timedelta(hours=1), then: Callable[[DataFrame, int], None] | None = None) -> None:

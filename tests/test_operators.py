@@ -62,6 +62,64 @@ def test_split_credits(spark, text, known, expected):
     assert credits(spark, text, known) == expected
 
 
+def plain_normal(name):
+    import re
+
+    low = re.sub(r"\b([a-z])\.? *", r"\1", name.lower())
+    for a, b in ((" - ", "-"), (" -", "-"), ("- ", "-")):
+        low = low.replace(a, b)
+    return re.sub(r"\s+", " ", low).strip()
+
+
+def plain_split(text, known):
+    """All runs of a credit against the list, the longest first."""
+    import re
+
+    if plain_normal(text) in known and plain_normal(text):
+        return [text.strip(" ")]
+    for s in ingest.SURE:
+        text = re.sub(re.escape(s), "\x01", text, flags=re.I)
+    out = []
+    for part in filter(None, map(str.strip, text.split("\x01"))):
+        names, seps, at, i = [], [], 0, 0
+        order = sorted(ingest.UNSURE, key=len, reverse=True)
+        while i < len(part):
+            hit = next((s for s in order if part.lower().startswith(s.lower(), i)), None)
+            if hit:
+                names.append(part[at:i])
+                seps.append(part[i : i + len(hit)])
+                at = i + len(hit)
+            i += len(hit) if hit else 1
+        names.append(part[at:])
+        run = lambda a, b: names[a] + "".join(seps[k - 1] + names[k] for k in range(a + 1, b + 1))
+        i = 0
+        while i < len(names):
+            j = next((j for j in range(len(names) - 1, i, -1) if plain_normal(run(i, j)) in known), i)
+            out.append(run(i, j))
+            i = j + 1
+    best = {}
+    for n in filter(None, map(str.strip, out)):
+        key = plain_normal(n)
+        best[key] = n if key not in best or len(n) > len(best[key]) else best[key]
+    best.pop(plain_normal(S.UNKNOWN_ARTIST), None)
+    return list(best.values()) or [S.UNKNOWN_ARTIST]
+
+
+def test_known_names_are_found_as_by_trying_all_runs(spark):
+    rng = random.Random(8)
+    words = ["a", "B", "j.", "Cole", "simon", "Garfunkel", "the", "AC", "DC", "x", "and", "- ", "Tyler"]
+    seps = [" & ", " and ", " x ", ", ", "/", " / ", " vs. ", " with ", " feat. ", ";", " "]
+    make = lambda n: "".join(rng.choice(words) + (rng.choice(seps) if i < n - 1 else "") for i in range(n))
+    names = [make(rng.randint(1, 5)) for _ in range(150)]
+    texts = list({make(rng.randint(1, 9)) for _ in range(200)} | {f"{a}{s}{b}" for a, b, s in zip(names, names[1:], seps * 20, strict=False)}) + ["", " & "]
+    known = {plain_normal(n) for n in names} - {""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, artist string")
+    got = {}
+    for r in ingest.split_credits(df, "artist", spark.createDataFrame([(n,) for n in names], "name string")).orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.artist)
+    assert {texts[i]: n for i, n in got.items()} == {t: plain_split(t, known) for t in texts}
+
+
 def test_duplicates(spark):
     rows = [(1, "T", 11.1, "mp3"), (2, "t ", 12.9, "flac"), (3, "T", 13.1, "mp3"), (4, "", 0.0, "mp3"), (5, "", 0.0, "mp3")]
     df = spark.createDataFrame([(i, t, "A", "B", "1990", d, f, 128) for i, t, d, f in rows], "id int, title string, artist string, album string, year string, duration double, format string, bitrate int")
