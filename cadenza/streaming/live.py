@@ -115,7 +115,7 @@ def apply_changes(spark: SparkSession, path: str, changes: DataFrame, playlists:
         was = spark.read.parquet(f"{path}/heads/{before}").where(F.col("playlist").isin(list(deep)))
         edges = was.groupBy("playlist").agg(F.max(F.struct("key", "id")).alias("last"), F.count("*").alias("held"))
         full = totals.join(edges, "playlist", "left").select("playlist", "last", (F.coalesce("held", F.lit(0)) >= F.col("n")).alias("all_held"))
-        stay = was.join(changes.select("id").distinct(), "id", "left_anti").select("playlist", "id", "key")
+        stay = was.join(new.select("id").distinct(), "id", "left_anti").select("playlist", "id", "key")
         enter = _matches(new, deep, now).join(full, "playlist").where("all_held or struct(key, id) < last").select("playlist", "id", "key")
         heads = _first(stay.union(enter), deep)
         heads.write.mode("overwrite").parquet(f"{path}/steady-heads/{batch}")
