@@ -62,8 +62,10 @@ def write_index(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS
     parts = max(1, -(-spark.read.parquet(f"{folder}/totals").first()["docs"] // BLOCK_ROWS))
     block = F.floor(F.log2(F.col("length") + 1) * 4) * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
     spread = words.select("id", "length", block.cast("long").alias("block"), F.posexplode("words").alias("col", "w")).select("id", "length", "block", "col", F.posexplode("w").alias("pos", "token"))
-    postings = spread.groupBy("token", "block", "id").agg(F.first("length").alias("length"), F.count("*").alias("tf"), F.collect_list(F.col("col").cast("long") * COLUMN_STEP + F.col("pos")).alias("places"))
-    postings.repartitionByRange("token", "block").sortWithinPartitions("token", "block", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    # Dealt by ranges first, a token's words of a row are together and are grouped without another shuffle.
+    spread = spread.select("token", "block", "id", "length", (F.col("col").cast("long") * COLUMN_STEP + F.col("pos")).alias("place")).repartitionByRange("token", "block")
+    postings = spread.groupBy("token", "block", "id").agg(F.first("length").alias("length"), F.count("*").alias("tf"), F.collect_list("place").alias("places"))
+    postings.sortWithinPartitions("token", "block", "id").write.mode("overwrite").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     mean = F.broadcast(spark.read.parquet(f"{folder}/totals").select("mean"))  # one row
     blocks = postings.crossJoin(mean).groupBy("token", "block").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max(_saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("most"))
