@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -372,14 +375,24 @@ ARTWORK = ("jpg", "jpeg", "png", "webp", "heic", "gif", "bmp", "tif", "tiff")
 #: Numbers of 15 hexadecimal digits that a file's hash is cut into, to be summed.
 LANES = 4
 
+#: Hashes of files that travel as one row to the hash of their folder.
+PIECE = 128
+
+
+def _is_known() -> Column:
+    return S.extension(F.col("path")).isin(*S.SUPPORTED, *ARTWORK)
+
+
+def _file_hash() -> Column:
+    return F.sha2(F.concat_ws("|", "path", F.col("mtime").cast("string"), F.col("size").cast("string")), 256)
+
 
 def file_sums(inventory: DataFrame) -> DataFrame:
     """(folder, n, s0, s1, ..) of the audio and image files (folder, path, mtime, size): their number, and sums of their hashes' parts.
 
     Sums of a folder are sums of its parts' sums, in any order and grouping: tasks send one row for a folder, however many files it has.
     """
-    files = inventory.where(S.extension(F.col("path")).isin(*S.SUPPORTED, *ARTWORK))
-    digest = files.select("folder", F.sha2(F.concat_ws("|", "path", F.col("mtime").cast("string"), F.col("size").cast("string")), 256).alias("h"))
+    digest = inventory.where(_is_known()).select("folder", _file_hash().alias("h"))
     lane = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
     return digest.groupBy("folder").agg(F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
 
@@ -388,9 +401,56 @@ def _sealed(sums: DataFrame) -> DataFrame:
     return sums.select("folder", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LANES)]), 256).alias("hash"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (folder, path, h) in order as (folder, first, place, hashes): up to PIECE hashes of one folder, their first path and the piece's place in the task."""
+    schema = pa.schema([("folder", pa.string()), ("first", pa.string()), ("place", pa.int64()), ("hashes", pa.binary())])
+    held, place = None, 0
+    for b in batches:
+        done = []
+        for folder, path, h in zip(*(b.column(c).to_pylist() for c in ("folder", "path", "h")), strict=True):
+            if held is None or held["folder"] != folder or len(held["hashes"]) >= 32 * PIECE:
+                done += [held] if held else []
+                held, place = {"folder": folder, "first": path, "place": place, "hashes": bytearray()}, place + 1
+            held["hashes"] += h or b""
+        yield pa.RecordBatch.from_pylist(done, schema)
+    if held:
+        yield pa.RecordBatch.from_pylist([held], schema)
+
+
+def _folder_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(folder, hash) of pieces in order: SHA-256 over the hexadecimal digits of all their hashes; null where there are none."""
+    schema = pa.schema([("folder", pa.string()), ("hash", pa.string())])
+    held = None
+    for b in batches:
+        done = []
+        for folder, hashes in zip(b.column("folder").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+            if held is None or held[0] != folder:
+                done += [held] if held else []
+                held = (folder, None)
+            if hashes:
+                digest = held[1] or hashlib.sha256()
+                digest.update(hashes.hex().encode())
+                held = (folder, digest)
+        yield _sealed_folders(done, schema)
+    yield _sealed_folders([held] if held else [], schema)
+
+
+def _sealed_folders(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"folder": f, "hash": d and d.hexdigest()} for f, d in done], schema)
+
+
 def folder_fingerprint(inventory: DataFrame) -> DataFrame:
-    """(folder, hash) over path, time and size of the audio and image files (folder, path, mtime, size) that are in a folder; null where it has none."""
-    return inventory.select("folder").distinct().join(_sealed(file_sums(inventory)), "folder", "left")
+    """(folder, hash) over path, time and size of the audio and image files (folder, path, mtime, size) of a folder in order of path; null where it has none.
+
+    Files are sorted and hashed in ranges of (folder, path), however many a folder has. Only the SHA-256 over their hashes goes through
+    a folder from end to end: it takes them piece by piece, 32 bytes a file, and holds one digest.
+    """
+    # Other files stay as rows without a hash, so that folders of such alone are seen.
+    order = ("folder", "path", "mtime", "size")
+    ranges = inventory.select(*order).repartitionByRange("folder", "path").sortWithinPartitions(*order)
+    hashed = ranges.select("folder", "path", F.when(_is_known(), F.unhex(_file_hash())).alias("h"))
+    pieces = hashed.mapInArrow(_pieces, "folder string, first string, place long, hashes binary")
+    return pieces.repartition("folder").sortWithinPartitions("folder", "first", "place").mapInArrow(_folder_hashes, "folder string, hash string")
 
 
 def tree_fingerprint(inventory: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stored tables and streams: buckets that are updated in place, plays that count once, playlists that follow, the search index."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -229,6 +230,16 @@ def test_tree_fingerprints_point_at_what_changed(spark):
     assert rows_of(ingest.changed_subtrees(ingest.tree_fingerprint(spark.createDataFrame(rows, schema)), before), "folder") == {("/m/x/p",), ("/m/x",), ("/m",)}
 
 
+def test_folder_fingerprints_hash_all_files_in_order_of_path(spark):
+    files = [(f"/m/{a}", f"/m/{a}/é{i}.{'mp3' if i % 9 else 'jpg'}", 10 * i, i) for a, n in (("x", 700), ("y", 1), ("z", 129)) for i in range(n)] + [(None, "b.mp3", 1, 2), (None, "a.mp3", 3, 4)]
+    others = [("/m/x", "/m/x/notes.txt", 1, 1), ("/m/empty", "/m/empty/notes.txt", 1, 1), ("/m/none", None, None, None)]
+    mixed = random.Random(2).sample(files + others, len(files + others))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    expected = {(f, sha("".join(sha(f"{p}|{m}|{s}") for g, p, m, s in sorted(files, key=lambda r: r[1]) if g == f))) for f in {r[0] for r in files}}
+    made = ingest.folder_fingerprint(spark.createDataFrame(mixed, "folder string, path string, mtime long, size long").repartition(5))
+    assert rows_of(made, "folder", "hash") == expected | {("/m/empty", None), ("/m/none", None)} and made.count() == 6
+
+
 # --- search ---
 
 
