@@ -79,6 +79,7 @@ def test_columns_are_pruned_and_filters_pushed(spark, sf_dir):
 #: Queries over credits, in whose views each part once met each supplier.
 OF_CREDITS = (
     "a8_artist_entities",
+    "q4_match_entities",
 )
 
 
