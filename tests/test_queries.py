@@ -80,6 +80,7 @@ def test_columns_are_pruned_and_filters_pushed(spark, sf_dir):
 OF_CREDITS = (
     "a8_artist_entities",
     "q4_match_entities",
+    "a1_artist_counts",
 )
 
 
