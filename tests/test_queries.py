@@ -81,6 +81,7 @@ OF_CREDITS = (
     "a8_artist_entities",
     "q4_match_entities",
     "a1_artist_counts",
+    "a1_album_artist_counts",
 )
 
 
