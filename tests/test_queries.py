@@ -82,6 +82,7 @@ OF_CREDITS = (
     "q4_match_entities",
     "a1_artist_counts",
     "a1_album_artist_counts",
+    "a1_composer_counts",
 )
 
 
