@@ -83,6 +83,7 @@ OF_CREDITS = (
     "a1_artist_counts",
     "a1_album_artist_counts",
     "a1_composer_counts",
+    "a7_album_entities",
 )
 
 
