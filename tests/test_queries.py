@@ -84,6 +84,7 @@ OF_CREDITS = (
     "a1_album_artist_counts",
     "a1_composer_counts",
     "a7_album_entities",
+    "a9_library_totals",
 )
 
 
