@@ -85,6 +85,7 @@ OF_CREDITS = (
     "a1_composer_counts",
     "a7_album_entities",
     "a9_library_totals",
+    "j1_tracks_by_artist",
 )
 
 
