@@ -86,6 +86,7 @@ OF_CREDITS = (
     "a7_album_entities",
     "a9_library_totals",
     "j1_tracks_by_artist",
+    "j5_artist_tracklist",
 )
 
 
