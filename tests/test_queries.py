@@ -87,6 +87,7 @@ OF_CREDITS = (
     "a9_library_totals",
     "j1_tracks_by_artist",
     "j5_artist_tracklist",
+    "j6_tracks_of_entities",
 )
 
 
