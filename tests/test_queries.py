@@ -88,6 +88,7 @@ OF_CREDITS = (
     "j1_tracks_by_artist",
     "j5_artist_tracklist",
     "j6_tracks_of_entities",
+    "m1_merge_artists",
 )
 
 
