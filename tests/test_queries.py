@@ -89,6 +89,7 @@ OF_CREDITS = (
     "j5_artist_tracklist",
     "j6_tracks_of_entities",
     "m1_merge_artists",
+    "m1_merge_chains",
 )
 
 
