@@ -90,6 +90,7 @@ OF_CREDITS = (
     "j6_tracks_of_entities",
     "m1_merge_artists",
     "m1_merge_chains",
+    "m4_artist_candidates",
 )
 
 
