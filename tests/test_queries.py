@@ -91,6 +91,7 @@ OF_CREDITS = (
     "m1_merge_artists",
     "m1_merge_chains",
     "m4_artist_candidates",
+    "m3_flatten_aliases",
 )
 
 
