@@ -92,6 +92,7 @@ OF_CREDITS = (
     "m1_merge_chains",
     "m4_artist_candidates",
     "m3_flatten_aliases",
+    "m4_merge_candidates",
 )
 
 
