@@ -93,6 +93,7 @@ OF_CREDITS = (
     "m4_artist_candidates",
     "m3_flatten_aliases",
     "m4_merge_candidates",
+    "m5_reconcile_pins",
 )
 
 
