@@ -94,6 +94,7 @@ OF_CREDITS = (
     "m3_flatten_aliases",
     "m4_merge_candidates",
     "m5_reconcile_pins",
+    "n16_remove_tracks",
 )
 
 
