@@ -95,6 +95,7 @@ OF_CREDITS = (
     "m4_merge_candidates",
     "m5_reconcile_pins",
     "n16_remove_tracks",
+    "n17_drop_orphans",
 )
 
 
