@@ -96,6 +96,7 @@ OF_CREDITS = (
     "m5_reconcile_pins",
     "n16_remove_tracks",
     "n17_drop_orphans",
+    "n2_build_artists",
 )
 
 
