@@ -97,6 +97,7 @@ OF_CREDITS = (
     "n16_remove_tracks",
     "n17_drop_orphans",
     "n2_build_artists",
+    "n8_compilation_artists",
 )
 
 
