@@ -98,6 +98,7 @@ OF_CREDITS = (
     "n17_drop_orphans",
     "n2_build_artists",
     "n8_compilation_artists",
+    "n3_build_track_artists",
 )
 
 
