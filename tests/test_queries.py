@@ -99,6 +99,7 @@ OF_CREDITS = (
     "n2_build_artists",
     "n8_compilation_artists",
     "n3_build_track_artists",
+    "n9_artist_stats",
 )
 
 
