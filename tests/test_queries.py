@@ -100,6 +100,7 @@ OF_CREDITS = (
     "n8_compilation_artists",
     "n3_build_track_artists",
     "n9_artist_stats",
+    "s6_known_artists",
 )
 
 
