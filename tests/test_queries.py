@@ -101,6 +101,7 @@ OF_CREDITS = (
     "n3_build_track_artists",
     "n9_artist_stats",
     "s6_known_artists",
+    "n20_backlog",
 )
 
 
