@@ -102,6 +102,7 @@ OF_CREDITS = (
     "n9_artist_stats",
     "s6_known_artists",
     "n20_backlog",
+    "s1_library_round_trip",
 )
 
 
