@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from cadenza.operators import catalog as C
 from cadenza.plans import registries, registry
 from cadenza.plans.views import view, views_sql, with_views
 
@@ -113,3 +114,17 @@ def test_no_part_meets_every_supplier(spark, sf_dir, name, monkeypatch):
     QUERIES[name](spark, sf_dir)
     met = [line for df in asked.values() for line in plan(df).splitlines() if "NestedLoopJoin" in line or "CartesianProduct" in line]
     assert met and not any("Inner" in line or "Cartesian" in line or "s_suppkey" in line or "s_name" in line for line in met)  # only with the one row of their number
+
+
+def test_pins_sort_no_shown_tracks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(C, "PIECE", 3)
+    t = spark.createDataFrame([(i, "A", "g", "1999") for i in range(10)], "id long, album string, genre string, year string")
+    links = spark.createDataFrame([(1, 1, "artist"), (1, 1, "artist"), (None, 1, "artist"), (2, 1, "composer")], "track_id long, artist_id long, role string")
+    who, lists = spark.createDataFrame([(1, "X")], "artist_id long, name string"), spark.createDataFrame([(7, 3), (7, 3)], "playlist_id long, track_id long")
+    pins = spark.createDataFrame([(1, "genre", "g"), (1, "album", "A"), (1, "genre", "g"), (2, "artist", "X"), (3, "playlist", "7"), (None, "decade", "1990s"), (4, "genre", None), (5, "genre", "none")], "pin_id long, kind string, value string")
+    found = C.pinned_tracks(pins, t, links, who, lists)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted([str((p, i)) for p in (1, None) for i in range(10)] + ["(2, 1)", "(2, None)", "(3, 3)"])
+    # Under the union, what is shown for pins of one value goes through no exchange.
+    first = plan(C.pinned_tracks(pins, t, links, who, lists)).split("Union\n", 1)[1].splitlines()
+    shown = next(i for i, line in enumerate(first) if "explode(ids" in line)
+    assert not any("Exchange" in line or "HashAggregate" in line for line in first[:shown])
